@@ -1,9 +1,16 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
+from . import contamination
 from .bpe import op1_byte_bpe
+from .contamination import op4_decontamination
+from .token_files import op9_token_files
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_decontamination": op4_decontamination,
+    "op9_token_files": op9_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_decontamination": contamination.SQL,
+}
