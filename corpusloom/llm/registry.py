@@ -1,16 +1,20 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import contamination
+from . import contamination, quality
 from .bpe import op1_byte_bpe
 from .contamination import op4_decontamination
+from .quality import op2_quality
 from .token_files import op9_token_files
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op9_token_files": op9_token_files,
 }
 
 ORACLE = {
+    "op2_quality": quality.SQL,
+    "op2_quality": op2_quality,
     "op4_decontamination": contamination.SQL,
 }
