@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding over Arrow batches with the tokenizers library.
 
-A text's words repeat, so each worker keeps the ids of the space-delimited chunks it has met: a single space
-between two other characters is always a piece boundary of the split pattern, thus a text's ids are its chunks'
-ids in a row. Only chunks not met yet go to the library, in one call per Arrow batch. The store of chunks is
-emptied when it reaches CHUNKS_KEPT, which bounds memory and changes no result.
+A text's words repeat, so each worker keeps the ids of the chunks it has met. Texts are cut where the split
+pattern begins a new piece whatever stands around (see chunk_starts), thus a text's ids are its
+chunks' ids in a row. Chunks are told apart by their bytes' 64-bit hashes, found for a whole block of texts at a time;
+only those not met yet go to the library. The store is emptied when it reaches CHUNKS_KEPT, which bounds memory and
+changes no result.
 
 Nulls and empty texts have no ids; repeated rows are encoded each for itself; extra columns are ignored.
 """
@@ -11,24 +12,28 @@ Nulls and empty texts have no ids; repeated rows are encoded each for itself; ex
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
-import re
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, text_parts, tokenizer_path
+from .common import blocks, byte_table, span_hashes, text_parts, tokenizer_path
 
-CHUNKS_KEPT = 800_000
+CHUNKS_KEPT = 2_000_000
 #: Chunks that are handed to the library as one text.
 JOINED = 64
-#: Longer chunks are encoded but not kept.
-CHUNK_CHARS = 64
-_loose = re.compile(r" \s|\s ")
-_single = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are encoded in one go; a longer text forms a block of its own.
+ENCODE_BYTES = 4 << 20
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_BREAK, _SIGN, _PLAIN = np.zeros((3, 256), bool)
+_BREAK[[0x20, 0x0A]] = True
+_SIGN[list(b"!#$%&()*+,-./:;<=>?@|~")] = True
+_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_BYTES = byte_table(b"", fold=False)
 
 
 @lru_cache(1)
@@ -66,80 +71,103 @@ def token_bytes(tokenizer) -> list[bytes]:
     return out
 
 
+def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """pool[starts[i]:starts[i] + lengths[i]] for each i, in a row."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at each text, at each space or line break without white space at either side (and after the break), and where signs follow a letter or digit. What might be part of a longer white-space character counts as one."""
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 2:
+        at = np.flatnonzero(_BREAK[raw[1:-1]]) + 1
+        before, after = raw[at - 1], raw[at + 1]
+        two, three = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+        odd = _WHITE[before] | _WHITE[after] | (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3)) | ((two == 0xC2) & (before >= 0x80)) | ((three >= 0xE1) & (three <= 0xE3) & (before >= 0x80))
+        at = at[~odd]
+        cut[at] = True
+        cut[at[raw[at] == 0x0A] + 1] = True
+        at = np.flatnonzero(_SIGN[raw[1:]]) + 1
+        before, two = raw[at - 1], raw[np.maximum(at - 2, 0)]
+        cut[at[_PLAIN[before] | ((two == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1])
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of blocks of texts."""
 
     def __init__(self, tokenizer, length: np.ndarray):
         """length: bytes of each id."""
-        self.tokenizer, self.length, self.kept = tokenizer, length, {}
+        self.tokenizer, self.length = tokenizer, length
         tokenizer.encode_special_tokens = True
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """Chunks between single spaces go to the library JOINED at a time as one text, and are told apart by their bytes; it costs less for each."""
-        fit = [" " == c[:1] and not c[1:2].isspace() and not c[-1].isspace() and len(c) > 1 for c in chunks]
-        plain = [c for c, f in zip(chunks, fit, strict=True) if f]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        out: dict[str, bytes] = {}
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(self.length[ids])
-            to = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in group])) + 1
-            raw, lo = ids.tobytes(), 0
-            for c, hi in zip(group, (to * 4).tolist(), strict=True):
-                out[c] = raw[lo:hi]
-                lo = hi
-        odd = [c for c, f in zip(chunks, fit, strict=True) if not f]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            out[c] = np.array(e.ids, "<u4").tobytes()
-        return [out[c] for c in chunks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # a million short strings are made here, none of them in a cycle
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            first, *rest = _single.split(t) if _loose.search(t) else t.split(" ")
-            split.append([first, *map(" ".__add__, rest)])
-        kept = self.kept
-        if len(kept) > CHUNKS_KEPT:
-            kept.clear()
-        new = [*set().union(*split).difference(kept)]
-        long = {}
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for c, ids in zip(part, self._ids(part), strict=True):
-                (kept if len(c) <= CHUNK_CHARS else long)[c] = ids
-        if not long:
-            return [b"".join(map(kept.__getitem__, s)) for s in split]
-        return [b"".join([kept[c] if c in kept else long[c] for c in s]) for s in split]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.hashes, self.starts, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """Keeps the ids of new chunks. Those between single spaces are handed over JOINED at a time and told apart by their bytes, which costs less for each."""
+        plain = np.array([c[:1] == b" " and len(c) > 1 and not (_WHITE[c[1]] or _WHITE[c[-1]]) and c[1] < 0xE1 and c[1] != 0xC2 and (c[-1] < 0x80 or (c[-2] != 0xC2 and not 0xE1 <= c[-3] <= 0xE3)) for c in chunks], bool)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        n = int(plain.sum())
+        groups = [list(range(i, min(i + JOINED, n))) for i in range(0, n, JOINED)] + [[i] for i in range(n, len(order))]
+        pools, counts = [], np.zeros(len(order), np.int64)
+        ordered = [chunks[i] for i in order]
+        for lo in range(0, len(groups), 1000):
+            part = groups[lo : lo + 1000]
+            got = self.tokenizer.encode_batch_fast([b"".join(ordered[g[0] : g[-1] + 1]).decode() for g in part], add_special_tokens=False)
+            for g, e in zip(part, got, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(ordered[i]) for i in g])) + 1
+                counts[g[0] : g[-1] + 1] = np.diff(ends, prepend=0)
+                pools.append(ids)
+        starts = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, *pools])
+        hashes = np.concatenate((self.hashes, hashes[order]))
+        sort = np.argsort(hashes)
+        self.hashes, self.starts, self.counts = hashes[sort], np.concatenate((self.starts, starts))[sort], np.concatenate((self.counts, counts))[sort]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, len+1 offsets of the rows among them)."""
+        at = chunk_starts(raw, offsets)
+        if not len(at):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.append(at[1:], len(raw))
+        hashes, first, which = np.unique(span_hashes(raw, at, ends, _BYTES[1]), return_index=True, return_inverse=True)
+        if len(self.hashes) > CHUNKS_KEPT:
+            self._empty()
+        place = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool) if not len(self.hashes) else self.hashes[np.minimum(place, len(self.hashes) - 1)] != hashes
+        if new.any():
+            data = raw.tobytes()
+            self._learn(hashes[new], [data[i:j] for i, j in zip(at[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, hashes)
+        counts = self.counts[place][which]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        return ragged(self.pool, self.starts[place][which], counts), total[np.searchsorted(at, offsets)]
 
 
 class Decoder:
-    """Bytes of an id sequence, and where each token lies in the text."""
+    """Bytes of id sequences, and where each token lies in its text."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = np.array([*tokens, None], object)[:-1]
         self.length = np.array([len(t) for t in tokens], np.int64)
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.length) - self.length
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.tokens[ids].tolist())
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        return ragged(self.pool, self.starts[ids], self.length[ids])
 
-    def offsets(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code points (start, end) of each token, and whether it begins inside a character; a character split over tokens belongs to each of them."""
+    def offsets(self, ids: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points (start, end) of each token of one text, and whether it begins inside a character; a character split over tokens belongs to each of them."""
         ends = np.cumsum(self.length[ids])
-        lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-        nth = np.cumsum(lead)
         starts = ends - self.length[ids]
-        has = self.length[ids] > 0
-        first = np.where(has, nth[np.minimum(starts, max(len(nth) - 1, 0))] - 1, 0) if len(nth) else np.zeros(len(ids), np.int64)
-        last = np.where(has, nth[np.maximum(ends - 1, 0)], first) if len(nth) else first
-        inside = has & ~lead[np.minimum(starts, max(len(lead) - 1, 0))] if len(lead) else np.zeros(len(ids), bool)
-        return first, last, inside
+        lead = (raw & 0xC0) != 0x80
+        nth = np.cumsum(lead)
+        return nth[starts] - 1, nth[ends - 1], ~lead[starts]
 
 
 _loaded: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
@@ -147,8 +175,6 @@ _loaded: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
 def codec(path: str, pattern: str | None) -> tuple[Encoder, Decoder]:
     """The worker's own encoder and decoder of a vocabulary file (ranks, or a tokenizers file)."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, pattern) not in _loaded:
         from tokenizers import Tokenizer
@@ -159,11 +185,13 @@ def codec(path: str, pattern: str | None) -> tuple[Encoder, Decoder]:
     return _loaded[path, pattern]
 
 
-def texts_of(column: pa.Array):
-    """Blocks of a string column as (first row, texts), a null being empty."""
-    _, offsets = text_parts(column)
-    for lo, hi in blocks(offsets, 4 << 20):
-        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+def encoded_blocks(column: pa.Array, encoder: Encoder, size: int = ENCODE_BYTES):
+    """(first row, row after the last, bytes, byte offsets, ids, id offsets) of each block of a string column."""
+    raw, offsets = text_parts(column)
+    for lo, hi in blocks(offsets, size):
+        part = offsets[lo : hi + 1]
+        own = raw[part[0] : part[-1]]
+        yield lo, hi, own, part - part[0], *encoder.encode(own, part - part[0])
 
 
 def default_pattern() -> str:
@@ -172,6 +200,10 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, starts array<int>, ends array<int>) per row: token ids and the code points each token covers."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or default_pattern()
@@ -179,13 +211,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches):
         enc, dec = codec(path, pattern)
         for b in batches:
-            for lo, texts in texts_of(b.column(1)):
-                rows = []
-                for t, ids in zip(texts, enc.encode(texts), strict=True):
-                    ids = np.frombuffer(ids, "<u4").astype(np.int64)
-                    first, last, _ = dec.offsets(ids, t.encode())
-                    rows.append([x.astype(np.int32) for x in (ids, first, last)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3))], ["id", "ids", "starts", "ends"])
+            for lo, hi, raw, at, ids, to in encoded_blocks(b.column(1), enc):
+                ends = np.zeros((2, len(ids)), np.int32)
+                for i in range(hi - lo):
+                    own = slice(to[i], to[i + 1])
+                    if to[i] < to[i + 1]:
+                        ends[0, own], ends[1, own], _ = dec.offsets(ids[own], raw[at[i] : at[i + 1]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists(ids, to), _lists(ends[0], to), _lists(ends[1], to)], ["id", "ids", "starts", "ends"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>")
@@ -198,7 +230,7 @@ def decode(ids: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches):
         _, dec = codec(path, pattern)
         for b in batches:
-            raw = [dec.decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
+            raw = [dec.decode(np.array(x or [], np.int64)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], ["id", "bytes", "text"])
 
     kind = ids.schema["id"].dataType.simpleString()
@@ -208,21 +240,20 @@ def decode(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every row and returns digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_inside (tokens that begin inside a character)."""
     path, pattern = path or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or default_pattern()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
         enc, dec = codec(path, pattern)
-        shown = np.array([b"%d" % i for i in range(len(dec.tokens))] + [None], object)[:-1]
+        shown = Decoder([b"%d " % i for i in range(len(dec.length))])
         for b in batches:
-            for lo, texts in texts_of(b.column(1)):
-                n, sha, back, inside = [], [], [], []
-                for ids in enc.encode(texts):
-                    ids = np.frombuffer(ids, "<u4").astype(np.int64)
-                    raw = dec.decode(ids)
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(b" ".join(shown[ids].tolist())).hexdigest())
-                    back.append(hashlib.sha256(raw).hexdigest())
-                    inside.append(0 if raw.isascii() else int(dec.offsets(ids, raw)[2].sum()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array(inside, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_inside"])
+            for lo, hi, _, _, ids, to in encoded_blocks(b.column(1), enc):
+                back, text = dec.decode(ids), shown.decode(ids)
+                byte_to = np.concatenate(([0], np.cumsum(dec.length[ids])))
+                inside = np.concatenate(([0], np.cumsum((back[byte_to[:-1]] & 0xC0) == 0x80)))
+                shown_to = np.concatenate(([0], np.cumsum(shown.length[ids])))[to].tolist()
+                byte_to = byte_to[to].tolist()
+                rows = [b.column(0).slice(lo, hi - lo), pa.array(np.diff(to)), pa.array([sha(text[i : max(i, j - 1)]) for i, j in zip(shown_to, shown_to[1:])]), pa.array([sha(back[i:j]) for i, j in zip(byte_to, byte_to[1:])]), pa.array(np.diff(inside[to]))]
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_inside"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_inside long")

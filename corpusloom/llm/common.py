@@ -124,7 +124,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lookup) -> tuple[np.ndarra
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value[raw] * _power("up", n), out=total[1:])
-    h = mix((total[ends] - total[starts]) * _power("down", n)[starts] + (ends - starts).astype(np.uint64))
-    return np.searchsorted(offsets, starts, "right") - 1, h, starts, ends
+    return np.searchsorted(offsets, starts, "right") - 1, span_hashes(raw, starts, ends, value), starts, ends
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[starts[i]:ends[i]]; value: a number for each byte. Equal bytes hash alike wherever they stand."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value[raw] * _power("up", len(raw)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))

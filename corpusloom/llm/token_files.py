@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
-from .common import blocks, scratch, table, text_parts, tokenizer_path
+from .bpe import codec, encoded_blocks
+from .common import scratch, table, tokenizer_path
 
 BLOCK = 128
 ROW_BYTES = 4 << 20
@@ -123,13 +123,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str |
     def run(batches):
         enc, _ = codec(path, pattern)
         part, before = TaskContext.get().partitionId(), 0
-        last = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            _, at = text_parts(b.column(1))
-            for lo, hi in blocks(at, ROW_BYTES):
-                ids = [x + last for x in enc.encode([t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()])]
-                v = np.frombuffer(b"".join(ids), "<u4")
-                row = [part, before, b.column(0).slice(lo, hi - lo).to_pylist(), [len(x) // 4 for x in ids], len(v), *pack(v)]
+            for lo, hi, _, _, ids, to in encoded_blocks(b.column(1), enc, ROW_BYTES):
+                counts = np.diff(to) + 1
+                v = np.insert(ids, to[1:], end_id)
+                row = [part, before, b.column(0).slice(lo, hi - lo).to_pylist(), counts, len(v), *pack(v)]
                 before += len(v)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "before", "doc_ids", "counts", "n", "words", "offsets", "escapes"])
 
