@@ -1,14 +1,16 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import contamination, quality
+from . import contamination, neardup, quality
 from .bpe import op1_byte_bpe
 from .contamination import op4_decontamination
+from .neardup import op3_near_duplicates
 from .quality import op2_quality
 from .token_files import op9_token_files
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op9_token_files": op9_token_files,
 }
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLE = {
     "op2_quality": quality.SQL,
     "op2_quality": op2_quality,
+    "op3_near_duplicates": neardup.SQL,
     "op4_decontamination": contamination.SQL,
 }
