@@ -4,6 +4,7 @@ from . import contamination, neardup, quality
 from .bpe import op1_byte_bpe
 from .contamination import op4_decontamination
 from .neardup import op3_near_duplicates
+from .pii import op8_pii
 from .quality import op2_quality
 from .token_files import op9_token_files
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op8_pii": op8_pii,
     "op9_token_files": op9_token_files,
 }
 
