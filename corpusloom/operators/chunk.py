@@ -183,7 +183,8 @@ def at_boundaries(docs: DataFrame, boundaries: DataFrame, id_col: str, text_col:
 
 
 def exploded(df: DataFrame, id_col: str, parts: Column, *keep) -> DataFrame:
-    return df.select(id_col, *keep, F.posexplode(parts).alias("chunk_index", "text"))
+    # The outer form keeps the planner from adding a filter that would compute the parts once more.
+    return df.select(id_col, *keep, F.posexplode_outer(parts).alias("chunk_index", "text")).where("chunk_index is not null")
 
 
 def cascade(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, boundaries: DataFrame | None = None) -> DataFrame:
@@ -196,8 +197,9 @@ def cascade(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap
         own = own.withColumn("next", F.when(F.col("parts").isNull(), parts))
         found = F.size("next") > 0
         own = own.select(id_col, text_col, F.when(found, F.col("next")).otherwise(F.col("parts")).alias("parts"), F.when(found, name).otherwise(F.col("strategy")).alias("strategy"))
-    done = own.where("parts is not null").select(id_col, F.posexplode("parts").alias("chunk_index", "text"), "strategy")
-    left = own.where("parts is null").select(id_col, text_col)
+    done = own.select(id_col, F.posexplode_outer("parts").alias("chunk_index", "text"), "strategy").where("chunk_index is not null")
+    # A null text gives no windows; a filter on parts would be pushed down and compute them again.
+    left = own.select(id_col, F.when(F.col("parts").isNull(), F.col(text_col)).alias(text_col))
     if boundaries is not None:
         long = left.where(F.length(text_col) > ACCEPT_BOUNDARIES).join(boundaries.select(id_col).distinct(), id_col, "left_semi")
         done = done.unionByName(at_boundaries(long, boundaries.join(long.select(id_col), id_col, "left_semi"), id_col, text_col).withColumn("strategy", F.lit("boundary")))
