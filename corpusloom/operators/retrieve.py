@@ -1,7 +1,7 @@
 """Retrieval for tables of queries at once: dense, BM25 and keyword search, fusion, reranking, cascades.
 
 Queries have query_id, project_id and question; chunks have chunk_id, project_id, source and text; hits have query_id,
-chunk_id, score, method and rank. Scores are rounded to six places before they are ranked; ties go to the lowest
+chunk_id, score, method and rank. Scores are rounded before they are ranked, sums and products of rounded ones to two places more, so that none lies halfway; ties go to the lowest
 chunk_id. Searches join on project_id or on terms, and rank with window limits that Spark applies before its shuffle.
 """
 
@@ -80,7 +80,7 @@ def fuse(first: DataFrame, second: DataFrame, texts: DataFrame, weights: tuple[f
     has = second.select("query_id").distinct()
     both = named(first.join(has, "query_id", "left_semi"), "x").join(named(second, "y"), ["query_id", "head"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    mixed = both.select("query_id", F.least("x_id", "y_id").alias("chunk_id"), F.round(weights[0] * zero("x") + weights[1] * zero("y"), 6).alias("score"))
+    mixed = both.select("query_id", F.least("x_id", "y_id").alias("chunk_id"), F.round(weights[0] * zero("x") + weights[1] * zero("y"), 8).alias("score"))
     alone = first.join(has, "query_id", "left_anti").select("query_id", "chunk_id", "score")
     return top(mixed.unionByName(alone).where(F.col("score") >= threshold), k).withColumn("method", F.lit("hybrid"))
 
@@ -105,7 +105,7 @@ def multi_vector(queries: DataFrame, vectors: DataFrame, k: int, weights: dict[s
     for kind, w in weights.items():
         part = dense(queries, vectors.where(F.col("kind") == kind), 2 * k, threshold).select("query_id", "chunk_id", (F.col("score") * w).alias("part"))
         out = part if out is None else out.unionByName(part)
-    return top(out.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("kinds")), k)
+    return top(out.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 8).alias("score"), F.count("*").alias("kinds")), k)
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.3, per: float = 0.6, by_share: bool = True) -> DataFrame:
@@ -129,7 +129,7 @@ def search_variants(variants: DataFrame, vectors: DataFrame, k: int) -> DataFram
     key = F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string"))
     own = variants.withColumn("vid", key)
     pairs = own.join(vectors, "project_id").select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("s"), "discount", "threshold").where("s >= threshold")
-    return top(pairs.groupBy("query_id", "chunk_id").agg(F.max(F.round(F.col("s") * F.col("discount"), 6)).alias("score")), k)
+    return top(pairs.groupBy("query_id", "chunk_id").agg(F.max(F.round(F.col("s") * F.col("discount"), 8)).alias("score")), k)
 
 
 def cascade(queries: DataFrame, stages: list, texts: DataFrame, k: int) -> DataFrame:
@@ -151,7 +151,7 @@ def cascade(queries: DataFrame, stages: list, texts: DataFrame, k: int) -> DataF
 def prefer(hits: DataFrame, own: DataFrame, k: int, boost: float = 1.2) -> DataFrame:
     """Hits of the document that a query names first (own: query_id, chunk_id), their score boosted up to 1."""
     marked = hits.select("query_id", "chunk_id", "score").join(own.select("query_id", "chunk_id", F.lit(1).alias("p")), ["query_id", "chunk_id"], "left")
-    score = F.round(F.when(F.col("p") == 1, F.least(F.lit(1.0), F.col("score") * boost)).otherwise(F.col("score")), 6)
+    score = F.round(F.when(F.col("p") == 1, F.least(F.lit(1.0), F.col("score") * boost)).otherwise(F.col("score")), 8)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("p", F.lit(0))), F.desc("s"), "chunk_id")).cast("long")
     return marked.withColumn("s", score).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", F.col("s").alias("score"), F.coalesce(F.col("p") == 1, F.lit(False)).alias("priority"), "rank")
 
@@ -175,7 +175,7 @@ def rerank_by_model(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """.3 of the score and .7 of a model's (query_id, chunk_id, model_score); a negative one counts (s + 1) / 2."""
     m = F.when(F.col("model_score") < 0, (F.col("model_score") + 1) / 2).otherwise(F.col("model_score"))
     mixed = hits.select("query_id", "chunk_id", "score").join(scores, ["query_id", "chunk_id"])
-    return top(mixed.select("query_id", "chunk_id", F.round(0.3 * F.col("score") + 0.7 * m, 6).alias("score")), k)
+    return top(mixed.select("query_id", "chunk_id", F.round(0.3 * F.col("score") + 0.7 * m, 8).alias("score")), k)
 
 
 def adaptive_k(queries: DataFrame, quality: DataFrame, k: int, **words) -> DataFrame:

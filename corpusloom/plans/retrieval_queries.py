@@ -52,7 +52,7 @@ def hy(k: int, threshold: float, name: str = "hy", weights=(0.4, 0.6)) -> str:
     return f"""{dn(2 * k, 0.0, name + '_d')}, {bm(2 * k, name + '_b')},
 {name}_f as (select * from {name}_d where query_id in (select query_id from {name}_b)),
 {scaled(name + '_f', name + '_x', 'x')}, {scaled(name + '_b', name + '_y', 'y')},
-{name}_m as (select query_id, least(x_id, y_id) as chunk_id, round({weights[0]} * coalesce(x, 0) + {weights[1]} * coalesce(y, 0), 6) as score from {name}_x full join {name}_y using (query_id, head)
+{name}_m as (select query_id, least(x_id, y_id) as chunk_id, round({weights[0]} * coalesce(x, 0) + {weights[1]} * coalesce(y, 0), 8) as score from {name}_x full join {name}_y using (query_id, head)
   union all select query_id, chunk_id, score from {name}_d where query_id not in (select query_id from {name}_b)),
 {name} as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from {name}_m where score >= {threshold}) where rank <= {k})"""
 
@@ -136,7 +136,7 @@ def _(tables):
     return r.hybrid(questions(tables), chunks(tables), 5, threshold=0.2).select("query_id", "chunk_id", F.round("score", 3).alias("score"))
 
 
-@query("r6_multi_vector", f"with {VS}, " + ", ".join(f"k{i} as (select query_id, chunk_id, {w} * score as part from ({RANKED} vp where score >= 0.1 and chunk_id % 3 = {i}) where rank <= 10)" for i, w in enumerate((0.6, 0.3, 0.1))) + f", a as (select query_id, chunk_id, round(sum(part), 6) as score, count(*) as kinds from (select * from k0 union all select * from k1 union all select * from k2) group by all) select query_id, chunk_id, score, kinds, rank from ({RANKED} a) where rank <= 5")
+@query("r6_multi_vector", f"with {VS}, " + ", ".join(f"k{i} as (select query_id, chunk_id, {w} * score as part from ({RANKED} vp where score >= 0.1 and chunk_id % 3 = {i}) where rank <= 10)" for i, w in enumerate((0.6, 0.3, 0.1))) + f", a as (select query_id, chunk_id, round(sum(part), 8) as score, count(*) as kinds from (select * from k0 union all select * from k1 union all select * from k2) group by all) select query_id, chunk_id, score, kinds, rank from ({RANKED} a) where rank <= 5")
 def _(tables):
     v = vectors(tables).withColumn("kind", F.element_at(F.array(*map(F.lit, ("semantic", "keyword", "summary"))), (F.col("chunk_id") % 3 + 1).cast("int")))
     return r.multi_vector(vector_queries(tables), v, 5, threshold=0.1).select("query_id", "chunk_id", "score", "kinds", "rank")
@@ -156,7 +156,7 @@ def _(tables):
     return v.where("variant <> kw").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("variant")), "|").alias("variants"))
 
 
-@query("r9_variants", f"with v as {V}, x as (select a.chunk_id as query_id, b.chunk_id as asked, case when (b.chunk_id // 20) % 2 = 0 then 0.85 else 0.8 end as d, case when (b.chunk_id // 20) % 2 = 0 then 0.15 else 0.1 end as t, b.project_id, b.e from v a join v b using (project_id) where a.chunk_id % 20 = 0 and b.chunk_id % 20 = 0), s as (select query_id, v.chunk_id, max(round(round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) * d, 6)) as score from x join v using (project_id) where round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) >= t group by all) select query_id, chunk_id, score, rank from ({RANKED} s) where rank <= 5")
+@query("r9_variants", f"with v as {V}, x as (select a.chunk_id as query_id, b.chunk_id as asked, case when (b.chunk_id // 20) % 2 = 0 then 0.85 else 0.8 end as d, case when (b.chunk_id // 20) % 2 = 0 then 0.15 else 0.1 end as t, b.project_id, b.e from v a join v b using (project_id) where a.chunk_id % 20 = 0 and b.chunk_id % 20 = 0), s as (select query_id, v.chunk_id, max(round(round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) * d, 8)) as score from x join v using (project_id) where round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) >= t group by all) select query_id, chunk_id, score, rank from ({RANKED} s) where rank <= 5")
 def _(tables):
     q = vector_queries(tables)
     kind = (F.floor(F.col("n") / 20) % 2) == 0
@@ -179,7 +179,7 @@ def _(tables):
     return r.rerank(r.top(found, 3 * k), q, c, 2 * k, EN_STOP)
 
 
-@query("r11_document_priority", f"with {BM}, {bm(10)}, m as (select b.query_id, b.chunk_id, b.chunk_id % 3 = 0 as priority, round(case when b.chunk_id % 3 = 0 then least(1.0, b.score * 1.2) else b.score end, 6) as score from bm b) select query_id, chunk_id, score, priority, rank from (select *, row_number() over (partition by query_id order by priority desc, score desc, chunk_id) as rank from m) where rank <= 5")
+@query("r11_document_priority", f"with {BM}, {bm(10)}, m as (select b.query_id, b.chunk_id, b.chunk_id % 3 = 0 as priority, round(case when b.chunk_id % 3 = 0 then least(1.0, b.score * 1.2) else b.score end, 8) as score from bm b) select query_id, chunk_id, score, priority, rank from (select *, row_number() over (partition by query_id order by priority desc, score desc, chunk_id) as rank from m) where rank <= 5")
 def _(tables):
     hits = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)
     return r.prefer(hits, hits.where("chunk_id % 3 = 0"), 5)
@@ -197,7 +197,7 @@ def _(tables):
     return r.rerank(r.bm25(q, r.bm25_index(c), 10), q, c, 5, EN_STOP).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("r13_model_rerank", f"with {BM}, {bm(10)}, m as (select query_id, chunk_id, round(0.3 * score + 0.7 * case when s < 0 then (s + 1) / 2 else s end, 6) as score from (select *, (chunk_id % 21) / 10.0 - 1 as s from bm)) select query_id, chunk_id, score, rank from ({RANKED} m) where rank <= 5")
+@query("r13_model_rerank", f"with {BM}, {bm(10)}, m as (select query_id, chunk_id, round(0.3 * score + 0.7 * case when s < 0 then (s + 1) / 2 else s end, 8) as score from (select *, (chunk_id % 21) / 10.0 - 1 as s from bm)) select query_id, chunk_id, score, rank from ({RANKED} m) where rank <= 5")
 def _(tables):
     hits = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)
     return r.rerank_by_model(hits, hits.select("query_id", "chunk_id", ((F.col("chunk_id") % 21) / 10.0 - 1).alias("model_score")), 5).select("query_id", "chunk_id", "score", "rank")
