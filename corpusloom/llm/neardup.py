@@ -12,7 +12,7 @@ left out, while a group of many copies costs a comparison a member. That second
 as a bucket may hold all documents that share one passage: with shingles in the order of their frequency, two sets
 that agree in three quarters share one of the first n - ceil(0.75 n) + 1, which a common passage is not among. What
 a document shares with no other bounds what it can share with one, and so the sizes of sets that it can agree with;
-this keeps apart the outlying members of a large group of near copies. Before the full sets are compared, the
+so does a sketch of parities. Both keep apart the outlying members of a large group of near copies. Before the full sets are compared, the
 estimate from all registers, corrected for registers that agree by chance, must come within MARGIN of the threshold.
 
 Null and empty texts have no shingles and are linked with nothing; rows without an id are linked with nothing,
@@ -37,6 +37,8 @@ REGISTERS, BAND, MANTISSA = 160, 4, 10
 MARGIN = 0.17
 #: Sizes of sets are dealt into classes that each reach this much further.
 SIZE_STEP = 1.1
+#: Bits of the parity sketch that bounds how many shingles two sets share.
+PARITIES = 1024
 _LOOKUP = byte_table(SPACES, fold=True)
 _U = np.uint64
 
@@ -91,6 +93,14 @@ def registers(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits of each set, as 64-bit words: how many of its shingles fall on a bit, modulo two."""
+    rows, words = len(starts) - 1, PARITIES // 64
+    place = np.repeat(np.arange(rows), np.diff(starts)) * PARITIES + (mix(hashes + _U(3)) % _U(PARITIES)).astype(np.int64)
+    odd = (np.bincount(place, minlength=rows * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, PARITIES), axis=1, bitorder="little").view(np.uint64).reshape(rows, words)
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that a register of two sets of n and m shingles without a common one agrees: over cells of each exponent, both least hashes fall in one."""
     total, s = np.zeros(len(n)), n + m
@@ -196,21 +206,26 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
             for lo, hi in blocks(offsets):
                 part = offsets[lo : hi + 1]
                 starts, s, _, _ = shingle_sets(raw[part[0] : part[-1]], part - part[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), np.diff(starts))), pa.array(s.view(np.int64))], ["id", "s"])
+                sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(s.view(np.int64)))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * (PARITIES // 64), pa.int32()), pa.array(parities(starts, s).view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, bits], ["id", "s", "bits"])
 
-    shingles = cut(texts.mapInArrow(run, "id long, s long"), "shingles")
+    sets = cut(texts.mapInArrow(run, "id long, s array<long>, bits array<long>"), "shingles")
+    shingles = sets.select("id", F.explode("s").alias("s"))
     shared = shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one member come first; they take up places but join nothing.
-    ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o")).join(members, "id")
+    ordered = shingles.join(shared, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o")).join(members, "id").join(sets.select("id", "bits"), "id")
     places = f"n - ceil({THRESHOLD} * n / 100) + 1 - (n - size(o))"
     # Of two sets x and y with m elements that any other has, at most m are common, and THRESHOLD per cent of all must be: |y| is at most "reach" of x.
     reach = f"floor(({100 + THRESHOLD} * size(o)) / {THRESHOLD}) - n"
-    prefix = cut(ordered.select("id", "n", "comp", F.expr(reach).alias("reach"), F.expr(f"explode(slice(o, 1, cast(greatest(0, {places}) as int)))").alias("x")).select("id", "n", "comp", "reach", F.col("x.s").alias("s")), "prefix")
+    prefix = cut(ordered.select("id", "n", "comp", "bits", F.expr(reach).alias("reach"), F.expr(f"explode(slice(o, 1, cast(greatest(0, {places}) as int)))").alias("x")).select("id", "n", "comp", "bits", "reach", F.col("x.s").alias("s")), "prefix")
     step = lambda v: f"cast(floor(ln({v}) / {math.log(SIZE_STEP)!r}) as int)"
     # The larger set of a pair looks into the classes of sizes that it can agree with, the smaller one lies in its own.
-    one = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("reach").alias("ra"), "s", F.expr(f"explode(sequence({step(f'{THRESHOLD} * n / 100')}, {step('least(n, reach)')}))").alias("size"))
-    two = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("reach").alias("rb"), "s", F.expr(step("n")).alias("size"))
-    pairs = one.join(two, ["s", "size"]).where(f"ca <> cb and (na > nb or na = nb and a > b) and 100 * nb >= {THRESHOLD} * na and nb <= ra and na <= rb")
+    one = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("reach").alias("ra"), F.col("bits").alias("xa"), "s", F.expr(f"explode(sequence({step(f'{THRESHOLD} * n / 100')}, {step('least(n, reach)')}))").alias("size"))
+    two = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("reach").alias("rb"), F.col("bits").alias("xb"), "s", F.expr(step("n")).alias("size"))
+    # Each shingle that only one of two sets has turns one parity over, so the parities that differ count no more than these shingles.
+    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(PARITIES // 64))
+    pairs = one.join(two, ["s", "size"]).where(f"{100 + THRESHOLD} * ({apart}) <= {100 - THRESHOLD} * (na + nb) and ca <> cb and (na > nb or na = nb and a > b) and 100 * nb >= {THRESHOLD} * na and nb <= ra and na <= rb")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
