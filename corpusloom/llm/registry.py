@@ -27,7 +27,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_quality": quality.SQL,
-    "op2_quality": op2_quality,
     "op3_near_duplicates": neardup.SQL,
     "op4_decontamination": contamination.SQL,
 }
