@@ -84,7 +84,7 @@ def contexts(seen: DataFrame) -> DataFrame:
     one = F.regexp_extract(left, r"(\p{L}{1,30})[^\p{L}]{0,10}$", 0)
     word = F.regexp_extract(left, r"(\p{L}{1,30})[^\p{L}]{0,10}$", 1)
     after = F.regexp_extract(right, r"^[^\p{L}]{0,10}(\p{L}{1,30})", 1)
-    named = F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(one != "", F.concat(F.lit("1 "), one)), F.when((word != "") & (after != ""), F.concat(F.lit("s "), word, F.lit(" _ "), after)))
+    named = F.array(F.when(two != "", F.concat(F.lit("two "), two)), F.when(one != "", F.concat(F.lit("one "), one)), F.when((word != "") & (after != ""), F.concat(F.lit("side "), word, F.lit(" _ "), after)))
     return seen.select(F.explode(F.array_compact(named)).alias("context"), "value", "kind").where("context not rlike '[0-9]'").distinct()
 
 
