@@ -106,7 +106,7 @@ PARSED = f"page_id %s, url string, row_key long, host string, blocks {BLOCK}, fa
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Blocks that no role excludes, and what a page tells about its paths: kind 0 that it has one, 1 its children, 2 the texts below it."""
+    """Blocks that no role excludes, and what a page tells about its paths: kind 0 that it has one, 1 its children, 2 its own texts, 3 the paths above it."""
 
     def run(batches):
         for b in batches:
@@ -119,9 +119,10 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 known = {p: _hash(p) for p in {p for x in kept for p in x[1]}}
                 facts: Counter = Counter()
                 for t, paths, _, _ in kept:
-                    h = _hash(t)
-                    for p in paths:
-                        facts[known[p], 2, h] += 1
+                    if paths:
+                        facts[known[paths[-1]], 2, _hash(t)] += 1
+                        for p in paths:
+                            facts[known[paths[-1]], 3, known[p]] = 1
                 for p, k in known.items():
                     order = children.get(p, [])
                     facts[k, 1, _hash(" ".join(c for j, c in enumerate(order) if not j or order[j - 1] != c))] = 1
@@ -140,13 +141,12 @@ def importance(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of each branch of each host's tree; pages as parsed() gives them."""
     facts = pages.select("host", F.explode("facts").alias("f")).select("host", "f.*")
     shared = facts.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    m = F.max(F.when(F.col("kind") == 0, F.col("k")))
-    sums = shared.groupBy("host", "path").agg(
-        m.alias("pages"),
-        F.sum(F.when(F.col("kind") == 1, F.col("k") * F.ln("k"))).alias("style"),
-        F.sum(F.when(F.col("kind") == 2, F.col("n") * F.ln("k"))).alias("text"),
-        F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("blocks"),
-    )
+    sums = shared.where("kind < 2").groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"), F.sum(F.when(F.col("kind") == 1, F.col("k") * F.ln("k"))).alias("style"))
+    own = shared.where("kind = 2").groupBy("host", "path").agg(F.sum(F.col("n") * F.ln("k")).alias("text"), F.sum("n").alias("blocks"))
+    # What a path's own texts say counts for each path above it, itself included.
+    above = shared.where("kind = 3").select("host", "path", F.col("value").alias("branch"))
+    below = above.join(own, ["host", "path"]).groupBy("host", F.col("branch").alias("path")).agg(F.sum("text").alias("text"), F.sum("blocks").alias("blocks"))
+    sums = sums.join(below, ["host", "path"])
     # Entropy of styles with shares k / m, to the base m: 1 - sum(k ln k) / (m ln m).
     style = F.when(F.col("pages") > 1, 1 - F.coalesce("style", F.lit(0.0)) / (F.col("pages") * F.ln("pages"))).otherwise(1.0)
     content = F.when(F.col("pages") > 1, 1 - F.col("text") / F.col("blocks") / F.ln("pages")).otherwise(1.0)
