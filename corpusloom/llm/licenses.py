@@ -1,10 +1,13 @@
 """Licences of files: TF-IDF cosine of header lines and licence files to templates, then inheritance by directory.
 
 A line that has one of CUES is a candidate. Equal lines are scored once: terms are weighted by their frequency over
-all candidate lines of all files, and the sparse cosine to each template comes from a join on terms. A file's licence
-is its best line's, if that reaches CLOSE. A file with a licence is a licence file if its name says so, or if the line
-is most of what it has. A file without one inherits from the licence file in its nearest ancestor directory; the
-directories above each path are joined with those of licence files.
+all candidate lines of all files, and the sparse cosine to each template comes from a join on terms. A template counts
+only for lines that hold its decisive terms (DECIDES): the names and the version that tell licences apart. A line that
+names no version may match where TEMPLATES has one version of the licence only. A file's licence is its best line's, if
+that reaches CLOSE. A file whose candidate lines match nothing is UNKNOWN and inherits nothing, unless the lines only
+name an owner or point to a licence file. A file with a licence is a licence file if its name says so, or (a known
+licence) if the line is most of what it has. A file without one inherits from the licence file in its nearest ancestor
+directory; the directories above each path are joined with those of licence files.
 
 Null and empty texts have no licence of their own; a null path has no directory and inherits nothing; ties go to the
 licence, then the path, that comes first; repeated rows are judged each alike; extra columns are ignored.
@@ -12,30 +15,67 @@ licence, then the path, that comes first; repeated rows are judged each alike; e
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
+#: The licences of Creative Commons by their short and long names.
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _cc(code: str, name: str, version: str) -> list[str]:
+    port = "International" if version == "4.0" else "Unported"
+    return [f"Licensed under CC {code} {version}", f"This work is licensed under a Creative Commons {name} {version} {port} License", f"Creative Commons {name} {version}"]
+
+
+def _gnu(name: str, kind: str, version: str) -> list[str]:
+    return [
+        f"This {'work' if kind == 'program' else kind} is licensed under the {name}, version {version}",
+        f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version",
+    ]
+
+
 #: Characteristic sentences of licence notices.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
     "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The MIT License (MIT)"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license"],
+    "GPL-2.0": [*_gnu("GNU General Public License", "program", "2"), "Licensed under the GPL, version 2", "Licensed under GPLv2"],
+    "GPL-3.0": [*_gnu("GNU General Public License", "program", "3"), "Licensed under the GPL, version 3", "Licensed under GPLv3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "LGPL-2.1": [*_gnu("GNU Lesser General Public License", "library", "2.1"), "Licensed under the LGPL, version 2.1", "Licensed under LGPLv2.1"],
+    "LGPL-3.0": [*_gnu("GNU Lesser General Public License", "library", "3"), "Licensed under the LGPL, version 3", "Licensed under LGPLv3"],
+    "AGPL-3.0": [*_gnu("GNU Affero General Public License", "program", "3"), "Licensed under the AGPL, version 3", "Licensed under AGPLv3"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License", "Licensed under the Simplified BSD License"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license", "BSD 3-Clause License", "Licensed under the BSD 3-Clause License"],
+    "ISC": ["ISC License", "Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    **{f"CC-{code}-{version}": _cc(code, name, version) for code, name in CREATIVE.items() for version in ("1.0", "2.0", "2.5", "3.0", "4.0")},
 }
-CUES = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|free software|public domain"
+CUES = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|free software|public domain|creative commons|\bcc[ -]by\b"
+#: Candidate lines that state no terms of their own: they name an owner, or point to the licence file.
+OWNER = r"(?i)licen[sc]e|permission|redistribution|free software|public domain|creative commons|\bcc[ -]by\b"
+POINTS = r"(?i)\b(see|found in|refer to)\b.{0,40}\b(licen[sc]e|copying)\b"
+UNKNOWN = "unknown"
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
 CLOSE, MOST = 0.6, 0.5
 TERM = r"[\p{L}\p{N}.+-]*[\p{L}\p{N}]"
+DECIDES = r"^(apache|mit|isc|mozilla|gnu|lesser|affero|[al]?gpl(v[0-9.]+)?|bsd(-style)?|simplified|[0-9]-clause|creative|cc|by-.*|attribution.*|unencumbered)$"
+VERSION = r"^[0-9]{1,2}(\.[0-9]+)?$"
 
 
 def _terms(line):
-    return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
+    """Words in small letters; v3 and 3.0 are 3, and CC-BY-NC-4.0 is CC BY-NC 4.0."""
+    plain = F.regexp_replace(F.lower(line), r"\bcc[ -]by((?:-[a-z]{2})*)(?:[ -]v?(?=[0-9]))?", "cc by$1 ")
+    return F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), lambda t: F.regexp_replace(t, r"^v?([0-9]{1,2}(?:\.[1-9][0-9]*)?)(?:\.0)?$", "$1"))
+
+
+def _family(license: str) -> str:
+    """The licence without its version."""
+    return re.sub(r"-[0-9.]+$", "", license)
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -51,30 +91,36 @@ def scored_lines(lines: DataFrame) -> DataFrame:
     counts = distinct.select("line", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     idf = df.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = [(f"{k}#{i}", k, t) for k, own in TEMPLATES.items() for i, t in enumerate(own)]
-    fixed = spark.createDataFrame(rows, "template string, license string, line string")
-    own = fixed.select("template", "license", F.explode(_terms(F.col("line"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    families = Counter(map(_family, TEMPLATES))
+    rows = [(f"{k}#{i}", k, families[_family(k)] == 1, t) for k, own in TEMPLATES.items() for i, t in enumerate(own)]
+    fixed = spark.createDataFrame(rows, "template string, license string, lone boolean, line string")
+    own = fixed.select("template", "license", "lone", F.explode(_terms(F.col("line"))).alias("term")).groupBy("template", "license", "lone", "term").agg(F.count("*").alias("tf"))
     weigh = lambda x: x.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     ours, theirs = weigh(counts), weigh(own)
-    norm = ours.groupBy("line").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("a"))
-    size = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("b"))
-    theirs = theirs.join(size, "template").select("template", "license", "term", (F.col("w") / F.col("b")).alias("wt"))
-    # The templates are fixed, some hundred terms, so they are broadcast.
-    dot = ours.join(F.broadcast(theirs), "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot")).join(norm, "line")
+    versions = lambda: F.count_if(F.col("term").rlike(VERSION))
+    names = lambda: F.count_if(F.col("term").rlike(DECIDES))
+    norm = ours.groupBy("line").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("a"), versions().alias("named"))
+    size = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("b"), names().alias("names"), versions().alias("versions"))
+    theirs = theirs.join(size, "template").select("template", "license", "lone", "names", "versions", "term", (F.col("w") / F.col("b")).alias("wt"))
+    # The templates are fixed, some thousand terms, so they are broadcast.
+    dot = ours.join(F.broadcast(theirs), "term").groupBy("line", "template", "license", "lone", "names", "versions").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"), names().alias("met"), versions().alias("same")).join(norm, "line")
+    dot = dot.where((F.col("met") == F.col("names")) & ((F.col("same") == F.col("versions")) | F.col("lone") & (F.col("named") == 0)))
     best = dot.select("line", "license", F.round(F.col("dot") / F.col("a"), 6).alias("score")).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
     return best.select("line", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
 
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
-    """key, path, license, score, found (header, file, inherited or none), origin (the path that it comes from)."""
+    """key, path, license (UNKNOWN: a notice that no template matches), score, found (header, file, inherited or none, which an unknown header is too), origin (the path that it comes from)."""
     files = files.select(files[key_col].alias("key"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
     lines = cut(lines_of(files), "candidates")
-    hits = lines.join(scored_lines(lines).where(F.col("score") >= CLOSE), "line")
-    own = hits.groupBy("key", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "line", "size")).alias("m"))
-    whole = F.col("path").rlike(NAMES) | (F.length("m.line") >= MOST * F.col("m.size"))
+    close = F.coalesce(F.col("score") >= CLOSE, F.lit(False))
+    hits = lines.join(scored_lines(lines), "line", "left").where(close | F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
+    hits = hits.select("key", "path", "line", "size", (~close).alias("odd"), F.when(close, F.col("license")).otherwise(UNKNOWN).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    own = hits.groupBy("key", "path").agg(F.min(F.struct("odd", (-F.col("score")).alias("s"), "license", "line", "size")).alias("m"))
+    whole = F.col("path").rlike(NAMES) | (~F.col("m.odd") & (F.length("m.line") >= MOST * F.col("m.size")))
     own = cut(own.select("key", "path", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"), F.coalesce(whole, F.lit(False)).alias("whole")), "own")
     folder = F.regexp_replace("path", "[^/]*$", "")
-    given = own.where("whole and path is not null").groupBy(folder.alias("dir")).agg(F.min(F.struct((~F.col("path").rlike(NAMES)).alias("odd"), "path", "license", "score")).alias("g"))
+    given = own.where("whole and path is not null").groupBy(folder.alias("dir")).agg(F.min(F.struct((~F.col("path").rlike(NAMES)).alias("odd"), (F.col("license") == UNKNOWN).alias("vague"), "path", "license", "score")).alias("g"))
     ids = files.select("key", "path")
     mine = own.select(F.col("key").alias("k"), F.col("path").alias("p"), "license", "score", "whole")
     out = ids.join(mine, ids["key"].eqNullSafe(mine["k"]) & ids["path"].eqNullSafe(mine["p"]), "left").drop("k", "p")
@@ -87,7 +133,7 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFr
     has = F.col("license").isNotNull()
     return out.select(
         "key", "path", F.coalesce("license", "g.license").alias("license"), F.coalesce("score", "g.score", F.lit(0.0)).alias("score"),
-        F.when(has & F.col("whole"), "file").when(has, "header").when(F.col("g.path").isNotNull(), "inherited").otherwise("none").alias("found"),
+        F.when(has & F.col("whole"), "file").when(F.col("license") == UNKNOWN, "none").when(has, "header").when(F.col("g.path").isNotNull(), "inherited").otherwise("none").alias("found"),
         F.when(has, F.col("path")).otherwise(F.col("g.path")).alias("origin"),
     )
 

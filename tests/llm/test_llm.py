@@ -273,6 +273,30 @@ def test_licences_are_found_and_inherited(spark):
     assert got[3] == ("GPL-3.0", "inherited", "r/b/COPYING") and got[4][:2] == ("Apache-2.0", "header") and got[5][1] == got[6][1] == "none"
 
 
+def test_licences_of_other_families_are_told_apart(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "CC-BY-SA-3.0": "CC-BY-SA-3.0", "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.5 License": "CC-BY-NC-SA-2.5",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "Licensed under the GNU General Public License v3.0": "GPL-3.0",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "This work is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "ISC License": "ISC", "Licensed under the Apache License": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1": "unknown", "Released under the House License": "unknown", "Proprietary: no licence is given": "unknown",
+    }
+    df = spark.createDataFrame([(i, f"r{i}/x", t + "\n" + "code\n" * 50) for i, t in enumerate(lines)], "id int, path string, text string")
+    got = {r.key: (r.license, r.found) for r in licenses.scan(df, "id", "path", "text").collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == {t: (x, "none" if x == "unknown" else "header") for t, x in lines.items()}
+
+
+def test_unknown_notices_inherit_nothing(spark):
+    code = "\n" + "code\n" * 50
+    rows = [("r/LICENSE", "The MIT License (MIT)"), ("r/a.py", "# Released under the House License" + code), ("r/b.py", "# Copyright 2020 A. Body" + code), ("r/c.py", "# Use is subject to the terms found in the LICENSE file" + code), ("r/s/LICENSE", "House License, all rights reserved"), ("r/s/d.py", "code"), ("r/t/odd.txt", "A house license"), ("r/t/e.py", "code")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "id int, path string, text string")
+    got = {r.path: (r.license, r.found, r.origin) for r in licenses.scan(df, "id", "path", "text").collect()}
+    assert got["r/a.py"] == ("unknown", "none", "r/a.py") and got["r/s/LICENSE"] == ("unknown", "file", "r/s/LICENSE") and got["r/t/odd.txt"][:2] == ("unknown", "none")
+    assert got["r/b.py"] == got["r/c.py"] == got["r/t/e.py"] == ("MIT", "inherited", "r/LICENSE") and got["r/s/d.py"] == ("unknown", "inherited", "r/s/LICENSE")
+
+
 def labels_of(spark):
     return spark.createDataFrame([(3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
 
