@@ -19,7 +19,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -106,7 +106,10 @@ PARSED = f"page_id %s, url string, row_key long, host string, blocks {BLOCK}, fa
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Blocks that no role excludes, and what a page tells about its paths: kind 0 that it has one, 1 its children, 2 its own texts, 3 the paths above it."""
+    """Blocks that no role excludes, and what a page tells about its paths: kind 0 that it has one, 1 its children.
+
+    A text's place is all its own paths on the page, with how often it has each. Kind 2 tells the texts of a place, 3 the paths above a place and how often it lies below each.
+    """
 
     def run(batches):
         for b in batches:
@@ -118,11 +121,15 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     kept = [x for x in kept if x[3]]
                 known = {p: _hash(p) for p in {p for x in kept for p in x[1]}}
                 facts: Counter = Counter()
+                places: dict[int, list[list[str]]] = {}
                 for t, paths, _, _ in kept:
                     if paths:
-                        facts[known[paths[-1]], 2, _hash(t)] += 1
-                        for p in paths:
-                            facts[known[paths[-1]], 3, known[p]] = 1
+                        places.setdefault(_hash(t), []).append(paths)
+                for t, own in places.items():
+                    place = known[own[0][-1]] if len(own) == 1 else _hash(" ".join(sorted(str(known[paths[-1]]) for paths in own)))
+                    facts[place, 2, t] = 1
+                    for p, n in Counter(p for paths in own for p in paths).items():
+                        facts[place, 3, known[p]] = n
                 for p, k in known.items():
                     order = children.get(p, [])
                     facts[k, 1, _hash(" ".join(c for j, c in enumerate(order) if not j or order[j - 1] != c))] = 1
@@ -140,12 +147,17 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def importance(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of each branch of each host's tree; pages as parsed() gives them."""
     facts = pages.select("host", F.explode("facts").alias("f")).select("host", "f.*")
-    shared = facts.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    shared = facts.where("kind <> 2").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     sums = shared.where("kind < 2").groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"), F.sum(F.when(F.col("kind") == 1, F.col("k") * F.ln("k"))).alias("style"))
-    own = shared.where("kind = 2").groupBy("host", "path").agg(F.sum(F.col("n") * F.ln("k")).alias("text"), F.sum("n").alias("blocks"))
-    # What a path's own texts say counts for each path above it, itself included.
-    above = shared.where("kind = 3").select("host", "path", F.col("value").alias("branch"))
-    below = above.join(own, ["host", "path"]).groupBy("host", F.col("branch").alias("path")).agg(F.sum("text").alias("text"), F.sum("blocks").alias("blocks"))
+    above = shared.where("kind = 3").select("host", F.col("path").alias("place"), F.col("value").alias("path"), "n")
+    # One shuffle, by host and text, serves both steps. A page has a text at one place, so pages of places add up.
+    texts = facts.where("kind = 2").select("host", F.col("value").alias("t"), F.col("path").alias("place")).repartition("host", "t")
+    texts = texts.groupBy("host", "t", "place").agg(F.count("*").alias("k")).withColumn("all", F.sum("k").over(Window.partitionBy("host", "t")))
+    blocks = texts.groupBy("host", "place").agg(F.sum("k").alias("k")).join(above, ["host", "place"]).groupBy("host", "path").agg(F.sum(F.col("k") * F.col("n")).alias("blocks"))
+    # Texts of one page of a host add ln 1 to each branch, so only the others are looked up for each path above them.
+    more = texts.where("all > 1").join(above, ["host", "place"]).groupBy("host", "path", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("n")).alias("n"))
+    more = more.groupBy("host", "path").agg(F.sum(F.col("n") * F.ln("k")).alias("text"))
+    below = blocks.join(more, ["host", "path"], "left").select("host", "path", F.coalesce("text", F.lit(0.0)).alias("text"), "blocks")
     sums = sums.join(below, ["host", "path"])
     # Entropy of styles with shares k / m, to the base m: 1 - sum(k ln k) / (m ln m).
     style = F.when(F.col("pages") > 1, 1 - F.coalesce("style", F.lit(0.0)) / (F.col("pages") * F.ln("pages"))).otherwise(1.0)
@@ -156,9 +168,10 @@ def importance(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     trees = cut(parsed(pages, id_col, url_col, html_col), "pages")
-    weak = importance(trees).where((F.col("pages") >= least) & (F.col("importance") < low)).select("host", "path")
-    own = trees.select("page_id", "row_key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path")).distinct()
-    gone = own.join(weak, ["host", "path"]).groupBy("page_id", "row_key").agg(F.collect_set("path").alias("gone")).withColumnsRenamed({"page_id": "d", "row_key": "r"})
+    # Both are cut so that the planner knows their sizes: where they are small, pages aren't shuffled for them.
+    weak = cut(importance(trees).where((F.col("pages") >= least) & (F.col("importance") < low)).select("host", "path"), "weak")
+    own = trees.select("page_id", "row_key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
+    gone = cut(own.join(weak, ["host", "path"]).groupBy("page_id", "row_key").agg(F.collect_set("path").alias("gone")).withColumnsRenamed({"page_id": "d", "row_key": "r"}), "gone")
     out = trees.select("page_id", "url", "row_key", "blocks").join(gone, trees["page_id"].eqNullSafe(gone["d"]) & (trees["row_key"] == gone["r"]), "left")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["paths"], F.col("gone")), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
