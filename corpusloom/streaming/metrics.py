@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "10 minutes"
 
+#: Rows of a client that one group of the batch rate limit should hold.
+ISLANDS = 10_000
+
 
 def windowed(events: DataFrame, width: str = "5 minutes", *by) -> DataFrame:
     """Events grouped by time window (and columns); a stream gets its watermark here."""
@@ -76,6 +79,18 @@ def _accepts(ts: list[float], limit: int, seconds: float) -> list[bool]:
     return out
 
 
+def islands(requests: DataFrame, seconds: float, rows: int = ISLANDS) -> DataFrame:
+    """requests with island: runs of a client's requests that a gap longer than the span parts, numbered by the first of each so that short ones go together up to about rows.
+
+    Nothing accepted before such a gap still counts after it. A client without gaps is one run.
+    """
+    w = Window.partitionBy("client_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)
+    out = requests.withColumn("at", F.row_number().over(w)).withColumn("gap", gap)
+    first = F.max(F.when((F.col("at") == 1) | (F.col("gap") > seconds * 1e6), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("island", F.floor(first / rows)).drop("at", "gap")
+
+
 def rate_limit(requests: DataFrame, limit: int = 30, seconds: float = 60.0) -> DataFrame:
     """requests(client_id, ts, id) with accepted: a client has at most limit accepted ones in any sliding span; only these count."""
 
@@ -85,7 +100,7 @@ def rate_limit(requests: DataFrame, limit: int = 30, seconds: float = 60.0) -> D
         return pdf[["client_id", "id", "accepted"]]
 
     own = requests.select("client_id", F.col("ts").cast("timestamp").alias("ts"), "id")
-    return own.groupBy("client_id").applyInPandas(run, "client_id long, id long, accepted boolean")
+    return islands(own, seconds).groupBy("client_id", "island").applyInPandas(run, "client_id long, id long, accepted boolean")
 
 
 class RateLimiter(StatefulProcessor):

@@ -127,3 +127,21 @@ def test_alert_holds_over_midnight(spark):
     rows = [(start + dt.timedelta(minutes=5 * i), i != 6) for i in range(10)]
     got = metrics.firing(spark.createDataFrame(rows, "start timestamp, alert boolean"), 300, 5).orderBy("start").collect()
     assert [r.run for r in got] == [1, 2, 3, 4, 5, 6, 0, 1, 2, 3] and [r.firing for r in got].count(True) == 2
+
+
+def test_rate_limit_parts_a_client_at_gaps(spark):
+    r, t, times = random.Random(3), 1_700_000_000_000_000, []
+    for _ in range(600):
+        t += r.choice([1, 2, 5, 20, 59, 60, 61, 200]) * 1_000_000
+        times.append(t)
+    df = spark.createDataFrame([(7, x, i) for i, x in enumerate(times)], "client_id long, us long, id long").selectExpr("client_id", "timestamp_micros(us) as ts", "id")
+    want = metrics._accepts([x / 1e6 for x in times], 2, 60.0)
+    runs = metrics.islands(df, 60.0, 50).groupBy("island").count().collect()
+    assert len(runs) > 5 and max(x["count"] for x in runs) < 120
+    whole = metrics.islands
+    metrics.islands = lambda d, s: whole(d, s, 50)
+    try:
+        got = {x.id: x.accepted for x in metrics.rate_limit(df, 2, 60.0).collect()}
+    finally:
+        metrics.islands = whole
+    assert [got[i] for i in range(600)] == want
