@@ -2,11 +2,12 @@
 
 A text's words repeat, so each worker keeps the ids of the chunks it has met. Texts are cut where the split
 pattern begins a new piece whatever stands around (see chunk_starts), thus a text's ids are its
-chunks' ids in a row. Chunks are told apart by their bytes' 64-bit hashes, found for a whole block of texts at a time;
-only those not met yet go to the library. The store is emptied when it reaches CHUNKS_KEPT, which bounds memory and
-changes no result.
+chunks' ids in a row. Chunks are looked up by their bytes' 64-bit hashes, found for a whole block of texts at a time,
+and what is found must agree in its bytes; only chunks not met yet, or that share a hash with another, go to the
+library. The store is emptied when it reaches CHUNKS_KEPT, which bounds memory and changes no result.
 
-Nulls and empty texts have no ids; repeated rows are encoded each for itself; extra columns are ignored.
+Nulls and empty texts have no ids; repeated rows are encoded each for itself; extra columns are ignored; an empty
+table gives an empty result. A text of any length is encoded whole, as a block of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, byte_table, span_hashes, text_parts, tokenizer_path
+from .common import blocks, span_hashes, text_parts, tokenizer_path
 
 CHUNKS_KEPT = 2_000_000
 #: Chunks that are handed to the library as one text.
@@ -33,7 +34,6 @@ _BREAK, _SIGN, _PLAIN = np.zeros((3, 256), bool)
 _BREAK[[0x20, 0x0A]] = True
 _SIGN[list(b"!#$%&()*+,-./:;<=>?@|~")] = True
 _PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_BYTES = byte_table(b"", fold=False)
 
 
 @lru_cache(1)
@@ -96,17 +96,22 @@ def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of blocks of texts."""
+    """Token ids of blocks of texts. Literals of added tokens are ordinary text, unless added is true."""
 
-    def __init__(self, tokenizer, length: np.ndarray):
+    def __init__(self, tokenizer, length: np.ndarray, added: bool = False):
         """length: bytes of each id."""
         self.tokenizer, self.length = tokenizer, length
-        tokenizer.encode_special_tokens = True
+        self.literals = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()] if added else []
         self._empty()
 
     def _empty(self) -> None:
-        self.hashes, self.starts, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        self.hashes = np.empty(0, np.uint64)
+        self.starts, self.counts, self.place, self.size = np.empty((4, 0), np.int64)
+        self.pool, self.bytes = np.empty(0, np.uint32), np.empty(0, np.uint8)
+
+    def _ids(self, texts: list[bytes], literal: bool = False) -> list[np.ndarray]:
+        self.tokenizer.encode_special_tokens = not literal
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         """Keeps the ids of new chunks. Those between single spaces are handed over JOINED at a time and told apart by their bytes, which costs less for each."""
@@ -118,25 +123,44 @@ class Encoder:
         ordered = [chunks[i] for i in order]
         for lo in range(0, len(groups), 1000):
             part = groups[lo : lo + 1000]
-            got = self.tokenizer.encode_batch_fast([b"".join(ordered[g[0] : g[-1] + 1]).decode() for g in part], add_special_tokens=False)
-            for g, e in zip(part, got, strict=True):
-                ids = np.array(e.ids, np.uint32)
+            for g, ids in zip(part, self._ids([b"".join(ordered[g[0] : g[-1] + 1]) for g in part]), strict=True):
                 ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(ordered[i]) for i in g])) + 1
                 counts[g[0] : g[-1] + 1] = np.diff(ends, prepend=0)
                 pools.append(ids)
-        starts = len(self.pool) + np.cumsum(counts) - counts
+        size = np.array([len(c) for c in ordered], np.int64)
+        starts, place = len(self.pool) + np.cumsum(counts) - counts, len(self.bytes) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, *pools])
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(ordered), np.uint8)))
         hashes = np.concatenate((self.hashes, hashes[order]))
         sort = np.argsort(hashes)
-        self.hashes, self.starts, self.counts = hashes[sort], np.concatenate((self.starts, starts))[sort], np.concatenate((self.counts, counts))[sort]
+        self.hashes = hashes[sort]
+        self.starts, self.counts, self.place, self.size = (np.concatenate(x)[sort] for x in ((self.starts, starts), (self.counts, counts), (self.place, place), (self.size, size)))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, len+1 offsets of the rows among them)."""
+        ids, to = self._plain(raw, offsets)
+        data = raw.tobytes() if self.literals else b""
+        hit = set()
+        for x in self.literals:
+            at = data.find(x)
+            while at != -1:
+                hit.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = data.find(x, at + 1)
+        if not hit:
+            return ids, to
+        # Rows with the literal of an added token are the library's alone.
+        rows = sorted(hit)
+        parts = [ids[to[i] : to[i + 1]] for i in range(len(to) - 1)]
+        for i, own in zip(rows, self._ids([data[offsets[i] : offsets[i + 1]] for i in rows], literal=True), strict=True):
+            parts[i] = own
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+    def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = chunk_starts(raw, offsets)
         if not len(at):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(at[1:], len(raw))
-        hashes, first, which = np.unique(span_hashes(raw, at, ends, _BYTES[1]), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(span_hashes(raw, at, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > CHUNKS_KEPT:
             self._empty()
         place = np.searchsorted(self.hashes, hashes)
@@ -145,9 +169,22 @@ class Encoder:
             data = raw.tobytes()
             self._learn(hashes[new], [data[i:j] for i, j in zip(at[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.hashes, hashes)
-        counts = self.counts[place][which]
+        found, length = place[which], ends - at
+        counts, starts, pool = self.counts[found], self.starts[found], self.pool
+        # Chunks of one length up to eight bytes have hashes of their own; of longer ones the bytes are compared.
+        other = self.size[found] != length
+        long = np.flatnonzero((length > 8) & ~other)
+        if len(long):
+            same = ragged(raw, at[long], length[long]) == ragged(self.bytes, self.place[found[long]], length[long])
+            other[long] = ~np.logical_and.reduceat(same, np.cumsum(length[long]) - length[long])
+        if other.any():
+            odd = np.flatnonzero(other)
+            own = self._ids([raw[at[i] : ends[i]].tobytes() for i in odd])
+            counts[odd] = [len(x) for x in own]
+            starts[odd] = len(pool) + np.cumsum(counts[odd]) - counts[odd]
+            pool = np.concatenate([pool, *own])
         total = np.concatenate(([0], np.cumsum(counts)))
-        return ragged(self.pool, self.starts[place][which], counts), total[np.searchsorted(at, offsets)]
+        return ragged(pool, starts, counts), total[np.searchsorted(at, offsets)]
 
 
 class Decoder:
@@ -179,9 +216,10 @@ def codec(path: str, pattern: str | None) -> tuple[Encoder, Decoder]:
     if (path, pattern) not in _loaded:
         from tokenizers import Tokenizer
 
-        tokenizer = tokenizer_from_ranks(read_ranks(path), pattern) if path.endswith(".tiktoken") else Tokenizer.from_file(path)
+        ranks = path.endswith(".tiktoken")
+        tokenizer = tokenizer_from_ranks(read_ranks(path), pattern) if ranks else Tokenizer.from_file(path)
         dec = Decoder(token_bytes(tokenizer))
-        _loaded[path, pattern] = Encoder(tokenizer, dec.length), dec
+        _loaded[path, pattern] = Encoder(tokenizer, dec.length, added=not ranks), dec
     return _loaded[path, pattern]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 import tempfile
 import uuid
 
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set (tests), one is made and set."""
+    """The shared folder of the cluster. Where none is set, a local session makes one for itself; on a cluster that is an error, as each machine would write to its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -79,56 +81,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """1, b, b^2 ... modulo 2^64 for the base of word hashes, or for its inverse."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        b = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        out = np.empty(max(n, BLOCK_BYTES + 1), np.uint64)
-        out[0], size = 1, 1
-        while size < len(out):
-            more = min(size, len(out) - size)
-            out[size : size + more] = out[:more] * np.uint64(pow(b, size, 1 << 64))
-            size += more
-        _powers[kind] = have = out
-    return have[:n]
+#: Bytes of a span that are hashed eight at a time; longer spans go to a cryptographic hash.
+LANES = 128
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def byte_table(separators: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(is separator, value) of each byte for word_hashes; fold: A-Z count as a-z."""
+    """(is separator, byte that stands for it) of each byte, for word_hashes; fold: A-Z count as a-z."""
     is_sep = np.zeros(256, bool)
     is_sep[list(separators)] = True
-    value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    same = np.arange(256, dtype=np.uint8)
     if fold:
-        value[65:91] = value[97:123]
-    return is_sep, value
+        same[65:91] = same[97:123]
+    return is_sep, same
 
 
 #: Space and the control characters from tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row: (row, hash, start byte, end byte). Separators are ASCII bytes, so the bytes decide as code points would."""
-    is_sep, value = lookup
-    n = len(raw)
-    if not n:
-        none = np.empty(0, np.int64)
-        return none, np.empty(0, np.uint64), none, none
+def word_spans(raw: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row: (row, start byte, end byte). Separators are ASCII bytes, so the bytes decide as code points would."""
+    if not len(raw):
+        return (np.empty(0, np.int64),) * 3
     word = ~is_sep[raw]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
-    return np.searchsorted(offsets, starts, "right") - 1, span_hashes(raw, starts, ends, value), starts, ends
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[starts[i]:ends[i]]; value: a number for each byte. Equal bytes hash alike wherever they stand."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * _power("up", len(raw)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return np.searchsorted(offsets, starts, "right") - 1, starts, ends
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lookup) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word."""
+    is_sep, same = lookup
+    row, starts, ends = word_spans(raw, offsets, is_sep)
+    return row, span_hashes(same[raw], starts, ends)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[starts[i]:ends[i]]. Each step is one-to-one in the eight bytes that it takes in, so spans of one length up to eight never collide; no sum over positions is involved that patterned texts could cancel out."""
+    length = ends - starts
+    h = mix(length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(0x9E3779B97F4A7C15))
+    padded, eight = np.concatenate((raw, np.zeros(8, np.uint8))), np.arange(8)
+    which, at, left = np.arange(len(starts)), starts, length
+    short = length <= LANES
+    if not short.all():
+        for i in np.flatnonzero(~short):
+            h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        which, at, left = which[short], at[short], left[short]
+    while len(which):
+        x = padded[at[:, None] + eight].view("<u8")[:, 0] & _MASK[np.minimum(left, 8)]
+        h[which] = mix(h[which] ^ x)
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return h

@@ -15,13 +15,17 @@ a document shares with no other bounds what it can share with one, and so the si
 so does a sketch of parities. Both keep apart the outlying members of a large group of near copies. Before the full sets are compared, the
 estimate from all registers, corrected for registers that agree by chance, must come within MARGIN of the threshold.
 
+Texts are of one class if a 128-bit cryptographic digest of their words agrees. Classes are numbered once, in a
+written table, and all joins go by these numbers, so rows that repeat an id with different texts stay apart.
+
 Null and empty texts have no shingles and are linked with nothing; rows without an id are linked with nothing,
-have a null component and are kept; rows that repeat an id count as copies of each other if their words agree;
-an empty table gives an empty result; extra columns are ignored.
+have a null component and are kept; rows that repeat an id are linked only if their texts are; an empty table
+gives an empty result; extra columns are ignored; a text of any length has its whole set.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, blocks, byte_table, cut, mix, table, text_parts, word_hashes
+from .common import SPACES, blocks, byte_table, cut, mix, span_hashes, table, text_parts, word_spans
 
 SHINGLE, THRESHOLD = 5, 75
 REGISTERS, BAND, MANTISSA = 160, 4, 10
@@ -51,18 +55,22 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, key 1, key 2) of the rows of a block: row i's set is hashes[starts[i]:starts[i + 1]], ascending; the keys tell sequences of words apart."""
     n = len(offsets) - 1
-    row, h, _, _ = word_hashes(raw, offsets, _LOOKUP)
+    is_sep, same = _LOOKUP
+    folded = same[raw]
+    row, begin, end = word_spans(raw, offsets, is_sep)
+    h = span_hashes(folded, begin, end)
     count = np.bincount(row, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)))
     within = np.arange(len(row)) - first[row] if len(row) else row
-    keys = []
-    for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-        power = np.ones(max(count.max(initial=0), 1), np.uint64)
-        power[1:] = _U(salt | 1)
-        power = np.multiply.accumulate(power)
-        total = np.zeros(len(row) + 1, np.uint64)
-        np.cumsum(mix(h ^ _U(salt)) * power[within], out=total[1:])
-        keys.append(mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64)))
+    # The digest of a sequence of words is that of their lengths and of their bytes.
+    size = (end - begin).astype("<u4")
+    letters = folded[~is_sep[raw]].tobytes()
+    to = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[first].tolist()
+    keys = np.zeros((2, n), np.uint64)
+    for i in np.flatnonzero(count):
+        d = hashlib.blake2b(size[first[i] : first[i + 1]].tobytes(), digest_size=16)
+        d.update(letters[to[i] : to[i + 1]])
+        keys[:, i] = np.frombuffer(d.digest(), "<u8")
     at = np.flatnonzero(within <= (count[row] - SHINGLE)) if len(row) else np.empty(0, np.int64)
     s = np.zeros(len(at), np.uint64)
     for j in range(SHINGLE):
@@ -117,7 +125,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n shingles, k1, k2, words, registers) of each row."""
+    """(id, row_key, n shingles, k1, k2, registers) of each row; row_key is a hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -127,9 +135,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 starts, s, k1, k2 = shingle_sets(raw[part[0] : part[-1]], part - part[0])
                 n = np.diff(starts)
                 regs = registers(starts, s)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "k1", "k2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "row_key", "n", "k1", "k2", "regs"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, regs binary")
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row_key")).mapInArrow(run, "id long, row_key long, n long, k1 long, k2 long, regs binary")
 
 
 def band_rows(sketches: DataFrame) -> DataFrame:
@@ -167,20 +176,29 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) of which the full sets agree: 100 * common >= THRESHOLD * all."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(ids, "id", "left_semi")
+def _texts(nodes: DataFrame, docs: DataFrame, of: DataFrame, make, schema: str, id_col: str, text_col: str) -> DataFrame:
+    """(node, columns of schema) for each of the nodes: make(starts, hashes) gives the columns of a block of texts. of: (node, rep, k1, k2), the class that each node stands for."""
+    wanted = of.join(nodes, "node", "left_semi")
+    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    names = ["rep", "k1", "k2", *(c.split()[0] for c in schema.split(", "))]
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             raw, offsets = text_parts(batch.column(1))
             for lo, hi in blocks(offsets):
                 part = offsets[lo : hi + 1]
-                starts, s, _, _ = shingle_sets(raw[part[0] : part[-1]], part - part[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s[i:j].tobytes() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())], ["id", "s"])
+                starts, s, k1, k2 = shingle_sets(raw[part[0] : part[-1]], part - part[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *make(starts, s)], names)
+
+    key = ["rep", "k1", "k2"]
+    return texts.mapInArrow(run, f"rep long, k1 long, k2 long, {schema}").dropDuplicates(key).join(wanted, key).select("node", *names[3:])
 
-    full = cut(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), name)
+
+def verified(pairs: DataFrame, docs: DataFrame, of: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) of nodes of which the full sets agree: 100 * common >= THRESHOLD * all."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pack = lambda starts, s: [pa.array([s[i:j].tobytes() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())]
+    full = cut(_texts(nodes, docs, of, pack, "s binary", id_col, text_col), name)
 
     def run(batches):
         for batch in batches:
@@ -192,25 +210,21 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str, id_col: str = "doc_id
                 keep.append(100 * common >= THRESHOLD * (len(x) + len(y) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    one, two = full.select(F.col("id").alias("a"), F.col("s").alias("sa")), full.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    one, two = full.select(F.col("node").alias("a"), F.col("s").alias("sa")), full.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(members: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) of members (id, n, comp) of different components that may agree in THRESHOLD per cent; none that does is left out."""
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(members, "id", "left_semi").dropDuplicates(["id"])
+def prefix_pairs(members: DataFrame, docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of members (node, n, comp) of different components that may agree in THRESHOLD per cent; none that does is left out."""
 
-    def run(batches):
-        for batch in batches:
-            raw, offsets = text_parts(batch.column(1))
-            for lo, hi in blocks(offsets):
-                part = offsets[lo : hi + 1]
-                starts, s, _, _ = shingle_sets(raw[part[0] : part[-1]], part - part[0])
-                sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(s.view(np.int64)))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * (PARITIES // 64), pa.int32()), pa.array(parities(starts, s).view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets, bits], ["id", "s", "bits"])
+    def pack(starts, s):
+        sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(s.view(np.int64)))
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(starts)) * (PARITIES // 64), pa.int32()), pa.array(parities(starts, s).view(np.int64).reshape(-1)))
+        return [sets, bits]
 
-    sets = cut(texts.mapInArrow(run, "id long, s array<long>, bits array<long>"), "shingles")
+    sets = cut(_texts(members.select("node"), docs, of, pack, "s array<long>, bits array<long>", id_col, text_col), "shingles")
+    members = members.withColumnRenamed("node", "id")
+    sets = sets.withColumnRenamed("node", "id")
     shingles = sets.select("id", F.explode("s").alias("s"))
     shared = shingles.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one member come first; they take up places but join nothing.
@@ -252,36 +266,56 @@ def components(edges: DataFrame) -> DataFrame:
     return member.join(low, "root").select("id", "comp")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row_key, n, k1, k2, root, comp) of each row: root tells groups apart, comp is the smallest id of the group; both are null without an id or a word."""
     every = cut(sketch(docs, id_col, text_col), "sketch")
-    copies = cut(every.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "copies")
-    reps = every.join(copies.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "regs")
-    reps = cut(reps, "reps")
+    own = every.where("n > 0 and id is not null")
+    # Numbered in the file that is written, so a class has one number however often it is read.
+    of = cut(own.groupBy("k1", "k2").agg(F.min("id").alias("rep")).select(F.monotonically_increasing_id().alias("node"), "rep", "k1", "k2"), "classes")
+    first = every.join(of, (every["id"] == of["rep"]) & (every["k1"] == of["k1"]) & (every["k2"] == of["k2"]))
+    reps = cut(first.select(of["node"].alias("id"), "n", "regs").dropDuplicates(["id"]), "reps")
     rows = band_rows(reps)
     buckets = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = cut(rows.join(buckets.select("key", "hub"), "key"), "buckets")
-    first = cut(likely(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps), "likely")
-    links = cut(verified(first, docs, "sets", id_col, text_col), "links")
+    near = cut(likely(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps), "likely")
+    links = cut(verified(near, docs, of, "sets", id_col, text_col), "links")
     found = cut(components(links), "found")
     # Buckets that still hold more than one component: their members are compared across components.
     labelled = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = cut(labelled.join(mixed, "key", "left_semi").select("id", "n", "comp").distinct(), "mixed")
-    across = prefix_pairs(left, docs, id_col, text_col).join(first, ["a", "b"], "left_anti")
-    more = cut(verified(cut(likely(across, reps), "likely"), docs, "sets", id_col, text_col), "links")
+    left = cut(labelled.join(mixed, "key", "left_semi").select(F.col("id").alias("node"), "n", "comp").distinct(), "mixed")
+    across = prefix_pairs(left, docs, of, id_col, text_col).join(near, ["a", "b"], "left_anti")
+    more = cut(verified(cut(likely(across, reps), "likely"), docs, of, "sets", id_col, text_col), "links")
     found = cut(components(links.union(more)), "found")
-    of = copies.join(found, copies["rep"] == found["id"], "left").select(F.col("k1"), F.col("k2"), F.coalesce("comp", "rep").alias("comp"))
-    out = every.where("n > 0 and id is not null").join(of, ["k1", "k2"]).select("id", "n", "comp")
-    alone = every.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp"))
-    return out.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
+    # The smallest node of a group need not hold its smallest id.
+    least = found.join(of.select(F.col("node").alias("id"), "rep"), "id").groupBy("comp").agg(F.min("rep").alias("least"))
+    found = found.join(least, "comp").select(F.col("id").alias("node"), F.col("comp").alias("root"), "least")
+    named = of.join(found, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("comp"))
+    own = own.join(named, ["k1", "k2"]).select("id", "row_key", "n", "k1", "k2", "root", "comp")
+    none = F.lit(None).cast("long")
+    return own.union(every.where("n = 0 or id is null").select("id", "row_key", "n", "k1", "k2", none, none))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    comp = F.coalesce("comp", "id")
+    return _labelled(docs, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; columns stay. Of rows that repeat an id one stays."""
-    kept = classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__d")).distinct()
-    with_id = docs.dropDuplicates(["doc_id"]).join(kept, docs["doc_id"] == F.col("__d"), "left_semi")
-    return with_id.union(docs.where("doc_id is null"))
+    """One row of each group, that of the smallest id (of rows that repeat this id, one); columns stay. Rows without an id or a word are in no group and stay, but for rows that agree in both id and text, of which one does."""
+    rows = cut(_labelled(docs, "doc_id", "text"), "labelled")
+    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "row_key")).alias("m")).select("m.*")
+    kept = best.union(rows.where("root is null and id is not null").select("id", "row_key")).distinct()
+    same = (docs["doc_id"].cast("long") == kept["id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["row_key"])
+    # Of rows with an id, the one that stays is found by number, so their texts are moved for those with repeated keys only.
+    twice = cut(rows.where("id is not null").groupBy("id", "row_key").agg(F.count("*").alias("copies")).where("copies > 1").join(kept, ["id", "row_key"], "left_semi"), "twice")
+    out = docs.join(kept, same, "left_semi")
+    if twice.isEmpty():
+        return out.union(docs.where("doc_id is null"))
+    again = (docs["doc_id"].cast("long") == twice["id"]) & (F.xxhash64(docs["text"].cast("string")) == twice["row_key"])
+    one = out.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, again, "left_anti").union(one).union(docs.where("doc_id is null"))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
