@@ -1,14 +1,23 @@
 """Main text of web pages by a site style tree: pages of a host are merged, and branches of low importance removed.
 
 Each page is parsed into blocks (texts between block-level tags, references decoded) with the paths of tags and
-classes above them. Over all pages of a host, a path's presentation importance is the entropy of its sequences of
-children, its content importance is one less the mean of log k / log m over the block texts below it (a text that k
-of its m pages share). Their mix is the branch's importance; branches below LOW on PAGES pages or more are removed
-with all that is below them. Elements whose tag or class names a role (menu, footer, advert, comments ...) have no
-importance at all, and where a page has an article or main element, only what lies in it has some.
+classes above them; menus, footers and adverts are part of the tree like all else. Over the m pages of a host that
+have a path, its presentation importance is the entropy of its sequences of children. Its content importance comes
+from s, the mean over the characters of block texts below it of ln k / ln m, where k of the m pages share the text
+(the entropy of a text over pages): 1 - s, or, outside articles, (S + EVEN) / (s + EVEN) if that is less, where S is
+the same mean over all of the host: what recurs far more often than the host's text does is a template, even if
+several take turns. Their mix counts in full on many pages, and less on few: a branch loses (m - 1) / (m + 1) of what
+it lacks. Branches below LOW are removed with all that is below them.
+
+Names are a prior that multiplies importance: what lies in an element whose tag or class token names a role (menu,
+footer, advert, comments ...), or outside the article or main element where that holds most of the page, has ROLE of
+it, which is below LOW, as a page that is alone on its host shows no entropy. A named element that wraps an article, or three paragraphs
+and most of the page, is no such element.
 
 Null or empty html, and pages without text, give an empty text. Repeated rows are extracted each for itself, pages
-without a host form a site of their own, extra columns are ignored, and an empty table gives an empty result.
+without a host form a site of their own, extra columns are ignored, and an empty table gives an empty result. Pages of
+any length are read whole in one pass over their characters; a tag, comment or script that the page never closes
+reaches to its end. Elements nested deeper than DEPTH count as of that depth.
 """
 
 from __future__ import annotations
@@ -17,162 +26,309 @@ import hashlib
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-LOW, PAGES, PRESENTATION = 0.2, 8, 0.1
+LOW, ROLE, PRESENTATION, EVEN, DEPTH = 0.35, 0.3, 0.1, 0.01, 64
+#: Weak branches that are sent to all tasks (8 bytes each, and their host); where there are more, they are joined.
+SENT = 500_000
 #: Elements that flow within a block, and those that have no end tag.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn del em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup, and those that are never content.
+#: Elements whose content is no markup.
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
-ROLES = set("head nav footer header aside form script style noscript template button select option textarea iframe svg canvas menu dialog title object embed xmp noembed noframes".split())
-NAMED = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|side|sidebar\w*|foot|footer\w*|header|masthead|comments?|commentlist|replies|reply|respond|disqus\w*|cookies?|consent|notices?|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|social|share|sharing|related|recommend\w*|widget\w*|toolbar|pagination|pager|login|search\w*|tags|skip)(?:$|[-_\s])", re.I)
+#: Tags that are never content, those that may wrap it, and class or id tokens (their last or first part) and roles that say the same.
+TAGS = set("head nav footer aside noscript template button select option svg canvas menu dialog object".split())
+WRAPS = set("form header".split())
+LAST = set("ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs side sidebar footer masthead comment comments commentlist replies reply respond disqus cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations widget widgets toolbar pagination pager login search tags".split())
+FIRST = set("ad ads advert adsense cookie cookies consent gdpr nav navbar menu breadcrumb breadcrumbs footer sidebar comment comments newsletter social share sponsor promo popup modal skip".split())
+NEUTRAL = set("has with without no not is layout l".split())
+HEADS = set("site page top global main".split())
+ARIA = set("navigation banner complementary contentinfo search dialog alert menu menubar toolbar".split())
 #: Elements that an opening tag ends if they are open in the same container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("ul ol dl table tbody thead article main section div body td th blockquote nav aside footer header form".split())
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attr = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_name = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*+")
+#: The rest of a tag: a value in quotes may hold >, an unclosed quote is a character like others.
+_rest = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+""")
+_attr = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 _space = re.compile(r"\s+")
+_part = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _hash(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+@lru_cache(1 << 16)
+def _hash(s: str, above: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8, key=above.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[str], bool, bool]], dict[str, list[str]]]:
-    """(blocks as text, paths from the root down, whether a role excludes it, whether an article holds it; children in order by path)."""
-    blocks, children, stack, text = [], {}, [], []
+@lru_cache(1 << 14)
+def names_role(token: str) -> bool:
+    """Whether a class or id token names a role: footer, site-footer, adSlot, but not has-sidebar or search-term."""
+    parts = [p.lower() for p in _part.split(token) if p]
+    if not parts or len(parts) > 1 and parts[0] in NEUTRAL:
+        return False
+    return parts[-1] in LAST or parts[0] in FIRST or parts[-1] == "header" and (len(parts) == 1 or parts[0] in HEADS)
 
-    def flush():
-        t = _space.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if t:
-            blocks.append((t, [s[1] for s in stack], bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
 
-    at = 0
-    for m in iter(lambda: _token.search(page, at), None):
-        text.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag in INLINE:
+@lru_cache(1 << 14)
+def _element(tag: str, rest: str) -> tuple[str, int, bool]:
+    """(name with classes, role: 0 none, 1 one that a wrapper may have, 2 any; whether it is an article) of an opening tag."""
+    attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _attr.findall(rest)} if "=" in rest else {}
+    classes = attrs.get("class", "").split()
+    aria = attrs.get("role", "").lower()
+    named = tag not in ("html", "body") and (any(map(names_role, [*classes, *attrs.get("id", "").split()])) or aria in ARIA)
+    return tag + "".join(f".{c}" for c in sorted(classes)), 2 if tag in TAGS else int(named or tag in WRAPS), tag in ("article", "main") or aria == "main"
+
+
+class Page:
+    """A parsed page. Nodes are its distinct paths, each after the one above it: path hash, node above, role, in an article, children. blocks: (text, node, whether a p)."""
+
+    def __init__(self, source: str):
+        self.path, self.above, self.role, self.article, self.kids = [0], [-1], [0], [False], [[]]
+        self.blocks: list[tuple[str, int, bool]] = []
+        self._known: dict[tuple[int, str], int] = {}
+        self._parse(source)
+        self.own = self._judge()
+
+    def _node(self, above: int, depth: int, name: str, role: int, article: bool) -> int:
+        kids = self.kids[above]
+        if not kids or kids[-1] != name:
+            kids.append(name)
+        if depth >= DEPTH:
+            return above
+        at = self._known.get((above, name))
+        if at is None:
+            at = self._known[above, name] = len(self.path)
+            self.path.append(_hash(name, self.path[above]))
+            self.above.append(above)
+            # What heads or ends an article belongs to it.
+            self.role.append(0 if role == 1 and name == "header" and self.article[above] else role)
+            self.article.append(article or self.article[above])
+            self.kids.append([])
+        return at
+
+    def _parse(self, page: str) -> None:
+        stack: list[tuple[str, int]] = []
+        open_: Counter = Counter()
+        text: list[str] = []
+
+        def flush():
+            t = "".join(text)
+            text.clear()
+            t = _space.sub(" ", html.unescape(t) if "&" in t else t).strip()
+            if t:
+                self.blocks.append((t, stack[-1][1] if stack else 0, bool(stack) and stack[-1][0] == "p"))
+
+        def shut(depth):
+            for tag, _ in stack[depth:]:
+                open_[tag] -= 1
+            del stack[depth:]
+
+        at, end = 0, len(page)
+        while at < end:
+            lt = page.find("<", at)
+            if lt == -1:
+                break
+            text.append(page[at:lt])
+            m = _name.match(page, lt + 1)
+            if not m:
+                mark = page[lt + 1 : lt + 4]
+                if mark == "!--":
+                    close = page.find("-->", lt + 4)
+                    at = end if close == -1 else close + 3
+                elif mark[:1] in ("!", "?", "/"):
+                    close = page.find(">", lt + 1)
+                    at = end if close == -1 else close + 1
+                else:
+                    text.append("<")
+                    at = lt + 1
+                continue
+            tag = m[0].lower()
+            rest = _rest.match(page, m.end())
+            at = rest.end() + 1
+            if at > end:
+                at = end  # the page ends within the tag
+                break
+            if tag[0] == "/":
+                tag = tag[1:]
+                if tag in INLINE and not open_[tag]:
+                    continue
+                flush()
+                if open_[tag]:
+                    depth = len(stack) - 1
+                    while stack[depth][0] != tag:
+                        depth -= 1
+                    shut(depth)
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            attrs = rest[0]
+            if tag in INLINE:
+                if tag == "br":
+                    text.append(" ")
+                if tag in VOID or "=" not in attrs or not _element(tag, attrs)[1]:
+                    continue
             flush()
-            if depth is not None:
-                del stack[depth:]
-            continue
-        if tag in INLINE:
-            if tag == "br":
-                text.append(" ")
-            continue
+            if tag in RAW:
+                close = _close(tag).search(page, at)
+                at = close.end() if close else end
+                continue
+            if tag in CLOSES:
+                if any(open_[t] for t in CLOSES[tag]):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in CLOSES[tag]:
+                            shut(i)
+                            break
+                        if stack[i][0] in CONTAINERS:
+                            break
+            elif stack and stack[-1][0] == "p" and tag not in INLINE:
+                shut(len(stack) - 1)
+            name, role, article = _element(tag, attrs)
+            node = self._node(stack[-1][1] if stack else 0, len(stack), name, role, article)
+            if tag in VOID or attrs.endswith("/"):
+                continue
+            stack.append((tag, node))
+            open_[tag] += 1
+        else:
+            at = end
+        if at < end:
+            text.append(page[at:])
         flush()
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
-        elif any(s[0] == "p" for s in stack[-1:]):
-            stack.pop()
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _attr.findall(m[3])}
-        name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split()))
-        above = stack[-1] if stack else ("", "", False, False)
-        path = f"{above[1]}/{name}"
-        children.setdefault(above[1], []).append(name)
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        out = above[2] or tag in ROLES or any(NAMED.search(v) for v in attrs.values()) and tag not in ("html", "body")
-        stack.append((tag, path, out, above[3] or tag in ("article", "main") or attrs.get("role", "").lower() == "main"))
-    text.append(page[at:])
-    flush()
-    return blocks, children
+
+    def _judge(self) -> list[float]:
+        """The prior of each block: 1, or ROLE."""
+        n = len(self.path)
+        chars, paras, holds = [0] * n, [0] * n, [False] * n
+        for t, at, p in self.blocks:
+            chars[at] += len(t)
+            paras[at] += p
+        for i in range(n - 1, 0, -1):
+            up = self.above[i]
+            chars[up] += chars[i]
+            paras[up] += paras[i]
+            holds[up] = holds[up] or holds[i] or self.article[i] and not self.article[up]
+        out = [False] * n
+        for i in range(1, n):
+            wraps = holds[i] or paras[i] >= 3 and 2 * chars[i] > chars[0]
+            out[i] = out[self.above[i]] or self.role[i] == 2 or self.role[i] == 1 and not wraps
+        left = sum(len(t) for t, at, _ in self.blocks if not out[at])
+        inside = sum(len(t) for t, at, _ in self.blocks if not out[at] and self.article[at])
+        only = inside and 2 * inside >= left
+        return [ROLE if out[at] or only and not self.article[at] else 1.0 for _, at, _ in self.blocks]
+
+    def line(self, at: int) -> list[int]:
+        """Path hashes from a node up."""
+        out = []
+        while at > 0:
+            out.append(self.path[at])
+            at = self.above[at]
+        return out
+
+
+@lru_cache(64)
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*+>", re.I)
 
 
 BLOCK = "array<struct<text:string, paths:array<bigint>>>"
-PARSED = f"page_id %s, url string, row_key long, host string, blocks {BLOCK}, facts array<struct<path:bigint, kind:int, value:bigint, n:int>>"
+PARSED = f"page_id %s, url string, row_key long, site long, blocks {BLOCK}, facts array<struct<path:bigint, kind:int, value:bigint, n:int>>"
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Blocks that no role excludes, and what a page tells about its paths: kind 0 that it has one, 1 its children.
+def facts_of(page: Page) -> Counter:
+    """What a page tells about its paths, as {(path, kind, value): n}.
 
-    A text's place is all its own paths on the page, with how often it has each. Kind 2 tells the texts of a place, 3 the paths above a place and how often it lies below each.
+    Kind 0: it has the path (n: 1, or 2 within an article); 1: its children. A text's place is all its own paths on
+    the page, with how often it has each: kind 2 tells the texts of a place (n: characters), 3 the paths above a place and how often the text lies below each.
     """
+    facts: Counter = Counter()
+    places: dict[int, list[int]] = {}
+    size: dict[int, int] = {}
+    for t, at, _ in page.blocks:
+        if at:
+            h = _hash(t)
+            size[h] = len(t)
+            places.setdefault(h, []).append(at)
+    used = {0}
+    for h, own in places.items():
+        place = page.path[own[0]] if len(own) == 1 else _hash(" ".join(sorted(str(page.path[i]) for i in own)))
+        facts[place, 2, h] = size[h]
+        if (place, 3, page.path[own[0]]) not in facts:
+            for p, k in Counter(p for i in own for p in page.line(i)).items():
+                facts[place, 3, p] = k
+        for i in own:
+            while i not in used:
+                used.add(i)
+                i = page.above[i]
+    for i in used - {0}:
+        facts[page.path[i], 0, 0] = 2 if page.article[i] else 1
+        facts[page.path[i], 1, _hash(" ".join(page.kids[i]))] = 1
+    return facts
+
+
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roles: bool = True) -> DataFrame:
+    """Blocks that the prior leaves above LOW (all of them without roles), and the facts of each page's whole tree."""
+    block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))
+    fact = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int32())]))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                blocks, children = parse(one.column(3)[0].as_py() or "")
-                kept = [x for x in blocks if not x[2]]
-                if any(x[3] for x in kept):
-                    kept = [x for x in kept if x[3]]
-                known = {p: _hash(p) for p in {p for x in kept for p in x[1]}}
-                facts: Counter = Counter()
-                places: dict[int, list[list[str]]] = {}
-                for t, paths, _, _ in kept:
-                    if paths:
-                        places.setdefault(_hash(t), []).append(paths)
-                for t, own in places.items():
-                    place = known[own[0][-1]] if len(own) == 1 else _hash(" ".join(sorted(str(known[paths[-1]]) for paths in own)))
-                    facts[place, 2, t] = 1
-                    for p, n in Counter(p for paths in own for p in paths).items():
-                        facts[place, 3, known[p]] = n
-                for p, k in known.items():
-                    order = children.get(p, [])
-                    facts[k, 1, _hash(" ".join(c for j, c in enumerate(order) if not j or order[j - 1] != c))] = 1
-                    facts[k, 0, 0] = 1
-                yield pa.RecordBatch.from_arrays(
-                    [one.column(0), one.column(1), one.column(2), one.column(4), pa.array([[{"text": t, "paths": [known[p] for p in paths]} for t, paths, _, _ in kept]], pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))), pa.array([[{"path": p, "kind": k, "value": v, "n": n} for (p, k, v), n in facts.items()]], pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int32())])))],
-                    ["page_id", "url", "row_key", "host", "blocks", "facts"],
-                )
+                page = Page(one.column(3)[0].as_py() or "")
+                kept = [{"text": t, "paths": page.line(at)} for (t, at, _), prior in zip(page.blocks, page.own, strict=True) if prior >= LOW or not roles]
+                facts = [{"path": p, "kind": k, "value": v, "n": n} for (p, k, v), n in facts_of(page).items()]
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), one.column(4), pa.array([kept], block), pa.array([facts], fact)], ["page_id", "url", "row_key", "site", "blocks", "facts"])
 
     url, text = pages[url_col].cast("string"), pages[html_col].cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1))
-    return pages.select(pages[id_col].alias("page_id"), url.alias("url"), F.xxhash64(url, text).alias("row_key"), text.alias("html"), host.alias("host")).mapInArrow(run, PARSED % pages.schema[id_col].dataType.simpleString())
+    return pages.select(pages[id_col].alias("page_id"), url.alias("url"), F.xxhash64(url, text).alias("row_key"), text.alias("html"), F.xxhash64(host).alias("site")).mapInArrow(run, PARSED % pages.schema[id_col].dataType.simpleString())
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of each branch of each host's tree; pages as parsed() gives them."""
-    facts = pages.select("host", F.explode("facts").alias("f")).select("host", "f.*")
-    shared = facts.where("kind <> 2").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    sums = shared.where("kind < 2").groupBy("host", "path").agg(F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"), F.sum(F.when(F.col("kind") == 1, F.col("k") * F.ln("k"))).alias("style"))
-    above = shared.where("kind = 3").select("host", F.col("path").alias("place"), F.col("value").alias("path"), "n")
-    # One shuffle, by host and text, serves both steps. A page has a text at one place, so pages of places add up.
-    texts = facts.where("kind = 2").select("host", F.col("value").alias("t"), F.col("path").alias("place")).repartition("host", "t")
-    texts = texts.groupBy("host", "t", "place").agg(F.count("*").alias("k")).withColumn("all", F.sum("k").over(Window.partitionBy("host", "t")))
-    blocks = texts.groupBy("host", "place").agg(F.sum("k").alias("k")).join(above, ["host", "place"]).groupBy("host", "path").agg(F.sum(F.col("k") * F.col("n")).alias("blocks"))
+    """(site, path, pages, importance) of each branch of each host's tree; pages as parsed() gives them. All steps aggregate before they shuffle, so neither a host nor a text that all its pages share meets in one task as rows."""
+    facts = pages.select("site", F.explode("facts").alias("f")).select("site", "f.*")
+    shared = facts.where("kind <> 2").groupBy("site", "path", "kind", "value").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    has, style = F.col("kind") == 0, F.col("kind") == 1
+    sums = shared.where("kind < 2").groupBy("site", "path").agg(F.max(F.when(has, F.col("k"))).alias("pages"), F.max(F.when(has, F.col("n"))).alias("inside"), F.sum(F.when(style, F.col("k") * F.ln("k"))).alias("style"))
+    above = shared.where("kind = 3").select("site", F.col("path").alias("place"), F.col("value").alias("path"), "n")
+    texts = cut(facts.where("kind = 2").groupBy("site", F.col("value").alias("t"), F.col("path").alias("place")).agg(F.count("*").alias("k"), F.max("n").alias("chars")), "texts")
+    # A page has a text at one place, so pages of places add up to those that have the text at all.
+    total = texts.groupBy("site", "t").agg(F.sum("k").alias("all"), F.max("chars").alias("chars"))
     # Texts of one page of a host add ln 1 to each branch, so only the others are looked up for each path above them.
-    more = texts.where("all > 1").join(above, ["host", "place"]).groupBy("host", "path", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("n")).alias("n"))
-    more = more.groupBy("host", "path").agg(F.sum(F.col("n") * F.ln("k")).alias("text"))
-    below = blocks.join(more, ["host", "path"], "left").select("host", "path", F.coalesce("text", F.lit(0.0)).alias("text"), "blocks")
-    sums = sums.join(below, ["host", "path"])
+    again = cut(total.where("all > 1").select("site", "t", "all", "chars"), "again")
+    count = texts.groupBy("site").agg(F.sum(F.col("k") * F.col("chars")).alias("chars"))
+    # The host's own m is that of its commonest path.
+    most = sums.groupBy("site").agg(F.max("pages").alias("m"))
+    even = again.groupBy("site").agg(F.sum(F.col("all") * F.col("chars") * F.ln("all")).alias("x")).join(count, "site", "right").join(most, "site")
+    even = even.select("site", F.when(F.col("m") > 1, F.coalesce("x", F.lit(0.0)) / F.col("chars") / F.ln("m")).otherwise(0.0).alias("even"))
+    size = F.sum(F.col("k") * F.col("chars"))
+    length = texts.groupBy("site", "place").agg(size.alias("k")).join(above, ["site", "place"]).groupBy("site", "path").agg(F.sum(F.col("k") * F.col("n")).alias("length"))
+    more = texts.join(again.select("site", "t"), ["site", "t"]).join(above, ["site", "place"]).groupBy("site", "path", "t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("n") * F.col("chars")).alias("n"))
+    more = more.groupBy("site", "path").agg(F.sum(F.col("n") * F.ln("k")).alias("text"))
+    below = length.join(more, ["site", "path"], "left").select("site", "path", F.coalesce("text", F.lit(0.0)).alias("text"), "length")
+    sums = sums.join(below, ["site", "path"]).join(even, "site")
     # Entropy of styles with shares k / m, to the base m: 1 - sum(k ln k) / (m ln m).
-    style = F.when(F.col("pages") > 1, 1 - F.coalesce("style", F.lit(0.0)) / (F.col("pages") * F.ln("pages"))).otherwise(1.0)
-    content = F.when(F.col("pages") > 1, 1 - F.col("text") / F.col("blocks") / F.ln("pages")).otherwise(1.0)
-    return sums.select("host", "path", "pages", (PRESENTATION * style + (1 - PRESENTATION) * content).alias("importance"))
-
-
-def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
-    trees = cut(parsed(pages, id_col, url_col, html_col), "pages")
-    # Both are cut so that the planner knows their sizes: where they are small, pages aren't shuffled for them.
-    weak = cut(importance(trees).where((F.col("pages") >= least) & (F.col("importance") < low)).select("host", "path"), "weak")
-    own = trees.select("page_id", "row_key", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
-    gone = cut(own.join(weak, ["host", "path"]).groupBy("page_id", "row_key").agg(F.collect_set("path").alias("gone")).withColumnsRenamed({"page_id": "d", "row_key": "r"}), "gone")
-    out = trees.select("page_id", "url", "row_key", "blocks").join(gone, trees["page_id"].eqNullSafe(gone["d"]) & (trees["row_key"] == gone["r"]), "left")
+    m, s = F.col("pages"), F.col("text") / F.col("length") / F.ln("pages")
+    turns = F.when(F.col("inside") < 2, (F.col("even") + EVEN) / (s + EVEN)).otherwise(1.0)
+    mixed = PRESENTATION * (1 - F.coalesce("style", F.lit(0.0)) / (m * F.ln(m))) + (1 - PRESENTATION) * F.least(1 - s, turns)
+    return sums.select("site", "path", "pages", F.when(m > 1, 1 - (1 - mixed) * (m - 1) / (m + 1)).otherwise(1.0).alias("importance"))
+
+
+def extract(pages: DataFrame, low: float = LOW, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roles: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each page; without roles by the tree alone."""
+    trees = cut(parsed(pages, id_col, url_col, html_col, roles), "pages")
+    weak = cut(importance(trees).where(F.col("importance") < low).select("site", "path"), "weak")
+    if weak.count() <= SENT:
+        # Measured, so all tasks may have it; pages aren't moved.
+        gone = weak.groupBy("site").agg(F.collect_list("path").alias("gone"))
+        out = trees.select("page_id", "url", "site", "blocks").join(F.broadcast(gone), "site", "left")
+    else:
+        own = trees.select("page_id", "row_key", "site", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
+        gone = own.join(weak, ["site", "path"]).groupBy("page_id", "row_key").agg(F.collect_set("path").alias("gone")).withColumnsRenamed({"page_id": "d", "row_key": "r"})
+        out = trees.select("page_id", "url", "row_key", "blocks").join(gone, trees["page_id"].eqNullSafe(gone["d"]) & (trees["row_key"] == gone["r"]), "left")
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["paths"], F.col("gone")), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -227,45 +227,6 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.redact(df).where("doc_id = 50").first().text == "please write to contact [id] today and wait"
 
 
-def test_html_template_is_removed():
-    pages = "<html><head><title>t</title></head><body><nav>menu</nav><div class='sidebar'>s</div><article><h1>T &amp; {0}</h1><p>One{0}<br>two<p>three <b>x</b></article><div id=comments>c</div><script>if(a<b)'</p>'</script></body></html>"
-    blocks, _ = htmlmain.parse(pages.format(1))
-    assert [b[0] for b in blocks if not b[2]] == ["T & 1", "One1 two", "three x"]
-
-
-def test_style_tree_drops_what_a_host_repeats(spark):
-    rows = [(i, f"https://h.example/{i}", f"<body><div class='box'>always the same words</div><div class='main'><p>text number {i}</p></div></body>") for i in range(30)]
-    df = spark.createDataFrame([*rows, (99, None, None), (98, "https://other.example/", "<p>lone page</p>")], "page_id long, url string, html string")
-    got = {r.page_id: (r.text, r.n_chars) for r in htmlmain.extract(df).collect()}
-    assert all(got[i][0] == f"text number {i}" for i in range(30)) and got[99] == ("", 0) and got[98] == ("lone page", 9)
-
-
-def test_style_tree_counts_texts_anywhere_below_a_branch(spark):
-    box = "<div class='box'><p class='post-{0}'>always the same words</p><p>{1}</p></div>"
-    rows = [(i, f"https://h.example/{i}", f"<body>{box.format(i, 'always the same words' if i % 3 == 0 else 'and these')}<div class='main'><p>text number {i}</p></div></body>") for i in range(30)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert all(r.text == f"text number {r.page_id}" for r in htmlmain.extract(df).collect())
-    # Brute force: pages with a text anywhere below a branch, and its blocks there.
-    m, k, n, children, at = {}, {}, {}, {}, {}
-    for i, _, h in rows:
-        blocks, order = htmlmain.parse(h)
-        for p in {p for b in blocks for p in b[1]}:
-            at[htmlmain._hash(p)] = p
-            m[p] = m.get(p, 0) + 1
-            c = order.get(p, [])
-            children.setdefault(p, []).append(tuple(x for j, x in enumerate(c) if not j or c[j - 1] != x))
-        for t, paths, _, _ in blocks:
-            for p in paths:
-                k.setdefault((p, t), set()).add(i)
-                n[p, t] = n.get((p, t), 0) + 1
-    got = {at[r.path]: (r.pages, r.importance) for r in htmlmain.importance(htmlmain.parsed(df)).collect()}
-    assert set(got) == set(m)
-    for p, (pages, x) in got.items():
-        style = 1 - sum(c * math.log(c) for c in map(children[p].count, set(children[p]))) / (m[p] * math.log(m[p])) if m[p] > 1 else 1
-        mean = sum(v * math.log(len(k[q])) for q, v in n.items() if q[0] == p) / sum(v for q, v in n.items() if q[0] == p)
-        assert pages == m[p] and abs(x - (htmlmain.PRESENTATION * style + (1 - htmlmain.PRESENTATION) * (1 - mean / math.log(m[p]) if m[p] > 1 else 1))) < 1e-9
-
-
 def test_language_accuracy_on_the_held_out_fold(spark, docs):
     got = QUERIES["op6_language_id"](spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     right = got.where("lang = lang_pred").count() / got.count()
