@@ -1,19 +1,20 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The windows of the benchmark (13 words, or a shorter item as a whole) form a hash set that is broadcast while its
-measured size is within BROADCAST_ROWS, and is shuffled beyond it. A window of L words covers one whole block of
+measured rows and bytes are within BROADCAST_ROWS and BROADCAST_BYTES, and is shuffled beyond them. A window of L words covers one whole block of
 (L + 1) // 2 words wherever it lies in a document cut into such blocks, so documents are first screened by the
 hashes of their blocks, a few rows a document. Only documents that pass have all their windows compared, as
-strings, with the set.
+strings, with the set; where their keys are few enough to be broadcast, no text is moved.
 
 A null or empty text has no words and is clean. Items that are null or have no word are ignored, items of equal
-text count each by its id, repeated rows are judged each for itself, an empty benchmark leaves all clean, and
-extra columns are ignored.
+text count each by its id, repeated rows are judged each for itself, an empty benchmark leaves all clean, an empty
+table gives an empty result, and extra columns are ignored. A text of any length is compared whole, in time that
+grows in proportion to its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -21,8 +22,8 @@ from .common import cut, table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Rows of at most 64 bytes (hashes) or a window's text each: some 100 MB at most.
-BROADCAST_ROWS = 500_000
+#: What is broadcast has this many rows and bytes of text at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +42,8 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"])
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +57,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with n_words; hits as doc_id, row_key, start, size, phrase; items of each phrase as phrase, item_id). Words count from 0."""
     wins = cut(benchmark_windows(benchmark, window, item_col, text_col).select("item_id", "size", "words", F.concat_ws(" ", "words").alias("phrase")), "bench")
-    sizes = {r["size"]: r["n"] for r in wins.groupBy("size").agg(F.countDistinct("phrase").alias("n")).collect()}  # one row per size, 13 at most
+    phrases = wins.select("size", "phrase").distinct()
+    measured = phrases.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).collect()  # one row per size, 13 at most
+    sizes, weight = {r["size"]: r["n"] for r in measured}, sum(r["bytes"] for r in measured)
     blocks = sorted({(s + 1) // 2 for s in sizes})
     hashes = [F.expr(f"transform(sequence(1, n_words - n_words % {b}, {b}), i -> xxhash64({b}, slice(w, i, {b})))") for b in blocks]
     empty = F.expr("cast(array() as array<bigint>)")
@@ -72,17 +75,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     if anchors is None:
         anchors = base.sparkSession.createDataFrame([], "h bigint")
     found = base.select("doc_id", "row_key", F.explode("blocks").alias("h")).join(_sized(anchors.distinct(), n * 7), "h", "left_semi").select("doc_id", "row_key").distinct()
+    found = cut(found, "found")
     texts = _keyed(docs, id_col, text_col)
-    close = texts.join(found, _same(texts, found), "left_semi").dropDuplicates(["doc_id", "row_key"])
-    close = close.select("doc_id", "row_key", words(F.col("text")).alias("w"))
+    # Rows that agree in id and text give the same hits, which are counted once by their start.
+    close = texts.join(_sized(found, found.count()), _same(texts, found), "left_semi").select("doc_id", "row_key", words(F.col("text")).alias("w"))
     by_size = None
     for s in sorted(sizes):
         part = close.where(F.size("w") >= s).select("doc_id", "row_key", F.lit(s).alias("size"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {s} + 1), i -> concat_ws(' ', slice(w, i, {s})))")).alias("start", "phrase"))
         by_size = part if by_size is None else by_size.union(part)
     if by_size is None:
         by_size = close.select("doc_id", "row_key", F.lit(0).alias("size"), F.lit(0).alias("start"), F.lit("").alias("phrase")).limit(0)
-    phrases = _sized(wins.select("size", "phrase").distinct(), n)
-    hits = cut(by_size.join(phrases, ["size", "phrase"], "left_semi").select("doc_id", "row_key", "start", "size", "phrase"), "hits")
+    hits = cut(by_size.join(_sized(phrases, n, weight), ["size", "phrase"], "left_semi").select("doc_id", "row_key", "start", "size", "phrase"), "hits")
     return base, hits, wins.select("phrase", "item_id").distinct()
 
 
@@ -90,14 +93,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, word after the last) for each row."""
     base, hits, items = find_hits(docs, benchmark, window, id_col, text_col, item_col)
     ends = hits.groupBy("doc_id", "row_key", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
-    spans = ends.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    # Occurrences overlap; joined to spans that do not, from left to right.
-    joined = F.expr("""
-        aggregate(s, cast(array() as array<struct<start:int, end:int>>), (a, x) ->
-            if(size(a) > 0 and element_at(a, -1).end >= x.start,
-               concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
-               concat(a, array(x))))""")
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), joined.alias("spans"))
+    # Occurrences overlap; those that overlap or touch form one span, which begins where none before reaches.
+    own = Window.partitionBy("doc_id", "row_key").orderBy("start")
+    first = F.coalesce(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True))
+    islands = ends.withColumn("first", first).withColumn("k", F.sum(F.col("first").cast("int")).over(own)).groupBy("doc_id", "row_key", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = islands.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).withColumnsRenamed({"doc_id": "d", "row_key": "r"})
     named = hits.select("doc_id", "row_key", "phrase").distinct().join(items, "phrase").groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     named = named.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("r2"), "items")
     out = base.join(spans, base["doc_id"].eqNullSafe(spans["d"]) & (base["row_key"] == spans["r"]), "left").join(named, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("row_key") == F.col("r2")), "left")
