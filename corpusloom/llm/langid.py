@@ -1,14 +1,15 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
 Each language's dictionary is raw content: the words of a bounded sample of the labelled rows outside the held-out
-fold (at most SAMPLE_ROWS rows, SAMPLE_CHARS of each), lower-cased, each once, those of most texts last, DICT_BYTES in
+fold (at most SAMPLE_ROWS rows, SAMPLE_CHARS of each, those of the lowest hashes), lower-cased, each once, those of most texts last, DICT_BYTES in
 all; words that belong to another language (OWN_SHARE), such as quotations have, are left out. Words rather than passages, as a passage quoted in the sample would outweigh the language. A text is lower-cased
 and cut into blocks of BLOCK bytes, so that a repetitive text can't become its own dictionary; the sizes of all its
 blocks add up. Short texts, where whole bytes are coarse, are compressed at a higher level. A margin below NARROW between the best two rejects
 the prediction (confident is false); the best language is reported all the same.
 
 The prediction is "und" with score 0 if a text is null or has no letter, or if nothing could be learned. Ties go to
-the language first in the alphabet; repeated rows are predicted each for itself; extra columns are ignored.
+the language first in the alphabet; repeated rows are predicted each for itself; extra columns are ignored; an empty
+table gives an empty result; a text of any length is compressed whole, block by block.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 300, 2000, 16_000
+SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, SPARE = 300, 2000, 16_000, 8
 #: A word goes to the languages that have it in at least this share of the texts that the language with most has.
 OWN_SHARE = 0.5
 BLOCK, SHORT, LEVEL, FINE_LEVEL = 512, 200, 9, 19
@@ -31,8 +32,11 @@ NARROW = 0.02
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary of each language, from a sample whose size is bounded as the module says."""
-    rows = docs.where(docs[lang_col].isNotNull() & ~held_out(id_col) & docs[text_col].rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(text_col).alias("h"))
+    own = docs.where(docs[lang_col].isNotNull() & ~held_out(id_col)).withColumn("__l", F.col(lang_col).cast("string"))
+    # The rows of the lowest hashes, SPARE times as many as are used, are told by a share of all hashes; so few rows are ranked, however common the language.
+    counts = own.groupBy("__l").agg(F.count("*").alias("__n"))
+    rows = own.select("__l", F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h")).join(counts, "__l").where((F.col("h") / 2.0**64 + 0.5) * F.col("__n") <= SPARE * SAMPLE_ROWS)
+    rows = rows.where(F.col("t").rlike(r"\p{L}")).select(F.col("__l").alias("lang"), F.substring("t", 1, SAMPLE_CHARS).alias("t"), "h").distinct()
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= SAMPLE_ROWS)
     texts: dict[str, set[str]] = {}
     for r in first.select("lang", "t").collect():
