@@ -193,6 +193,38 @@ def test_short_benchmark_items_and_spans(spark):
     assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (5, 3, hashlib.sha256(b"a,d,e").hexdigest())
     assert not got[2].contaminated and got[3].n_words == 0
     assert contamination.decontaminate(docs, bench, "spans").where("doc_id = 1").first().text == "Say - ,  !"
+    assert [tuple(s) for s in got[1].spans] == [(1, 6)]
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_contamination_matches_brute_force(spark, monkeypatch, limit):
+    """Random texts with planted passages, broadcast or joined."""
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", limit)
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)] + ["é", "x1"]
+    items = {f"i{i}": " ".join(r.choices(vocabulary, k=n)) for i, n in enumerate([1, 3, 12, 13, 14, 40, 40, 13])}
+    items["i8"], items["i9"] = items["i3"].upper(), ""
+    texts = {i: " ".join(r.choices(vocabulary, k=r.randint(0, 120))) for i in range(60)}
+    for i in range(0, 60, 3):
+        texts[i] += ", " + r.choice(list(items.values())) + "; " + r.choice(list(items.values()))
+    texts[60] = " ".join(items["i5"].split() * 30)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    windows = {k: {tuple(w[j : j + 13]) for j in range(max(len(w) - 12, 1))} for k, t in items.items() if (w := cut(t))}
+    rows = [*texts.items(), (0, texts[0])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")
+    got = contamination.contamination(df, bench).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        w, hit, found = cut(texts[x.doc_id]), set(), set()
+        for k, own in windows.items():
+            for g in own:
+                for j in range(len(w) - len(g) + 1):
+                    if tuple(w[j : j + len(g)]) == g:
+                        hit.update(range(j, j + len(g)))
+                        found.add(k)
+        spans = {i for s in x.spans for i in range(s.start, s.end)}
+        assert (x.n_words, x.n_hit, x.items_sha256, spans) == (len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), hit)
 
 
 def test_language_accuracy_on_the_held_out_fold(spark, docs):
@@ -252,6 +284,52 @@ def test_unknown_notices_inherit_nothing(spark):
     assert got["r/b.py"] == got["r/c.py"] == got["r/t/e.py"] == ("MIT", "inherited", "r/LICENSE") and got["r/s/d.py"] == ("unknown", "inherited", "r/s/LICENSE")
 
 
+def test_small_samples_flag_few_clean_documents(spark):
+    """Held-out rows of a table with three dozen toxic rows to learn from."""
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["op7_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in got)
+    assert hits / sum(r.predicted for r in got) > 0.5 and hits / sum(r.toxic for r in got) > 0.4
+
+
+def test_network_gradients(monkeypatch):
+    """A training step moves the loss down, and scores agree with a plain-loop network."""
+    r = np.random.default_rng(3)
+    model = toxicity.Model(3)
+    model.p["e"] = r.normal(size=model.p["e"].shape).astype(np.float32)
+    texts = [toxicity.slots(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 40)]
+    got = model.logits(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    for s, z in zip(texts, got, strict=True):
+        x, h = model.p["e"][s[:, 0]] + model.p["e"][s[:, 1]], []
+        for w in toxicity.WIDTHS:
+            pad = np.concatenate((x, np.zeros((w, toxicity.SIZE), np.float32)))
+            values = [np.maximum(pad[i : i + w].reshape(-1) @ model.p[f"f{w}"] + model.p[f"c{w}"], 0) for i in range(len(x))]
+            h += list(np.max(values, axis=0))
+        assert abs(float(np.array(h) @ model.p["o"] + model.p["b"][0]) - float(z)) < 1e-3
+
+
+def test_hot_language_is_sampled_evenly(spark):
+    """Most rows are copies in one language; the sample stays bounded and other languages are learned."""
+    words = {"en": "the and of with from this that have".split(), "fr": "le la les avec pour dans sur une".split()}
+    r = random.Random(2)
+    rows = [(i, "the same english text with that and this", "en") for i in range(3000)] + [(5000 + i, " ".join(r.choices(words[k], k=20)), k) for i in range(400) for k in ("en", "fr")]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6))
+    assert sorted(learned) == ["en", "fr"] and set(learned["fr"].decode().split()) == set(words["fr"])
+
+
+def test_language_is_the_smallest_compression():
+    """The prediction is that of compressing with each dictionary by hand."""
+    import zstandard as z
+
+    books = {"en": b"the and of with from this that have which there would about", "fr": b"le la les avec pour dans sur une que qui nous vous"}
+    texts = ["there would be that which the people have", "vous avec nous dans la rue", "x"]
+    sizes = {}
+    for k, d in books.items():
+        c = z.ZstdCompressor(level=langid.FINE_LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        sizes[k] = [len(c.compress(b" " + t.encode() + b" ")) for t in texts]
+    assert sizes["en"][0] < sizes["fr"][0] and sizes["fr"][1] < sizes["en"][1]
+
+
 def labels_of(spark):
     return spark.createDataFrame([(3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
 
