@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_spaces, mark_headings, sentences, strip
 
+# Delimiters of windows, heading and section patterns, titles, separators.
 DELIMITERS = (". ", ".\n", "! ", "!\n", "? ", "?\n", "\n\n", "\n")
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 HEADINGS = [r"^#{1,6}\s+.+$", r"^[А-ЯЁ][А-ЯЁ\s]{2,50}$", r"^\d+\.\s+[А-ЯЁ]", r"^[А-ЯЁ][а-яё\s]{5,100}:$"]
 SECTIONS = [r"^(?:ГЛАВА|РАЗДЕЛ|ЧАСТЬ)\s+\d+[.\s]*(.+)?$", r"^(?:\d+\.?\s+)?[A-ZА-ЯЁ][A-ZА-ЯЁ\s]{5,50}$", r"^#{1,2}\s+.+$"]
 PAGE = r"\[Page (\d+)\]\n"
+INTRODUCTION, WHOLE = "Введение", "Основной текст"
+SPLITS = ["\n\n\n", "\n\n", "\n---\n", "\n# ", "\n## ", "\n### ", "\n", ". "]
 LEAST, MOST, ACCEPT_BOUNDARIES = 100, 2000, 10_000
 
 
@@ -73,7 +78,7 @@ def recursive_parts(text: str, size: int, overlap: int, separators: tuple[str, .
 
 
 def _spread(df: DataFrame, id_col: str, text_col: str, split, schema: str) -> DataFrame:
-    """Rows of split(text) for each text; long documents are dealt out first, so that they don't share a task with others of one file."""
+    """Rows of split(text) for each text."""
 
     def run(batches):
         for b in batches:
@@ -99,14 +104,29 @@ def recursive(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overl
     return _spread(df, id_col, text_col, lambda t: [(p,) for p in recursive_parts(t, size, overlap)] if t.strip() else [], "chunk_index int, text string")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def gathered(parts: Column, starts, glue: str, lead: bool = False) -> Column:
+    """Parts of an array joined from each one that starts a group to the next; those before the first are dropped, or (lead) form a group. Each part is copied once."""
+
+    def whole(p):
+        n = F.size(p)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (starts(F.get(p, i)) | (F.lit(lead) & (i == 0))))
+        return _let(first, lambda at: F.transform(at, lambda s, j: F.array_join(F.slice(p, s + 1, F.coalesce(F.get(at, j + 1), n) - s), glue)))
+
+    return _let(parts, whole)
+
+
 def pages(text: Column, marker: str = PAGE, least: int = LEAST) -> Column:
     """One chunk a page, with its header; a page shorter than least joins the one before it. Text without markers has none."""
     numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
     bodies = F.transform(F.slice(F.split(text, marker), 2, 1_000_000_000), clean_spaces)
     each = F.filter(F.zip_with(numbers, bodies, lambda n, b: F.struct(n.alias("n"), b.alias("b"))), lambda p: p["b"] != "")
-    head = lambda p: F.concat(F.lit("[Page "), p["n"], F.lit("]\n"), p["b"])
-    step = lambda a, p: F.when((F.size(a) > 0) & (F.length(p["b"]) < least), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit("\n\n"), head(p))))).otherwise(F.concat(a, F.array(head(p))))
-    return F.aggregate(each, F.expr("cast(array() as array<string>)"), step)
+    head = F.transform(each, lambda p: F.concat(F.lit("[Page "), p["n"], F.lit("]\n"), p["b"]))
+    return gathered(head, lambda h: F.length(h) - F.instr(h, "\n") >= least, "\n\n", lead=True)
 
 
 def is_heading(line: Column, patterns: list[str] | None = None) -> Column:
@@ -116,20 +136,17 @@ def is_heading(line: Column, patterns: list[str] | None = None) -> Column:
     return found | ((F.length(line) < 80) & (F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(line, r"\s+")) < 10))
 
 
-def _grouped(text: Column, starts) -> Column:
-    """Lines of a text, stripped, gathered from each line that starts a part; what precedes the first is a part of its own."""
+def elements(text: Column, patterns: list[str] | None = None, least: int = LEAST, most: int = MOST) -> Column:
+    """Chunks from heading to heading, short ones joined to the one before them, a short first one dropped; none if their mean length is out of bounds."""
     lines = F.transform(F.split(text, "\n"), strip)
-    step = lambda a, x: F.when(starts(x) | (F.size(a) == 0), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit("\n"), x))))
-    return F.filter(F.transform(F.aggregate(lines, F.expr("cast(array() as array<string>)"), step), strip), lambda x: x != "")
+    parts = F.filter(F.transform(gathered(lines, lambda x: (x != "") & is_heading(x, patterns), "\n", lead=True), strip), lambda x: x != "")
+    none = F.expr("cast(array() as array<string>)")
 
+    def fit(out):
+        mean = F.aggregate(out, F.lit(0), lambda s, x: s + F.length(x)) / F.size(out)
+        return F.when((F.size(out) > 0) & mean.between(least, most), out).otherwise(none)
 
-def elements(text: Column, patterns: list[str] | None = None, least: int = LEAST, most: int = MOST) -> Column:
-    """Chunks from heading to heading, short ones joined to the one before them, a short first one dropped; none if their mean length is out of bounds."""
-    parts = _grouped(text, lambda x: (x != "") & is_heading(x, patterns))
-    step = lambda a, x: F.when(F.length(x) >= least, F.concat(a, F.array(x))).when(F.size(a) > 0, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit("\n\n"), x)))).otherwise(a)
-    out = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
-    mean = F.aggregate(out, F.lit(0), lambda s, x: s + F.length(x)) / F.size(out)
-    return F.when((F.size(out) > 0) & mean.between(least, most), out).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(text.isNotNull(), _let(gathered(parts, lambda x: F.length(x) >= least, "\n\n"), fit))
 
 
 def force_split(text: Column, size: int = MOST) -> Column:
@@ -137,28 +154,26 @@ def force_split(text: Column, size: int = MOST) -> Column:
     return F.filter(cut, lambda x: x != "")
 
 
-def markdown(text: Column, most: int = MOST, least: int = LEAST) -> Column:
-    """Headings marked, then split at ever finer separators where parts are longer than most; short parts join the one before them."""
-    parts = F.array(mark_headings(text))
-    for sep in (r"\n(?=# )", r"\n(?=## )", r"\n(?=### )", r"\n\n", r"\n", r"(?<=\. )", r"(?<= )"):
-        parts = F.flatten(F.transform(parts, _splitter(sep, most)))
-    parts = F.flatten(F.transform(parts, lambda p: force_split(p, most)))
-    return _pack(F.filter(F.transform(parts, strip), lambda x: x != ""), most, least, " ")
+def markdown(text: Column, most: int = MOST, least: int = LEAST, separators: list[str] | None = None) -> Column:
+    """Headings marked, then split at the first separator that occurs; parts still longer than most are split at the next ones, in the end at most characters. A part shorter than least joins the one before it, a short first one is dropped."""
+    whole = F.array(F.struct(mark_headings(text).alias("p"), F.lit(False).alias("done")))
+    for sep in separators or SPLITS:
+        whole = F.flatten(F.transform(whole, _splitter(sep, most)))
+    parts = F.flatten(F.transform(whole, lambda x: F.when(x["done"] | (F.length(x["p"]) <= most), F.array(x["p"])).otherwise(force_split(x["p"], most))))
+    parts = F.filter(F.transform(parts, strip), lambda x: x != "")
+    return gathered(parts, lambda x: F.length(x) >= least, "\n\n")
 
 
 def _splitter(sep: str, most: int):
-    def split(p):
-        return F.when(F.length(p) > most, F.split(p, sep)).otherwise(F.array(p))
+    def split(x):
+        same = F.array(x)
+        pieces = F.filter(F.transform(F.split(x["p"], re.escape(sep)), strip), lambda p: p != "")
+        cut = _let(pieces, lambda ps: F.when(F.size(ps) > 0, F.transform(ps, lambda p: F.struct(p.alias("p"), (F.length(p) <= most).alias("done")))).otherwise(same))
+        return F.when(x["done"] | ~x["p"].contains(sep), same).otherwise(cut)
 
     return split
 
 
-def _pack(parts: Column, most: int, least: int, glue: str) -> Column:
-    """Neighbours joined while the result is no longer than most and the part before is shorter than least, or the part itself is."""
-    step = lambda a, x: F.when((F.size(a) > 0) & ((F.length(x) < least) | (F.length(F.element_at(a, -1)) < least)) & (F.length(F.element_at(a, -1)) + F.length(x) + len(glue) <= most), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit(glue), x)))).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
-
-
 def packed_sentences(text: Column, most: int = MOST, least: int = LEAST) -> Column:
     """Sentences packed greedily up to most characters (spaces between them don't count); longer ones are split, chunks shorter than least dropped."""
     none = F.expr("cast(array() as array<string>)")
@@ -207,17 +222,19 @@ def cascade(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap
     return done.unionByName(windows(left, id_col, text_col, size, overlap).select(id_col, "chunk_index", "text", F.lit("window").alias("strategy")))
 
 
-def sections(df: DataFrame, id_col: str, text_col: str, patterns: list[str] | None = None, whole: str = "Основной текст") -> DataFrame:
-    """(id, section_index, title, content, start_line): parts from section heading to section heading; a text without any is one section."""
+def sections(df: DataFrame, id_col: str, text_col: str, patterns: list[str] | None = None, lead: str = INTRODUCTION, whole: str = WHOLE) -> DataFrame:
+    """(id, section_index, title, content, start_line): parts from section heading to section heading, each line with its break. What precedes the first heading has its own title; a text of white space is one section as it is."""
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     heads = F.lit(False)
     for p in patterns or SECTIONS:
         heads = heads | strip(F.col("line")).rlike(f"(?iu){p}")
     w = Window.partitionBy(id_col).orderBy("line_no")
     own = lines.withColumn("head", heads).withColumn("g", F.sum(F.col("head").cast("int")).over(w))
-    parts = own.groupBy(id_col, "g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"), F.min("line_no").alias("start_line"), F.max(F.when(F.col("head"), strip(F.col("line")))).alias("title"))
+    parts = own.groupBy(id_col, "g").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"), F.min("line_no").alias("start_line"), F.max(F.when(F.col("head"), strip(F.col("line")))).alias("title"))
     parts = parts.where(strip(F.col("content")) != "")
-    return parts.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("g")) - 1).alias("section_index"), F.coalesce("title", F.lit(whole)).alias("title"), "content", "start_line")
+    numbered = parts.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("g")) - 1).alias("section_index"), F.coalesce("title", F.lit(lead)).alias("title"), "content", "start_line")
+    blank = df.where(strip(F.col(text_col)) == "").select(id_col, F.lit(0).alias("section_index"), F.lit(whole).alias("title"), F.col(text_col).alias("content"), F.lit(0).alias("start_line"))
+    return numbered.unionByName(blank)
 
 
 def hierarchical(df: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:

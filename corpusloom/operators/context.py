@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import file_keywords
+from ..functions.text import file_keywords, strip
+
+# Headers, lines and separators of contexts.
+PART, PARTS = "[{source}, часть {n}]\n{text}\n", "\n---\n"
+SOURCE, SOURCES = "[Источник: {source}]\n{text}", "\n\n---\n\n"
+FRAGMENT = "Фрагмент {n} (источник: {source}, релевантность: {score}):\n{text}"
+CITATION = '{n}. {source}, чанк {chunk}: "{quote}"'
+CATALOGUE, FILE, FILE_WORDS, FILE_DATE = "Доступные документы в проекте:", "{n}. Файл: {name} (тип: {kind})", "\n   Ключевые слова: {words}", "\n   Загружен: {date}"
+NO_NAME, NO_SOURCE, DOCUMENT, CHUNK = "Документ", "неизвестно", "Документ {id}", "Чанк {n}"
+
+
+def filled(template: str, **fields: Column) -> Column:
+    """A template with its {fields} replaced by columns."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts += [F.lit(template[at : m.start()]), fields[m[1]].cast("string")]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
 
 
 def joined(rows: DataFrame, by: str | list[str], order: list[str], text: Column, glue: str, name: str = "text") -> DataFrame:
@@ -15,34 +34,38 @@ def joined(rows: DataFrame, by: str | list[str], order: list[str], text: Column,
 
 
 def pack_until_full(hits: DataFrame, budget: int, with_header: bool = True) -> DataFrame:
-    """(query_id, chunks, context): hits by score, then chunk_index, up to the first that overflows the budget of characters."""
-    block = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("]\n"), "text") if with_header else F.col("text")
-    own = hits.withColumn("block", block).withColumn("n", F.length("block") if with_header else F.length("text"))
+    """(query_id, chunks, context): hits by score, then chunk_index, up to the first that overflows the budget of characters. With headers they count, otherwise only texts do; blank texts are passed over."""
+    own = hits.where(F.coalesce("text", F.lit("")) != "")
+    header = filled(PART, source=F.coalesce("source", F.lit(NO_NAME)), n=F.col("chunk_index") + 1, text=F.col("text"))
+    own = own.withColumn("block", header if with_header else filled(SOURCE, source=F.coalesce("source", F.lit(NO_SOURCE)), text=F.col("text"))).withColumn("n", F.length("block") if with_header else F.length("text"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
     own = own.withColumn("total", F.sum("n").over(w)).withColumn("at", F.row_number().over(w)).where(F.col("total") <= budget)
-    return joined(own, "query_id", ["at"], F.col("block"), "\n\n", "context").join(own.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id")
+    return joined(own, "query_id", ["at"], F.col("block"), PARTS if with_header else SOURCES, "context").join(own.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id")
 
 
 def pack_skipping(hits: DataFrame, budget: int) -> DataFrame:
     """(query_id, chunks, context): hits by score; one that overflows the budget is left out and the next is tried."""
-    order = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_id", "text"))).alias("h"))
+    order = hits.where(F.coalesce("text", F.lit("")) != "").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_id", "text"))).alias("h"))
     start = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"))
     step = lambda a, x: F.when(a["n"] + F.length(x["text"]) <= budget, F.struct((a["n"] + F.length(x["text"])).alias("n"), F.concat(a["out"], F.array(x["text"])).alias("out"))).otherwise(a)
-    return order.select("query_id", F.aggregate("h", start, step, lambda a: a["out"]).alias("o")).select("query_id", F.size("o").alias("chunks"), F.array_join("o", "\n\n").alias("context"))
+    return order.select("query_id", F.aggregate("h", start, step, lambda a: a["out"]).alias("o")).select("query_id", F.size("o").alias("chunks"), F.array_join("o", SOURCES).alias("context"))
 
 
 def fragments(hits: DataFrame) -> DataFrame:
     """(query_id, context): hits numbered, with source and score to two places."""
-    block = F.format_string("[%d] %s (%.2f)\n%s", F.col("rank"), F.coalesce("source", F.lit("")), F.col("score").cast("double"), F.col("text"))
+    named = F.coalesce(F.when(F.col("source") != "", F.col("source")), filled(DOCUMENT, id=F.col("rank")))
+    block = filled(FRAGMENT, n=F.col("rank"), source=named, score=F.format_string("%.2f", F.col("score").cast("double")), text=F.coalesce("text", F.lit("")))
     return joined(hits, "query_id", ["rank"], block, "\n\n", "context")
 
 
 def citations(hits: DataFrame, most: int = 3, quote: int = 100) -> DataFrame:
-    """(query_id, citations): of the first hits, those unique by source and chunk_index, quoted."""
+    """(query_id, citations): of the first hits (document_id, chunk_index, text, rank), those unique by document and chunk, numbered by rank and quoted."""
     first = hits.where(F.col("rank") <= most)
-    own = first.groupBy("query_id", "source", "chunk_index").agg(F.min_by("text", "rank").alias("text"), F.min("rank").alias("rank"))
-    line = F.format_string('%s, %d: "%s"', F.col("source"), F.col("chunk_index").cast("int"), F.substring("text", 1, quote))
-    return joined(own, "query_id", ["rank"], line, "\n", "citations")
+    key = ["query_id", "document_id", "chunk_index"]
+    own = first.groupBy(*key).agg(F.min_by("text", "rank").alias("text"), F.min("rank").alias("rank"))
+    name = F.coalesce(F.when(F.col("document_id").cast("string") != "", filled(DOCUMENT, id=F.substring(F.col("document_id").cast("string"), 1, 8))), filled(CHUNK, n=F.col("rank")))
+    said = F.concat(strip(F.substring("text", 1, quote)), F.when(F.length("text") > quote, "...").otherwise(""))
+    return joined(own, "query_id", ["rank"], filled(CITATION, n=F.col("rank"), source=name, chunk=F.col("chunk_index").cast("int") + 1, quote=said), "\n", "citations")
 
 
 def prompts(queries: DataFrame, contexts: DataFrame, history: DataFrame, template: str) -> DataFrame:
@@ -62,11 +85,15 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
 
 
 def catalogue(documents: DataFrame, most: int = 20) -> DataFrame:
-    """(project_id, catalogue): names of the newest documents of each project with their keywords."""
+    """(project_id, catalogue): the newest documents (filename, file_type, created) of each project, numbered, with type, keywords and date."""
     w = Window.partitionBy("project_id").orderBy(F.desc("created"), "filename")
-    own = documents.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    line = F.concat(F.lit("- "), "filename", F.lit(": "), F.array_join(F.slice(file_keywords(F.col("filename")), 1, 5), ", "))
-    return joined(own, "project_id", ["r"], line, "\n", "catalogue")
+    own = documents.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).withColumn("words", F.array_join(F.slice(file_keywords(F.col("filename")), 1, 5), ", "))
+    line = F.concat(
+        filled(FILE, n=F.col("r"), name=F.col("filename"), kind=F.upper("file_type")),
+        F.when(F.col("words") != "", filled(FILE_WORDS, words=F.col("words"))).otherwise(""),
+        F.coalesce(filled(FILE_DATE, date=F.date_format("created", "yyyy-MM-dd")), F.lit("")),
+    )
+    return joined(own, "project_id", ["r"], line, "\n", "catalogue").withColumn("catalogue", F.concat(F.lit(CATALOGUE + "\n"), "catalogue"))
 
 
 def whole_text(chunks: DataFrame, by: str) -> DataFrame:

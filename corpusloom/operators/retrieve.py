@@ -2,7 +2,8 @@
 
 Queries have query_id, project_id and question; chunks have chunk_id, project_id, source and text; hits have query_id,
 chunk_id, score, method and rank. Scores are rounded before they are ranked, sums and products of rounded ones to two places more, so that none lies halfway; ties go to the lowest
-chunk_id. Searches join on project_id or on terms, and rank with window limits that Spark applies before its shuffle.
+chunk_id. Keyword searches join on terms; dense searches join queries with all vectors of their project, which are dealt
+into SALTS parts. Ranks are window limits that Spark applies before its shuffle.
 """
 
 from __future__ import annotations
@@ -10,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import complexity, file_keywords, keywords, tokens
+from ..functions.text import complexity, keywords, tokens
+from ..sources.tables import cut
 from . import embed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Parts into which the vectors of a project are dealt; each has a copy of the project's queries.
+SALTS = 16
+#: Letters of a needle that find the texts it may lie within.
+GRAM = 4
 
 
 def top(hits: DataFrame, k: Column | int, by: str = "score", key: str = "chunk_id", group: str = "query_id") -> DataFrame:
@@ -22,16 +28,22 @@ def top(hits: DataFrame, k: Column | int, by: str = "score", key: str = "chunk_i
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def paired(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each query (project_id, q) with each vector of its project, and their cosine. Norms are computed once a vector, and a large project is dealt over SALTS tasks."""
+    own = queries.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    all_ = vectors.withColumn("vn", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    return own.join(all_, ["project_id", "salt"]).withColumn("cosine", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 6)).drop("salt", "qn", "vn", "q", "embedding")
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.5, keep: Column | None = None) -> DataFrame:
     """Cosine top k at or above a threshold within each project. queries: query_id, project_id, q; vectors: chunk_id, project_id, embedding and fields that keep may test."""
-    pairs = queries.join(vectors, "project_id")
+    pairs = paired(queries, vectors)
     pairs = pairs.where(keep) if keep is not None else pairs
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    scored = pairs.select("query_id", "chunk_id", F.col("cosine").alias("score"))
     return top(scored.where(F.col("score") >= threshold), k).withColumn("method", F.lit("dense"))
 
 
@@ -51,6 +63,21 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, terms, collections
 
 
+def store_index(index: tuple[DataFrame, DataFrame, DataFrame], folder: str, parts: int = 64) -> None:
+    """Writes an index; postings and terms lie in parts by the hash of their term, so a search reads the parts of its terms only."""
+    for name, df in zip(("postings", "terms", "collections"), index, strict=True):
+        if name == "collections":
+            df.write.parquet(f"{folder}/{name}")
+        else:
+            part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+            df.withColumn("part", part).repartition("part", "project_id").write.partitionBy("part").parquet(f"{folder}/{name}")
+
+
+def load_index(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    postings, terms, collections = (spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "collections"))
+    return postings.drop("part"), terms.drop("part"), collections
+
+
 def bm25(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int) -> DataFrame:
     """Top k of Okapi BM25 above 0; score is its sigmoid of a tenth, raw the sum itself. Only postings of query terms are read on."""
     postings, terms, collections = index
@@ -108,28 +135,64 @@ def multi_vector(queries: DataFrame, vectors: DataFrame, k: int, weights: dict[s
     return top(out.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 8).alias("score"), F.count("*").alias("kinds")), k)
 
 
+def within(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) for each needle that occurs in a text: joined on the needle's first GRAM characters, then compared. needles: needle; texts: text, both distinct."""
+    own = needles.select("needle", F.substring("needle", 1, GRAM).alias("gram")).where("gram <> ''")
+    size = F.least(F.length("text"), F.lit(1_000_000_000))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(size - g + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, g))))
+    return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram")).join(own, "gram").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
+
+
+def keyword_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, n, of): how many of a query's keywords occur in a chunk of its project, as substrings, for chunks that have any.
+
+    A keyword has only characters of words, so it occurs in a text if and only if it lies within one of its tokens:
+    keywords are matched with the distinct terms, and postings lead to the chunks; no text is searched for a question.
+    """
+    asked = queries.select("query_id", "project_id", keywords(F.col("question")).alias("kw"))
+    asked = asked.select("query_id", "project_id", F.size("kw").alias("of"), F.explode("kw").alias("needle"))
+    postings = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    pairs = within(asked.select("needle").distinct(), postings.select(F.col("term").alias("text")).distinct())
+    found = postings.join(pairs, postings["term"] == pairs["text"]).select("project_id", "chunk_id", "needle").distinct()
+    return found.join(asked, ["project_id", "needle"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.max("of").alias("of"))
+
+
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.3, per: float = 0.6, by_share: bool = True) -> DataFrame:
     """Chunks by the query keywords that occur in them, as substrings: base + per x share (or x number) of keywords, .9 at most; all chunks are scored."""
-    asked = queries.select("query_id", "project_id", keywords(F.col("question")).alias("kw")).where(F.size("kw") > 0)
-    pairs = asked.join(chunks.select("chunk_id", "project_id", F.lower("text").alias("low")), "project_id")
-    n = F.size(F.filter("kw", lambda w: F.col("low").contains(w)))
-    score = F.least(F.lit(0.9), base + per * (n / F.size("kw") if by_share else n))
-    return top(pairs.select("query_id", "chunk_id", n.alias("n"), F.round(score, 6).alias("score")).where("n > 0"), k).withColumn("method", F.lit("keyword"))
+    n = F.col("n") / F.col("of") if by_share else F.col("n")
+    scored = keyword_counts(queries, chunks).select("query_id", "chunk_id", "n", F.round(F.least(F.lit(0.9), base + per * n), 6).alias("score"))
+    return top(scored, k).withColumn("method", F.lit("keyword"))
+
+
+def fill(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score: float) -> DataFrame:
+    """The top k of scored (query_id, chunk_id, score), and for queries with fewer the chunks of their project that come first by id, at a score that none of theirs is below. Of twice k chunks k are unscored at least."""
+    full = scored.groupBy("query_id").count().where(F.col("count") >= k)
+    first = chunks.select("project_id", "chunk_id").withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy("chunk_id"))).where(F.col("r") <= 2 * k)
+    short = queries.select("query_id", "project_id").join(full, "query_id", "left_anti")
+    more = short.join(first, "project_id").join(scored, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(score).alias("score"))
+    return top(scored.select("query_id", "chunk_id", "score").unionByName(more), k)
+
+
+def stored_fallback(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.5, per: float = 0.1) -> DataFrame:
+    """Chunks with text by .5 and .1 more for each keyword in them, .9 at most; those without a keyword stay at .5."""
+    own = chunks.where(F.col("text") != "")
+    scored = keyword_counts(queries, own).select("query_id", "chunk_id", F.round(F.least(F.lit(0.9), base + per * F.col("n")), 6).alias("score"))
+    return fill(scored, queries, own, k, base).withColumn("method", F.lit("stored"))
 
 
 def expand(queries: DataFrame, stop: list[str], most: int = 5) -> DataFrame:
-    """(query_id, project_id, n, variant): the question, its first keywords, itself without stop words, its first five words; distinct, in this order."""
-    words = F.filter(F.split(F.col("question"), r"\s+"), lambda w: w != "")
-    low = F.array_compact(F.array(F.col("question"), F.array_join(F.slice(keywords(F.col("question")), 1, 5), " "), F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(stop)), " "), F.array_join(F.slice(words, 1, 5), " ")))
-    return queries.select("query_id", "project_id", F.posexplode(F.slice(F.array_distinct(F.filter(low, lambda v: v != "")), 1, most)).alias("n", "variant"))
+    """(query_id, project_id, n, variant): the question; its first keywords, and its words but for stop words and those of two letters, if it has keywords; its first five words if there are more than three. Distinct, in this order."""
+    words = tokens(F.col("question"))
+    long = F.filter(words, lambda w: F.length(w) > 3)
+    plain = F.array_join(F.filter(words, lambda w: ~w.isin(stop) & (F.length(w) > 2)), " ")
+    own = F.array(F.col("question"), F.when(F.size(long) > 0, F.array_join(F.slice(long, 1, 5), " ")), F.when((F.size(long) > 0) & (plain != ""), plain), F.when(F.size(words) > 3, F.array_join(F.slice(words, 1, 5), " ")))
+    return queries.select("query_id", "project_id", F.posexplode(F.slice(F.array_distinct(F.array_compact(own)), 1, most)).alias("n", "variant"))
 
 
 def search_variants(variants: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Best discounted hit of each query's variants (query_id, project_id, n, q, discount, threshold): a chunk counts once, with its best score."""
-    key = F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string"))
-    own = variants.withColumn("vid", key)
-    pairs = own.join(vectors, "project_id").select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("s"), "discount", "threshold").where("s >= threshold")
-    return top(pairs.groupBy("query_id", "chunk_id").agg(F.max(F.round(F.col("s") * F.col("discount"), 8)).alias("score")), k)
+    pairs = paired(variants, vectors).where("cosine >= threshold")
+    return top(pairs.groupBy("query_id", "chunk_id").agg(F.max(F.round(F.col("cosine") * F.col("discount"), 8)).alias("score")), k)
 
 
 def cascade(queries: DataFrame, stages: list, texts: DataFrame, k: int) -> DataFrame:
@@ -142,7 +205,7 @@ def cascade(queries: DataFrame, stages: list, texts: DataFrame, k: int) -> DataF
         first = F.row_number().over(Window.partitionBy("query_id", "head").orderBy("stage", F.desc("score"), "chunk_id"))
         found = found.withColumn("r", first).where("r = 1").drop("r")
         # Later stages read this result again and again, so its lineage ends here.
-        found = found.checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+        found = cut(found, "cascade")
         done = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
         short = queries.join(done, "query_id", "left_anti")
     return found.drop("head")
@@ -157,15 +220,12 @@ def prefer(hits: DataFrame, own: DataFrame, k: int, boost: float = 1.2) -> DataF
 
 
 def rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, k: int, stop: list[str]) -> DataFrame:
-    """Heuristic rerank: .4 score, .4 share of keywords in the text, .1 for each question phrase of two words in it (.2 at most), and a bonus by length, within 0 and 1."""
-    words = tokens(F.col("question"))
-    own = queries.select("query_id", F.array_except(F.array_distinct(words), F.array(*map(F.lit, stop))).alias("kw"), words.alias("w"))
-    pairs = F.expr("if(size(w) < 2, cast(array() as array<string>), array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))))")
-    own = own.withColumn("pairs", pairs)
-    rows = hits.select("query_id", "chunk_id", "score").join(own, "query_id").join(texts.select("chunk_id", F.lower("text").alias("low"), F.length("text").alias("n")), "chunk_id")
+    """Heuristic rerank: .4 score, .4 share of keywords in the text, .2 of .1 for each word of the question longer than 3 in it (.5 at most), and a bonus by length, within 0 and 1."""
+    own = queries.select("query_id", F.array_except(keywords(F.col("question")), F.array(*map(F.lit, stop))).alias("kw"), F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) > 3).alias("phrases"))
+    rows = hits.select("query_id", "chunk_id", "score").join(own, "query_id").join(texts.where("text <> ''").select("chunk_id", F.lower("text").alias("low"), F.length("text").alias("n")), "chunk_id")
     inside = lambda c: F.size(F.filter(c, lambda x: F.col("low").contains(x)))
-    share = F.coalesce(inside("kw") / F.nullif(F.size("kw"), F.lit(0)), F.lit(0.0))
-    phrase = F.least(F.lit(0.5), 0.1 * inside("pairs"))
+    share = inside("kw") / F.greatest(F.size("kw"), F.lit(1))
+    phrase = F.least(F.lit(0.5), 0.1 * inside("phrases"))
     bonus = F.when(F.col("n").between(200, 500), 0.1).when(F.col("n") < 50, -0.2).when(F.col("n") > 2000, -0.1).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * F.col("score") + 0.4 * share + 0.2 * phrase + bonus))
     return top(rows.select("query_id", "chunk_id", F.round(score, 6).alias("score")), k)
@@ -178,24 +238,25 @@ def rerank_by_model(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return top(mixed.select("query_id", "chunk_id", F.round(0.3 * F.col("score") + 0.7 * m, 8).alias("score")), k)
 
 
-def adaptive_k(queries: DataFrame, quality: DataFrame, k: int, **words) -> DataFrame:
-    """k of each query: less for simple, more for complex ones, more where the earlier quality was low, 3 to 20."""
+def adaptive_k(queries: DataFrame, quality: DataFrame, k: int, least: int = 3, most: int = 20, **words) -> DataFrame:
+    """k of each query: 2 less for simple, 5 more for complex ones; then 3 more where the earlier quality was below .5, 2 less above .8; each step stays within the bounds that it moves towards."""
     kind = complexity(F.col("question"), **words)
-    base = F.when(kind == "simple", F.greatest(F.lit(3), F.lit(k - 2))).when(kind == "complex", F.lit(k + 3)).otherwise(F.lit(k))
-    more = F.when(F.col("quality") < 0.5, 2).when(F.col("quality") > 0.8, -1).otherwise(0)
-    return queries.join(quality, "query_id", "left").select("query_id", kind.alias("complexity"), F.greatest(F.lit(3), F.least(F.lit(20), base + more)).alias("k"))
+    less, more = lambda c, n: F.greatest(F.lit(least), c - n), lambda c, n: F.least(F.lit(most), c + n)
+    base = F.when(kind == "simple", less(F.lit(k), 2)).when(kind == "complex", more(F.lit(k), 5)).otherwise(F.lit(k))
+    return queries.join(quality, "query_id", "left").select("query_id", kind.alias("complexity"), F.when(F.col("quality") < 0.5, more(base, 3)).when(F.col("quality") > 0.8, less(base, 2)).otherwise(base).alias("k"))
 
 
-def adaptive_threshold(found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Threshold by the number of hits and the complexity of a query (query_id, hits, complexity), .3 to .8."""
-    by_hits = F.when(F.col("hits") < 3, -0.1).when(F.col("hits") > 10, 0.1).otherwise(0.0)
-    by_kind = F.when(F.col("complexity") == "complex", -0.05).when(F.col("complexity") == "simple", 0.05).otherwise(0.0)
-    return found.select("query_id", F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.8), threshold + by_hits + by_kind)), 6).alias("threshold"))
+def adaptive_threshold(found: DataFrame, threshold: float = 0.5, target: int = 5, least: float = 0.3, most: float = 0.8) -> DataFrame:
+    """Threshold by the number of hits and the complexity of a query (query_id, hits, complexity): .1 less below the target, .1 more beyond twice the target; .05 less for complex ones."""
+    hits = F.coalesce("hits", F.lit(0))
+    t = F.when(hits < target, F.greatest(F.lit(least), F.lit(threshold - 0.1))).when(hits > 2 * target, F.least(F.lit(most), F.lit(threshold + 0.1))).otherwise(F.lit(threshold))
+    return found.select("query_id", F.round(F.when(F.col("complexity") == "complex", F.greatest(F.lit(least), t - 0.05)).otherwise(t), 6).alias("threshold"))
 
 
-def quality(hits: DataFrame) -> DataFrame:
-    """min(1, mean score + .2 x share of scores above .5) of each query."""
-    return hits.groupBy("query_id").agg(F.round(F.least(F.lit(1.0), F.avg("score") + 0.2 * F.avg(F.when(F.col("score") > 0.5, 1.0).otherwise(0.0))), 6).alias("quality"))
+def quality(hits: DataFrame, good: float = 0.5) -> DataFrame:
+    """min(1, mean score, between 0 and 1, + .2 x share of scores of .5 or more) of each query."""
+    mean = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("score")))
+    return hits.groupBy("query_id").agg(F.round(F.least(F.lit(1.0), mean + 0.2 * F.avg(F.when(F.col("score") >= good, 1.0).otherwise(0.0))), 6).alias("quality"))
 
 
 def second_pass(queries: DataFrame, hits: DataFrame, again) -> DataFrame:
@@ -208,13 +269,28 @@ def routed(queries: DataFrame, special: Column, usual, other) -> DataFrame:
     return usual(queries.where(~special)).unionByName(other(queries.where(special)))
 
 
-def file_fallback(queries: DataFrame, chunks: DataFrame, named: float, base: float, per: float) -> DataFrame:
-    """Score of chunks by whether the question has a word of the file name (named), else by matching keywords, .8 at most."""
-    asked = queries.select("query_id", "project_id", F.lower("question").alias("low_q"), keywords(F.col("question")).alias("kw"))
-    pairs = asked.join(chunks.select("chunk_id", "project_id", F.lower("text").alias("low"), file_keywords(F.col("source")).alias("fk")), "project_id")
-    names = F.exists("fk", lambda w: F.col("low_q").contains(w))
-    n = F.size(F.filter("kw", lambda w: F.col("low").contains(w)))
-    return pairs.select("query_id", "chunk_id", F.round(F.when(names, named).otherwise(F.least(F.lit(0.8), base + per * n)), 6).alias("score"))
+def named_files(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of chunks whose whole file name the question has, in any case."""
+    asked = queries.select("query_id", "project_id", F.lower("question").alias("text"))
+    files = chunks.select("project_id", "source").distinct().select("project_id", "source", F.lower("source").alias("needle"))
+    pairs = within(files.select("needle").distinct(), asked.select("text").distinct())
+    named = asked.join(pairs, "text").join(files, ["project_id", "needle"]).select("query_id", "project_id", "source").distinct()
+    return named.join(chunks.select("project_id", "source", "chunk_id"), ["project_id", "source"]).select("query_id", "chunk_id")
+
+
+def file_fallback(queries: DataFrame, chunks: DataFrame, k: int, named: float = 0.9, base: float = 0.5, per: float = 0.1, most: float = 0.8) -> DataFrame:
+    """Top chunks: named if the question has their whole file name, else base and per more for each keyword in them, at most most. Without per (previews), texts aren't compared."""
+    files = named_files(queries, chunks).withColumn("score", F.lit(named))
+    if per:
+        counts = keyword_counts(queries, chunks).select("query_id", "chunk_id", F.round(F.least(F.lit(most), base + per * F.col("n")), 6).alias("score"))
+        files = files.unionByName(counts.join(files, ["query_id", "chunk_id"], "left_anti"))
+    return fill(files, queries, chunks, k, base)
+
+
+def previews(documents: DataFrame, least: int = 50, most: int = 1000) -> DataFrame:
+    """Documents (chunk_id, project_id, source, text) longer than least as previews: their name and first characters."""
+    text = F.concat(F.lit("Документ '"), "source", F.lit("':\n"), F.substring("text", 1, most), F.when(F.length("text") > most, "...").otherwise(""))
+    return documents.where(F.length("text") > least).withColumn("text", text)
 
 
 def sources(hits: DataFrame) -> DataFrame:

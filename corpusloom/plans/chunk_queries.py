@@ -104,8 +104,9 @@ SECTION = r"(?i)^(?:(?:\d+\.?\s+)?[A-ZА-ЯЁ][A-ZА-ЯЁ\s]{5,50}|#{1,2}\s+.+)$
 with l as (select doc_id, {LINES} from documents),
 h as (select *, regexp_matches({strip('line')}, '{SECTION}') or regexp_matches({strip('line')}, '(?i)^(?:ГЛАВА|РАЗДЕЛ|ЧАСТЬ)\\s+\\d+[.\\s]*(.+)?$') as head from l),
 g as (select *, sum(head::int) over (partition by doc_id order by i) as g from h),
-p as (select doc_id, g, string_agg(line, chr(10) order by i) as content, min(i) - 1 as start_line, max(case when head then {strip('line')} end) as title from g group by doc_id, g)
-select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as section_index, coalesce(title, 'Основной текст') as title, md5(content) as digest, cast(start_line as int) as start_line from p where {strip('content')} <> ''""")
+p as (select doc_id, g, string_agg(line, chr(10) order by i) || chr(10) as content, min(i) - 1 as start_line, max(case when head then {strip('line')} end) as title from g group by doc_id, g)
+select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as section_index, coalesce(title, 'Введение') as title, md5(content) as digest, cast(start_line as int) as start_line from p where {strip('content')} <> ''
+union all select doc_id, 0, 'Основной текст', md5(text), 0 from documents where {strip('text')} = ''""")
 def _(tables):
     return c.sections(tables("documents"), "doc_id", "text").select("doc_id", "section_index", "title", F.md5("content").alias("digest"), "start_line")
 

@@ -8,6 +8,7 @@ from ..operators import context as x
 from ..operators import retrieve as r
 from .registry import query
 from .retrieval_queries import BM, bm, chunks, questions
+from .text_queries import strip
 
 HITS = f"with {BM}, {bm(8)}, h as (select b.*, source, text, 0 as chunk_index from bm b join c using (chunk_id))"
 
@@ -17,12 +18,12 @@ def hits(tables):
     return found.join(chunks(tables).select("chunk_id", "source", "text"), "chunk_id").withColumn("chunk_index", F.lit(0))
 
 
-@query("t10_citations", f"{HITS}, g as (select query_id, source, chunk_index, arg_min(text, rank) as text, min(rank) as r from h where rank <= 3 group by all) select query_id, md5(string_agg(source || ', ' || chunk_index || ': \"' || left(text, 100) || '\"', chr(10) order by r)) as digest from g group by query_id")
+@query("t10_citations", f"{HITS}, g as (select query_id, chunk_id, chunk_index, arg_min(text, rank) as text, min(rank) as r from h where rank <= 3 group by all) select query_id, md5(string_agg(r || '. Документ ' || left(cast(chunk_id as varchar), 8) || ', чанк ' || (chunk_index + 1) || ': \"' || {strip('left(text, 100)')} || case when length(text) > 100 then '...' else '' end || '\"', chr(10) order by r)) as digest from g group by query_id")
 def _(tables):
-    return x.citations(hits(tables)).select("query_id", F.md5("citations").alias("digest"))
+    return x.citations(hits(tables).withColumn("document_id", F.col("chunk_id"))).select("query_id", F.md5("citations").alias("digest"))
 
 
-@query("x1_pack_until_full", f"{HITS}, b as (select *, '[' || source || ']' || chr(10) || text as block from h), t as (select *, sum(length(block)) over (partition by query_id order by score desc, chunk_index, chunk_id rows unbounded preceding) as total from b) select query_id, count(*) as chunks, md5(string_agg(block, chr(10) || chr(10) order by score desc, chunk_index, chunk_id)) as digest from t where total <= 4000 group by query_id")
+@query("x1_pack_until_full", f"{HITS}, b as (select *, '[' || source || ', часть ' || (chunk_index + 1) || ']' || chr(10) || text || chr(10) as block from h where text <> ''), t as (select *, sum(length(block)) over (partition by query_id order by score desc, chunk_index, chunk_id rows unbounded preceding) as total from b) select query_id, count(*) as chunks, md5(string_agg(block, chr(10) || '---' || chr(10) order by score desc, chunk_index, chunk_id)) as digest from t where total <= 4000 group by query_id")
 def _(tables):
     return x.pack_until_full(hits(tables), 4000).select("query_id", "chunks", F.md5("context").alias("digest"))
 
@@ -31,12 +32,12 @@ def _(tables):
 with recursive {BM}, {bm(8)}, h as (select b.*, text, row_number() over (partition by query_id order by score desc, chunk_id) as k from bm b join c using (chunk_id)),
 wx as (select query_id, 0 as k, 0 as n, cast([] as varchar[]) as o from (select distinct query_id from h)
   union all select wx.query_id, cast(h.k as int), cast(case when wx.n + length(text) <= 3000 then wx.n + length(text) else wx.n end as int), case when wx.n + length(text) <= 3000 then list_append(o, text) else o end from wx join h on h.query_id = wx.query_id and h.k = wx.k + 1)
-select query_id, len(o) as chunks, md5(array_to_string(o, chr(10) || chr(10))) as digest from (select *, row_number() over (partition by query_id order by k desc) as z from wx) where z = 1""")
+select query_id, len(o) as chunks, md5(array_to_string(o, chr(10) || chr(10) || '---' || chr(10) || chr(10))) as digest from (select *, row_number() over (partition by query_id order by k desc) as z from wx) where z = 1""")
 def _(tables):
     return x.pack_skipping(hits(tables), 3000).select("query_id", "chunks", F.md5("context").alias("digest"))
 
 
-@query("x3_fragments", f"{HITS} select query_id, md5(string_agg(printf('[%d] %s (%.2f)', rank, source, score) || chr(10) || text, chr(10) || chr(10) order by rank)) as digest from h group by query_id")
+@query("x3_fragments", f"{HITS} select query_id, md5(string_agg(printf('Фрагмент %d (источник: %s, релевантность: %.2f):', rank, source, score) || chr(10) || text, chr(10) || chr(10) order by rank)) as digest from h group by query_id")
 def _(tables):
     return x.fragments(hits(tables)).select("query_id", F.md5("context").alias("digest"))
 
@@ -45,10 +46,19 @@ def messages(tables):
     return tables("conversations").select(F.col("conv_id").alias("user_id"), "turn", "role", F.col("text").alias("content"))
 
 
-@query("x4_prompts")
+X4 = f"""{HITS}, b as (select *, '[' || source || ', часть ' || (chunk_index + 1) || ']' || chr(10) || text || chr(10) as block from h where text <> ''),
+t as (select *, sum(length(block)) over (partition by query_id order by score desc, chunk_index, chunk_id rows unbounded preceding) as total from b),
+k as (select query_id, string_agg(block, chr(10) || '---' || chr(10) order by score desc, chunk_index, chunk_id) as context from t where total <= 4000 group by query_id),
+m as (select conv_id as user_id, string_agg(role || ':' || text, '|' order by turn) as history, count(*) as n from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 6 group by conv_id)
+select q.query_id, coalesce(n, 0) + 2 as n, md5('system:Answer from the context.' || chr(10) || coalesce(context, '') || chr(10) || 'Question: ' || question || '|' || coalesce(history || '|', '') || 'user:' || question) as digest
+from q left join k using (query_id) left join m on m.user_id = q.query_id % 30"""
+
+
+@query("x4_prompts", X4)
 def _(tables):
     q = questions(tables).withColumn("user_id", F.col("query_id") % 30)
-    return x.prompts(q, x.pack_until_full(hits(tables), 4000), x.last_messages(messages(tables), 6), "Answer from the context.\n{context}\nQuestion: {question}")
+    out = x.prompts(q, x.pack_until_full(hits(tables), 4000), x.last_messages(messages(tables), 6), "Answer from the context.\n{context}\nQuestion: {question}")
+    return out.select("query_id", F.size("messages").cast("long").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")).alias("digest"))
 
 
 @query("x5_last_messages", "select conv_id as user_id, md5(string_agg(role || ':' || text, '|' order by turn)) as digest, count(*) as n from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 6 group by conv_id")
@@ -57,9 +67,9 @@ def _(tables):
     return h.select("user_id", F.md5(F.array_join(F.transform("history", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")).alias("digest"), F.size("history").cast("long").alias("n"))
 
 
-@query("x6_catalogue", "with f as (select source as project_id, doc_id, 'Report_' || lang || '-' || doc_id || '.txt' as filename from documents), r as (select *, row_number() over (partition by project_id order by doc_id desc, filename) as r from f where true) select project_id, string_agg('- ' || filename || ': report' || case when length(regexp_extract(filename, '-(\\d+)', 1)) > 2 then ', ' || regexp_extract(filename, '-(\\d+)', 1) else '' end, chr(10) order by r) as catalogue from r where r <= 20 group by project_id")
+@query("x6_catalogue", "with f as (select source as project_id, doc_id, 'Report_' || lang || '-' || doc_id || '.txt' as filename, date '2024-01-01' + cast(doc_id % 300 as int) as created from documents), r as (select *, row_number() over (partition by project_id order by created desc, filename) as r from f) select project_id, 'Доступные документы в проекте:' || chr(10) || string_agg(r || '. Файл: ' || filename || ' (тип: TXT)' || chr(10) || '   Ключевые слова: report' || case when length(cast(doc_id as varchar)) > 2 then ', ' || doc_id else '' end || chr(10) || '   Загружен: ' || strftime(created, '%Y-%m-%d'), chr(10) order by r) as catalogue from r where r <= 20 group by project_id")
 def _(tables):
-    d = tables("documents").select(F.col("source").alias("project_id"), F.concat(F.lit("Report_"), "lang", F.lit("-"), "doc_id", F.lit(".txt")).alias("filename"), F.col("doc_id").alias("created"))
+    d = tables("documents").select(F.col("source").alias("project_id"), F.concat(F.lit("Report_"), "lang", F.lit("-"), "doc_id", F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type"), F.expr("date_add(date'2024-01-01', cast(doc_id % 300 as int))").alias("created"))
     return x.catalogue(d)
 
 

@@ -150,10 +150,9 @@ def _(tables):
     return r.keyword_search(questions(tables), chunks(tables), 5).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("r8_expansion", f"with q as {Q}, w as (select query_id, question, list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '') as w from q), v as (select query_id, array_to_string(list_sort(list_distinct(list_filter([question, array_to_string(list_filter(w, lambda x: lower(x) not in ('the', 'that', 'and')), ' '), array_to_string(w[1:5], ' ')], lambda x: x <> ''))), '|') as variants from w) select * from v")
+@query("r8_expansion", f"with q as {Q}, w as (select query_id, question, {tok('question')} as w from q), x as (select *, list_filter(w, lambda x: length(x) > 3) as l, array_to_string(list_filter(w, lambda x: x not in ('the', 'that', 'and') and length(x) > 2), ' ') as p from w) select query_id, array_to_string(list_sort(list_distinct(list_filter([question, case when len(l) > 0 then array_to_string(l[1:5], ' ') end, case when len(l) > 0 and p <> '' then p end, case when len(w) > 3 then array_to_string(w[1:5], ' ') end], lambda x: x is not null))), '|') as variants from x")
 def _(tables):
-    v = r.expand(questions(tables), EN_STOP).where(~F.col("variant").isin("")).join(questions(tables).select("query_id", F.array_join(F.slice(r.keywords(F.col("question")), 1, 5), " ").alias("kw")), "query_id")
-    return v.where("variant <> kw").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("variant")), "|").alias("variants"))
+    return r.expand(questions(tables), EN_STOP).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("variant")), "|").alias("variants"))
 
 
 @query("r9_variants", f"with v as {V}, x as (select a.chunk_id as query_id, b.chunk_id as asked, case when (b.chunk_id // 20) % 2 = 0 then 0.85 else 0.8 end as d, case when (b.chunk_id // 20) % 2 = 0 then 0.15 else 0.1 end as t, b.project_id, b.e from v a join v b using (project_id) where a.chunk_id % 20 = 0 and b.chunk_id % 20 = 0), s as (select query_id, v.chunk_id, max(round(round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) * d, 8)) as score from x join v using (project_id) where round(list_dot_product(x.e, v.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(v.e, v.e)), 6) >= t group by all) select query_id, chunk_id, score, rank from ({RANKED} s) where rank <= 5")
@@ -166,17 +165,27 @@ def _(tables):
 
 @query("r10_cascade")
 def _(tables):
+    """Reformulations are a question's words in reverse, follow-ups its last five words: generated text comes as a table."""
     q, c, k = questions(tables), chunks(tables), 5
-    index = r.bm25_index(c)
     v = r.embedded(c, "chunk_id", "text", "embedding").select("chunk_id", "project_id", "embedding")
+    words = F.split(F.col("question"), " ")
+    written = {"reformulation": F.array_join(F.reverse(words), " "), "followup": F.array_join(F.slice(words, -5, 5), " ")}
 
-    def expansion(left):
-        variants = r.embedded(r.expand(left, EN_STOP).withColumn("vid", F.concat_ws("#", "query_id", "n")), "vid", "variant", "q")
-        return r.search_variants(variants.withColumn("discount", F.lit(0.9)).withColumn("threshold", F.lit(0.3)), v, k).withColumn("method", F.lit("expansion"))
+    def searched(variants, method, discount, threshold, most):
+        own = r.embedded(variants.withColumn("vid", F.concat_ws("#", "query_id", "n")), "vid", "variant", "q")
+        return r.search_variants(own.withColumn("discount", F.lit(discount)).withColumn("threshold", F.lit(threshold)), v, most).withColumn("method", F.lit(method))
 
-    hybrid = lambda left: r.hybrid(left, c, 2 * k, (0.5, 0.5), 0.4)
-    found = r.cascade(q, [hybrid, expansion, lambda left: r.bm25(left, index, k), lambda left: r.keyword_search(left, c, k)], c, k)
-    return r.rerank(r.top(found, 3 * k), q, c, 2 * k, EN_STOP)
+    def table(left, kind):
+        return left.where(F.size(words) >= 5).select("query_id", "project_id", F.lit(0).alias("n"), written[kind].alias("variant"))
+
+    stages = [
+        lambda left: r.hybrid(left, c, 2 * k, (0.5, 0.5), 0.4),
+        lambda left: searched(r.expand(left, EN_STOP), "expansion", 0.9, 0.3, k),
+        lambda left: searched(table(left, "reformulation"), "reformulation", 0.85, 0.35, k),
+        lambda left: searched(table(left, "followup"), "followup", 0.8, 0.3, k // 2),
+        lambda left: r.keyword_search(left, c, k),
+    ]
+    return r.rerank(r.top(r.cascade(q, stages, c, k), 3 * k), q, c, 2 * k, EN_STOP)
 
 
 @query("r11_document_priority", f"with {BM}, {bm(10)}, m as (select b.query_id, b.chunk_id, b.chunk_id % 3 = 0 as priority, round(case when b.chunk_id % 3 = 0 then least(1.0, b.score * 1.2) else b.score end, 8) as score from bm b) select query_id, chunk_id, score, priority, rank from (select *, row_number() over (partition by query_id order by priority desc, score desc, chunk_id) as rank from m) where rank <= 5")
@@ -186,10 +195,8 @@ def _(tables):
 
 
 @query("r12_rerank", f"""with {BM}, {bm(10)},
-w as (select query_id, {tok('question')} as w, list_filter(list_distinct({tok('question')}), lambda x: x not in ('the', 'that', 'and')) as kw from q),
-""".replace("\nw as (select query_id", "\nw9 as (select query_id") + f"""
-p9 as (select query_id, kw, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as pairs from w9),
-s9 as (select b.query_id, b.chunk_id, length(c.text) as n, b.score, len(list_filter(kw, lambda x: contains(lower(c.text), x))) / len(kw) as share, least(0.5, 0.1 * len(list_filter(pairs, lambda x: contains(lower(c.text), x)))) as phrase from bm b join p9 using (query_id) join c using (chunk_id)),
+p9 as (select query_id, list_filter(list_distinct({tok('question')}), lambda x: length(x) > 3 and x not in ('the', 'that', 'and')) as kw, list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: length(x) > 3) as ph from q),
+s9 as (select b.query_id, b.chunk_id, length(c.text) as n, b.score, least(1.0, len(list_filter(kw, lambda x: contains(lower(c.text), x))) / greatest(len(kw), 1)) as share, least(0.5, 0.1 * len(list_filter(ph, lambda x: contains(lower(c.text), x)))) as phrase from bm b join p9 using (query_id) join c using (chunk_id) where c.text <> ''),
 t9 as (select query_id, chunk_id, round(greatest(0.0, least(1.0, 0.4 * score + 0.4 * share + 0.2 * phrase + case when n between 200 and 500 then 0.1 when n < 50 then -0.2 when n > 2000 then -0.1 else 0.0 end)), 6) as score from s9)
 select query_id, chunk_id, score, rank from ({RANKED} t9) where rank <= 5""")
 def _(tables):
@@ -203,11 +210,11 @@ def _(tables):
     return r.rerank_by_model(hits, hits.select("query_id", "chunk_id", ((F.col("chunk_id") % 21) / 10.0 - 1).alias("model_score")), 5).select("query_id", "chunk_id", "score", "rank")
 
 
-QUALITY = "qu as (select query_id, round(least(1.0, avg(score) + 0.2 * avg(case when score > 0.5 then 1.0 else 0.0 end)), 6) as quality from bm group by 1)"
+QUALITY = "qu as (select query_id, round(least(1.0, least(1.0, greatest(0.0, avg(score))) + 0.2 * avg(case when score >= 0.5 then 1.0 else 0.0 end)), 6) as quality from bm group by 1)"
 KIND = "case when n <= 20 and contains(lower(question), 'the') then 'simple' when n > 15 or contains(lower(question), 'thing') then 'complex' else 'medium' end"
 
 
-@query("r14_adaptive", f"with {BM}, {bm(10)}, {QUALITY}, k as (select query_id, case when n <= 5 and contains(lower(question), 'the') then 'simple' when n > 15 or contains(lower(question), 'thing') then 'complex' else 'medium' end as complexity from (select *, len(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) as n from q)) select query_id, complexity, greatest(3, least(20, case complexity when 'simple' then 3 when 'complex' then 8 else 5 end + case when quality < 0.5 then 2 when quality > 0.8 then -1 else 0 end)) as k, round(greatest(0.3, least(0.8, 0.5 + case when h < 3 then -0.1 when h > 10 then 0.1 else 0 end + case complexity when 'complex' then -0.05 when 'simple' then 0.05 else 0 end)), 6) as threshold from k left join qu using (query_id) left join (select query_id, count(*) as h from bm group by 1) using (query_id)")
+@query("r14_adaptive", f"with {BM}, {bm(10)}, {QUALITY}, k as (select query_id, case when n <= 5 and contains(lower(question), 'the') then 'simple' when n > 15 or contains(lower(question), 'thing') then 'complex' else 'medium' end as complexity from (select *, len(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) as n from q)) select query_id, complexity, case when quality < 0.5 then b + 3 when quality > 0.8 then greatest(3, b - 2) else b end as k, round(t - case complexity when 'complex' then 0.05 else 0 end, 6) as threshold from (select *, case complexity when 'simple' then 3 when 'complex' then 10 else 5 end as b, case when coalesce(h, 0) < 5 then 0.4 when h > 10 then 0.6 else 0.5 end as t from k left join qu using (query_id) left join (select query_id, count(*) as h from bm group by 1) using (query_id))")
 def _(tables):
     q = questions(tables)
     hits = r.bm25(q, r.bm25_index(chunks(tables)), 10)
@@ -241,24 +248,39 @@ def _(tables):
     return r.dense(q.select("query_id", "project_id", "q"), v.select("chunk_id", "project_id", "embedding"), 1, 0.3).select("query_id", "chunk_id", "score")
 
 
-@query("r19_stored_fallback", f"with q as {Q}, c as {C}, a as (select query_id, chunk_id, len(list_filter({KW}, lambda w: contains(lower(text), w))) as n from q join c using (project_id)), b as (select query_id, chunk_id, round(least(0.9, 0.5 + 0.1 * n), 6) as score from a where n > 0) select query_id, chunk_id, score, rank from ({RANKED} b) where rank <= 5")
+@query("r19_stored_fallback", f"with q as {Q}, c as {C}, a as (select query_id, chunk_id, len(list_filter({KW}, lambda w: contains(lower(text), w))) as n from q join c using (project_id) where text <> ''), b as (select query_id, chunk_id, round(least(0.9, 0.5 + 0.1 * n), 6) as score from a) select query_id, chunk_id, score, rank from ({RANKED} b) where rank <= 5")
 def _(tables):
-    return r.keyword_search(questions(tables), chunks(tables), 5, 0.5, 0.1, by_share=False).select("query_id", "chunk_id", "score", "rank")
+    return r.stored_fallback(questions(tables), chunks(tables), 5).select("query_id", "chunk_id", "score", "rank")
+
+
+def naming(tables):
+    """Questions of which every third names a file of its project."""
+    q = questions(tables)
+    return q.withColumn("question", F.when(F.col("query_id") % 3 == 0, F.concat("question", F.lit(" in SRC"), (F.col("query_id") % 2).cast("string"), F.lit("?"))).otherwise(F.col("question")))
+
+
+def filed(tables):
+    return chunks(tables).withColumn("source", F.concat(F.lit("Src"), F.pmod(F.col("chunk_id"), F.lit(7)).cast("string")))
+
+
+NAMING = "(select query_id, project_id, case when query_id % 3 = 0 then question || ' in SRC' || (query_id % 2) || '?' else question end as question from " + Q + ")"
+FILED = "(select chunk_id, project_id, 'Src' || (chunk_id % 7) as source, text from " + C + ")"
 
 
 @query("r20_overlap_fallback")
 def _(tables):
     from ..operators.chunk import windows
 
-    parts = windows(tables("documents"), "doc_id", "text", 1000, 500).where("chunk_index < 5").join(tables("documents").select("doc_id", F.col("lang").alias("project_id"), "source"), "doc_id")
-    own = parts.select(F.concat_ws("_", "doc_id", "chunk_index").alias("chunk_id"), "project_id", "source", "text")
-    return r.top(r.file_fallback(questions(tables), own, 0.9, 0.5, 0.1), 5)
+    own = filed(tables).where("length(text) > 50")
+    parts = windows(own, "chunk_id", "text", 1000, 500).where("chunk_index < 5").join(own.drop("text"), "chunk_id")
+    parts = parts.select(F.concat_ws("_", "chunk_id", "chunk_index").alias("chunk_id"), "project_id", "source", "text")
+    return r.file_fallback(naming(tables), parts, 5).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("r21_preview_fallback", f"with q as {Q}, c as {C}, b as (select query_id, chunk_id, case when contains(lower(question), lower(source)) then 0.7 else 0.4 end as score from q join c using (project_id)) select query_id, chunk_id, score from ({RANKED} b) where rank <= 5")
+@query("r21_preview_fallback", f"with q as {NAMING}, c as {FILED}, b as (select query_id, chunk_id, case when contains(lower(question), lower(source)) then 0.7 else 0.4 end as score, md5('Документ ' || chr(39) || source || chr(39) || ':' || chr(10) || left(text, 1000) || case when length(text) > 1000 then '...' else '' end) as digest from q join c using (project_id) where length(text) > 50) select query_id, chunk_id, score, digest from ({RANKED} b) where rank <= 5")
 def _(tables):
-    own = chunks(tables).withColumn("text", F.substring("text", 1, 1000))
-    return r.top(r.file_fallback(questions(tables), own, 0.7, 0.4, 0.0), 5).select("query_id", "chunk_id", "score")
+    own = r.previews(filed(tables))
+    return r.file_fallback(naming(tables), own, 5, 0.7, 0.4, 0.0).join(own.select("chunk_id", F.md5("text").alias("digest")), "chunk_id").select("query_id", "chunk_id", "score", "digest")
 
 
 @query("r22_summaries", "select doc_id, project_id, summary, score from (select doc_id, source as project_id, coalesce(s, left(text, 500)) as summary, case when s is not null then 1.0 else 0.8 end as score, row_number() over (partition by source order by s is null, doc_id) as r from (select *, case when doc_id % 4 = 0 then 'summary ' || doc_id end as s from documents)) where r <= 10")

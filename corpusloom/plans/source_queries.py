@@ -12,19 +12,12 @@ from .registry import query
 from .text_queries import strip
 
 
-def _scratch(spark) -> str:
-    """The cluster's shared folder; without one, a new local folder (tests)."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-loom-")
-
-
-@query("s1_scan_folder")
+@query("s1_scan_folder", "select 'txt' as extension, role, sum(strlen(replace(text, chr(10), ' ')) + 1) as bytes from conversations group by role")
 def _(tables):
     d = tables("conversations")
-    folder = f"{_scratch(d.sparkSession)}/scan-{uuid.uuid4().hex}"
+    folder = f"{s.scratch(d.sparkSession)}/scan-{uuid.uuid4().hex}"
     d.select("role", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("role").text(folder)
-    return s.scan_folder(d.sparkSession, folder).groupBy("extension").agg(F.count_if(F.col("size") > 0).alias("files"), F.sum("size").alias("bytes"))
+    return s.scan_folder(d.sparkSession, folder).groupBy("extension", F.regexp_extract("relative_path", "role=([^/]*)", 1).alias("role")).agg(F.sum("size").alias("bytes"))
 
 
 @query("s2_decode", "select doc_id, md5(text) as valid, md5(text) as dropped, md5(text) as latin from documents")
@@ -66,7 +59,7 @@ def _(tables):
     return s.validate(f, most=8000).select("doc_id", "reject_reason")
 
 
-@query("s7_cap", "select doc_id, md5(case when length(text) > 2000 then left(text, 2000) || chr(10) || chr(10) || '[truncated]' else text end) as digest from documents")
+@query("s7_cap", "select doc_id, md5(case when length(text) > 2000 then left(text, 2000) || chr(10) || chr(10) || '[... документ обрезан, всего ' || length(text) || ' символов ...]' else text end) as digest from documents")
 def _(tables):
     from ..functions.text import cap
 
@@ -129,7 +122,7 @@ def _(tables):
 @query("s14_json", "select conv_id, count(*) as n, cast(sum(length(text)) as bigint) as chars from conversations group by conv_id")
 def _(tables):
     d = tables("conversations")
-    folder = f"{_scratch(d.sparkSession)}/json-{uuid.uuid4().hex}"
+    folder = f"{s.scratch(d.sparkSession)}/json-{uuid.uuid4().hex}"
     s.write_json(d.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("messages")), folder)
     back = d.sparkSession.read.schema("conv_id long, messages array<struct<turn:long, role:string, text:string>>").json(folder)
     return back.select("conv_id", F.size("messages").cast("long").alias("n"), F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])).alias("chars"))

@@ -7,10 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import chunk as c
-from ..sources.tables import chunk_ids
+from ..sources.tables import chunk_ids, scratch
 from ..streaming import metrics as m
 from .registry import query
-from .source_queries import _scratch
 
 START = "time_bucket(interval {w}, ts) as start"
 
@@ -71,7 +70,7 @@ def _(tables):
 def _(tables):
     """Events as a stream of files, to the end, into a table."""
     spark = tables("events").sparkSession
-    folder = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     tables("events").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(tables("events").schema).parquet(f"{folder}/in")
     out = m.totals(events(lambda _: stream), "1 day", "status")
@@ -88,7 +87,7 @@ def _(tables):
 @query("w8_ingest", "select source, count(*) as documents from documents group by source")
 def _(tables):
     d = tables("documents")
-    spark, folder = d.sparkSession, f"{_scratch(d.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    spark, folder = d.sparkSession, f"{scratch(d.sparkSession)}/ingest-{uuid.uuid4().hex}"
     d.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
 

@@ -76,10 +76,12 @@ def _(tables):
 
 def _markdown_sql() -> str:
     x = "text"
-    steps = [(r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+?)\*\*", r"\1"), (r"\*([^*\n]+?)\*", r"\1"), (r"__([^_]+?)__", r"\1"), (r"~~([^~]+?)~~", r"\1"), (r"`([^`]+)`", r"\1"), (r"(?s)```.*?```", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^\s*[-*+]\s+", "• "), (r"(?m)^\d+\.\s+", ""), (r"(?m)^[-*]{3,}$", ""), (r"\*+", ""), (r"_+", "")]
-    for a, b in steps:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-    x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    for pattern, to, lines in t.MARKDOWN:
+        # RE2 has no look-behind, so the characters beside an italic mark are taken along.
+        if "(?<!" in pattern:
+            pattern, to = r"(^|[^_*])_([^_\n]+?)_($|[^_*])", r"\1\2\3"
+        to = "chr(10) || chr(10)" if to == "\n\n" else f"'{to}'"
+        x = f"regexp_replace({x}, '{'(?m)' if lines else ''}{pattern}', {to}, 'g')"
     inner = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda x: {strip('x')}), chr(10))"
     return f"select doc_id, md5({strip(inner)}) as digest from documents"
 
@@ -89,12 +91,14 @@ def _(tables):
     return tables("documents").select("doc_id", F.md5(t.strip_markdown(F.col("text"))).alias("digest"))
 
 
-@query("t9_truncate_answer", r"""
-with a as (select doc_id, text, left(text, 800) as h from documents),
-b as (select doc_id, case when length(text) > 800 then case when contains(h, '.') then regexp_replace(h, '(?s)\.[^.]*$', '') || '...' else h || '...' end else text end as o from a)
-select doc_id, case when length(o) > 1000 then left(o, 997) || '...' else o end as answer from b""")
+@query("t9_truncate_answer", rf"""
+with a as (select doc_id, text, case when doc_id % 3 = 0 then '' else repeat('1. ' || source || '. ', cast(doc_id % 3 as int) * 12) end as c from documents),
+b as (select doc_id, c, case when length(text) > 800 then regexp_replace(left(text, 800), '(?s)\.[^.]*$', '') || '...' else text end as o from a),
+d as (select doc_id, o || case when c <> '' then '{t.CITED}' || c else '' end as o from b)
+select doc_id, {strip(r"case when length(o) > 1000 then regexp_replace(left(o, 1000), '(?s)\.[^.]*$', '') || '...' else o end")} as answer from d""")
 def _(tables):
-    return tables("documents").select("doc_id", t.truncate_answer(F.col("text"), 1000).alias("answer"))
+    cited = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.expr("repeat(concat('1. ', source, '. '), cast(doc_id % 3 as int) * 12)"))
+    return tables("documents").select("doc_id", t.truncate_answer(F.col("text"), 1000, cited).alias("answer"))
 
 
 @query("t11_normal_url", r"select page_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(url)), '^https?://', ''), '^www\.', ''), '/+$', '') as url from pages")
@@ -169,6 +173,6 @@ def _(tables):
     return tables("documents").select("doc_id", t.status(F.col("text"), "The", "An").alias("status"))
 
 
-@query("t24_size_tier", "select doc_id, case when n > 2000000 then 'very_large' when n > 500000 then 'large' else 'normal' end as tier, case when n > 500000 then 1500 else 1000 end as chunk_size, case when n > 500000 then 300 else 200 end as overlap, case when n > 500000 then 3000 else 2000 end as longest from (select doc_id, length(text) * 200 as n from documents)")
+@query("t24_size_tier", "select doc_id, case when n > 10000 then 'very_large' when n > 2500 then 'large' else 'normal' end as tier, case when n > 2500 then 1500 else 1000 end as chunk_size, case when n > 2500 then 300 else 200 end as overlap, case when n > 2500 then 3000 else 2000 end as longest from (select doc_id, length(text) as n from documents)")
 def _(tables):
-    return tables("documents").select("doc_id", t.size_tier(F.repeat("text", 200)).alias("s")).select("doc_id", "s.*")
+    return tables("documents").select("doc_id", t.size_tier(F.col("text"), 2500, 10_000).alias("s")).select("doc_id", "s.*")

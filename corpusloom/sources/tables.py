@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,24 @@ PRICE_FIELDS = {
 PRICE_LABELS = {"name": "Продукт/услуга", "code": "Код продукта", "sector": "Сектор", "category": "Категория", "model": "Модель", "description": "Компонент", "licence_object": "Объект лицензии", "price": "Цена"}
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of the cluster. Where none is set, a local session makes one for itself; on a cluster that is an error, as each machine would write to its own disk."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so its lineage ends there."""
+    path = f"{scratch(df.sparkSession)}/loom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = True) -> DataFrame:
     """(path, filename, extension, size, relative_path, content) of the files with one of the extensions."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)

@@ -46,7 +46,7 @@ def test_elements_and_sections(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     assert len(df.select(chunk.elements(F.col("text"))).first()[0]) == 3
     s = chunk.sections(spark.createDataFrame([(1, f"ГЛАВА 1\n{body}\n# Two\n{body}"), (2, "plain")], "id int, text string"), "id", "text").orderBy("id", "section_index").collect()
-    assert [(r.title, r.start_line) for r in s] == [("ГЛАВА 1", 0), ("# Two", 2), ("Основной текст", 0)]
+    assert [(r.title, r.start_line) for r in s] == [("ГЛАВА 1", 0), ("# Two", 2), ("Введение", 0)]
 
 
 def test_question_answer_patterns(spark):
