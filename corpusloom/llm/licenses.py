@@ -1,16 +1,20 @@
 """Licences of files: TF-IDF cosine of header lines and licence files to templates, then inheritance by directory.
 
-A line that has one of CUES is a candidate. Equal lines are scored once: terms are weighted by their frequency over
-all candidate lines of all files, and the sparse cosine to each template comes from a join on terms. A template counts
-only for lines that hold its decisive terms (DECIDES): the names and the version that tell licences apart. A line that
-names no version may match where TEMPLATES has one version of the licence only. A file's licence is its best line's, if
-that reaches CLOSE. A file whose candidate lines match nothing is UNKNOWN and inherits nothing, unless the lines only
-name an owner or point to a licence file. A file with a licence is a licence file if its name says so, or (a known
-licence) if the line is most of what it has. A file without one inherits from the licence file in its nearest ancestor
+A line that has one of CUES is a candidate. Comment signs are taken off, and as notices are wrapped, the lines beside
+it are joined to it in several widths (REACHES), and the whole paragraph is a candidate as well; of a file whose name
+says licence, so is the text. A paragraph or text of more than LONGEST characters, several times the longest template,
+is none; its lines still are. Equal candidates are scored once: terms are weighted by 1 + ln of their count and their frequency
+over all candidates of all files, and the sparse cosine to each template comes from a join on terms. A template counts only for candidates
+that hold its decisive terms (DECIDES): the names and the version that tell licences apart. A candidate that names no
+version may match where TEMPLATES has one version of the licence only. A file's licence is its best candidate's, if that
+reaches CLOSE. A file whose candidates match nothing is UNKNOWN and inherits nothing, unless its lines only name an
+owner or point to a licence file. A file with a licence is a licence file if its name says so, or (a known licence) if
+the candidate is most of what it has. A file without one inherits from the licence file in its nearest ancestor
 directory; the directories above each path are joined with those of licence files.
 
 Null and empty texts have no licence of their own; a null path has no directory and inherits nothing; ties go to the
-licence, then the path, that comes first; repeated rows are judged each alike; extra columns are ignored.
+licence, then the path, that comes first; repeated rows are judged each alike; an empty table gives an empty result;
+all lines of a text of any length are looked at; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,23 +40,43 @@ def _gnu(name: str, kind: str, version: str) -> list[str]:
     return [
         f"This {'work' if kind == 'program' else kind} is licensed under the {name}, version {version}",
         f"This {kind} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version",
+        _gnu_notice(name, kind, version),
     ]
 
 
-#: Characteristic sentences of licence notices.
+#: Whole texts of short licences, without titles and owners.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def _gnu_notice(name: str, kind: str, version: str) -> str:
+    return (
+        f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this {kind}."
+    )
+
+
+#: Whole texts and notices, and characteristic sentences of them.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The MIT License (MIT)"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS", _APACHE],
+    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The MIT License (MIT)", _GRANT],
     "GPL-2.0": [*_gnu("GNU General Public License", "program", "2"), "Licensed under the GPL, version 2", "Licensed under GPLv2"],
     "GPL-3.0": [*_gnu("GNU General Public License", "program", "3"), "Licensed under the GPL, version 3", "Licensed under GPLv3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "LGPL-2.1": [*_gnu("GNU Lesser General Public License", "library", "2.1"), "Licensed under the LGPL, version 2.1", "Licensed under LGPLv2.1"],
     "LGPL-3.0": [*_gnu("GNU Lesser General Public License", "library", "3"), "Licensed under the LGPL, version 3", "Licensed under LGPLv3"],
     "AGPL-3.0": [*_gnu("GNU Affero General Public License", "program", "3"), "Licensed under the AGPL, version 3", "Licensed under AGPLv3"],
-    "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License", "Licensed under the Simplified BSD License"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license", "BSD 3-Clause License", "Licensed under the BSD 3-Clause License"],
-    "ISC": ["ISC License", "Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License", "Licensed under the Simplified BSD License", f"{_CLAUSES} {_WARRANTY}"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license", "BSD 3-Clause License", "Licensed under the BSD 3-Clause License", f"{_CLAUSES} {_THIRD} {_WARRANTY}"],
+    "ISC": ["ISC License", "Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", _ISC],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", _MPL],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", _UNLICENSE],
     **{f"CC-{code}-{version}": _cc(code, name, version) for code, name in CREATIVE.items() for version in ("1.0", "2.0", "2.5", "3.0", "4.0")},
 }
 CUES = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use|free software|public domain|creative commons|\bcc[ -]by\b"
@@ -61,7 +85,10 @@ OWNER = r"(?i)licen[sc]e|permission|redistribution|free software|public domain|c
 POINTS = r"(?i)\b(see|found in|refer to)\b.{0,40}\b(licen[sc]e|copying)\b"
 UNKNOWN = "unknown"
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
-CLOSE, MOST = 0.6, 0.5
+CLOSE, MOST, LONGEST = 0.6, 0.5, 8_000
+#: Lines before and after a candidate that are joined to it, and signs that begin a comment or end one.
+REACHES = [(0, 1), (1, 1), (0, 3), (1, 3), (0, 7)]
+SIGNS = r"^\s*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--|\"\"\"|')*\s*|\s*(?:\*+/|-->)?\s*$"
 TERM = r"[\p{L}\p{N}.+-]*[\p{L}\p{N}]"
 DECIDES = r"^(apache|mit|isc|mozilla|gnu|lesser|affero|[al]?gpl(v[0-9.]+)?|bsd(-style)?|simplified|[0-9]-clause|creative|cc|by-.*|attribution.*|unencumbered)$"
 VERSION = r"^[0-9]{1,2}(\.[0-9]+)?$"
@@ -78,10 +105,17 @@ def _family(license: str) -> str:
     return re.sub(r"-[0-9.]+$", "", license)
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(row columns, line, share) for each candidate line of files(key, path, text); share is its part of the text."""
-    line = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: x.rlike(CUES)))
-    return files.where(F.col("text").rlike(CUES)).select("key", "path", F.length("text").alias("size"), line.alias("line")).withColumn("line", F.trim("line"))
+def candidates(files: DataFrame) -> DataFrame:
+    """(key, path, size, kind, line) for each candidate of files(key, path, text): a line, lines joined to it, a paragraph, or the text of a file that is named as a licence; size is that of the text."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, SIGNS, ""))
+    own = files.where(F.col("text").rlike(CUES)).select("key", "path", F.length("text").alias("size"), F.col("path").rlike(NAMES).alias("named"), lines.alias("l"))
+    unit = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("line"))
+    at = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i).rlike(CUES))
+    near = lambda i, a, b: F.array_join(F.slice(F.col("l"), F.greatest(i - a, F.lit(0)) + 1, b + 1 + F.least(i, F.lit(a))), " ")
+    wide = F.flatten(F.transform(at, lambda i: F.array(unit("line", F.get("l", i)), *(unit("wide", near(i, a, b)) for a, b in REACHES))))
+    paragraphs = F.transform(F.filter(F.split(F.array_join("l", "\n"), r"\n\n+"), lambda p: p.rlike(CUES) & (F.length(p) <= LONGEST)), lambda p: unit("paragraph", p))
+    text = F.when(F.col("named") & (F.col("size") <= LONGEST), F.array(unit("text", F.array_join("l", " ")))).otherwise(F.expr("cast(array() as array<struct<kind:string, line:string>>)"))
+    return own.select("key", "path", "size", F.explode(F.array_distinct(F.concat(wide, paragraphs, text))).alias("u")).select("key", "path", "size", "u.*")
 
 
 def scored_lines(lines: DataFrame) -> DataFrame:
@@ -95,7 +129,7 @@ def scored_lines(lines: DataFrame) -> DataFrame:
     rows = [(f"{k}#{i}", k, families[_family(k)] == 1, t) for k, own in TEMPLATES.items() for i, t in enumerate(own)]
     fixed = spark.createDataFrame(rows, "template string, license string, lone boolean, line string")
     own = fixed.select("template", "license", "lone", F.explode(_terms(F.col("line"))).alias("term")).groupBy("template", "license", "lone", "term").agg(F.count("*").alias("tf"))
-    weigh = lambda x: x.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    weigh = lambda x: x.join(idf, "term", "left").withColumn("w", (1 + F.ln("tf")) * F.coalesce("idf", F.lit(1.0)))
     ours, theirs = weigh(counts), weigh(own)
     versions = lambda: F.count_if(F.col("term").rlike(VERSION))
     names = lambda: F.count_if(F.col("term").rlike(DECIDES))
@@ -112,9 +146,9 @@ def scored_lines(lines: DataFrame) -> DataFrame:
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
     """key, path, license (UNKNOWN: a notice that no template matches), score, found (header, file, inherited or none, which an unknown header is too), origin (the path that it comes from)."""
     files = files.select(files[key_col].alias("key"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
-    lines = cut(lines_of(files), "candidates")
+    lines = cut(candidates(files), "candidates")
     close = F.coalesce(F.col("score") >= CLOSE, F.lit(False))
-    hits = lines.join(scored_lines(lines), "line", "left").where(close | F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
+    hits = lines.join(scored_lines(lines), "line", "left").where(close | (F.col("kind") == "line") & F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
     hits = hits.select("key", "path", "line", "size", (~close).alias("odd"), F.when(close, F.col("license")).otherwise(UNKNOWN).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"))
     own = hits.groupBy("key", "path").agg(F.min(F.struct("odd", (-F.col("score")).alias("s"), "license", "line", "size")).alias("m"))
     whole = F.col("path").rlike(NAMES) | (~F.col("m.odd") & (F.length("m.line") >= MOST * F.col("m.size")))

@@ -275,6 +275,87 @@ def test_licences_of_other_families_are_told_apart(spark):
     assert {t: got[i] for i, t in enumerate(lines)} == {t: (x, "none" if x == "unknown" else "header") for t, x in lines.items()}
 
 
+def test_wrapped_notices_and_whole_texts(spark):
+    import textwrap
+
+    t = licenses.TEMPLATES
+    mit = "Copyright (c) 2021 A. Body\n\n" + "\n".join(textwrap.wrap(t["MIT"][-1], 60))
+    apache = "\n".join(f"# {x}" for x in textwrap.wrap(t["Apache-2.0"][-1], 50)) + "\nimport os\n" + "code\n" * 80
+    gpl = "/*\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t["GPL-3.0"][2], 40)) + "\n */\n" + "code\n" * 400
+    prose = "some words of prose\nThis work is licensed under a\nCreative Commons Attribution 4.0\nInternational License\nmore words follow here\n" + "and so on\n" * 50
+    three, two = (f"Copyright\n\n{t[k][-1]}" for k in ("BSD-3-Clause", "BSD-2-Clause"))
+    rows = {"a/LICENSE": (mit, "MIT", "file"), "b/x.py": (apache, "Apache-2.0", "header"), "c/x.c": (gpl, "GPL-3.0", "header"), "d/x.txt": (prose, "CC-BY-4.0", "header"), "e/COPYING": (three, "BSD-3-Clause", "file"), "f/COPYING": (two, "BSD-2-Clause", "file"), "g/LICENSE.txt": (t["ISC"][-1], "ISC", "file"), "h/LICENSE": ("licence " * 3000, "unknown", "file")}
+    df = spark.createDataFrame([(i, p, x[0]) for i, (p, x) in enumerate(rows.items())], "id int, path string, text string")
+    got = {r.path: (r.license, r.found) for r in licenses.scan(df, "id", "path", "text").collect()}
+    assert got == {p: x[1:] for p, x in rows.items()}
+
+
+def test_cosines_match_brute_force(spark):
+    r = random.Random(4)
+    words = "licensed under the apache license version 2.0 mit gnu general public gpl 3 isc software permission cc by 4.0 terms of use free and".split()
+    lines = [x for own in licenses.TEMPLATES.values() for x in own if r.random() < 0.4] + [" ".join(r.choices(words, k=r.randint(2, 14))) for _ in range(150)]
+    lines += r.choices(lines, k=60)
+
+    def terms(x):
+        x = re.sub(r"\bcc[ -]by((?:-[a-z]{2})*)(?:[ -]v?(?=[0-9]))?", r"cc by\1 ", x.lower())
+        return [re.sub(r"^v?([0-9]{1,2}(?:\.[1-9][0-9]*)?)(?:\.0)?$", r"\1", w) for w in re.findall(r"(?:[^\W_]|[.+-])*[^\W_]", x)]
+
+    df, total = {}, len(lines)
+    for x in lines:
+        for w in set(terms(x)):
+            df[w] = df.get(w, 0) + 1
+
+    def weights(x):
+        own = terms(x)
+        return {w: (1 + math.log(own.count(w))) * (math.log((1 + total) / (1 + df[w])) + 1 if w in df else 1.0) for w in set(own)}
+
+    names, version = re.compile(licenses.DECIDES), re.compile(licenses.VERSION)
+    family = lambda k: re.sub(r"-[0-9.]+$", "", k)
+    lone = {k: [family(x) for x in licenses.TEMPLATES].count(family(k)) == 1 for k in licenses.TEMPLATES}
+    want = {}
+    for x in set(lines):
+        a, best = weights(x), []
+        for k, own in licenses.TEMPLATES.items():
+            for y in own:
+                b = weights(y)
+                both = set(a) & set(b)
+                if not both or not {w for w in b if names.match(w)} <= both:
+                    continue
+                if {w for w in b if version.match(w)} <= both or lone[k] and not any(version.match(w) for w in a):
+                    dot = sum(a[w] * b[w] for w in both)
+                    best.append((-round(dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 6), k))
+        if best:
+            want[x] = min(best)
+    got = {r.line: (-r.score, r.license) for r in licenses.scored_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[x][0] - s) < 2e-6 and (got[x][1] == k or abs(got[x][0] - s) > 0) for x, (s, k) in want.items())
+
+
+def test_inheritance_matches_brute_force(spark):
+    r = random.Random(12)
+    folders = ["", "a/", "a/b/", "a/b/c/", "a/d/", "e/", "e/f/"]
+    rows = {}
+    for n, f in enumerate(folders):
+        if r.random() < 0.5:
+            rows[f"{f}LICENSE"] = r.choice(["The MIT License (MIT)", "ISC License", "BSD 2-Clause License"])
+        for m in range(3):
+            rows[f"{f}x{n}{m}.txt"] = "plain words"
+    kinds = {"The MIT License (MIT)": "MIT", "ISC License": "ISC", "BSD 2-Clause License": "BSD-2-Clause"}
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows.items())], "id int, path string, text string").repartition(3)
+    got = {x.path: (x.license, x.origin) for x in licenses.scan(df, "id", "path", "text").collect()}
+    for p, t in rows.items():
+        at = p
+        want = (kinds.get(t), p if t in kinds else None)
+        while want[0] is None:
+            at = at.rstrip("/")
+            at = at[: at.rfind("/") + 1]
+            if at + "LICENSE" in rows:
+                want = (kinds[rows[at + "LICENSE"]], at + "LICENSE")
+            elif not at:
+                break
+        assert got[p] == want
+
+
 def test_unknown_notices_inherit_nothing(spark):
     code = "\n" + "code\n" * 50
     rows = [("r/LICENSE", "The MIT License (MIT)"), ("r/a.py", "# Released under the House License" + code), ("r/b.py", "# Copyright 2020 A. Body" + code), ("r/c.py", "# Use is subject to the terms found in the LICENSE file" + code), ("r/s/LICENSE", "House License, all rights reserved"), ("r/s/d.py", "code"), ("r/t/odd.txt", "A house license"), ("r/t/e.py", "code")]
