@@ -13,7 +13,6 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from corpusloom.llm import bpe, contamination, htmlmain, langid, licenses, neardup, pii, quality, token_files, toxicity
 from corpusloom.llm.registry import ORACLE, QUERIES
 
@@ -445,32 +444,3 @@ def test_token_files_of_odd_inputs(spark, odd, tmp_path):
 def test_near_duplicates_of_odd_inputs(spark, odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.classes(odd).collect()}
     assert (None, 1, None, True) in got and (0, 0, 0, True) in got and (20, 7, 7, False) in got
-
-
-def test_pipeline_matches_brute_force(spark, rows, docs):
-    kept = {r.doc_id for r in quality.judge(docs, spark.read.parquet(f"{DATA}/labels.parquet")).where("kept").collect()}
-    groups = brute_groups({i: t for i, t in rows.items() if i in kept})
-    kept = {i for i, (_, c) in groups.items() if c == i}
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    windows = set()
-    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
-        w = word.findall(low(r.text))
-        windows |= {tuple(w[i : i + 13]) for i in range(max(len(w) - 12, 1))} if w else set()
-    for i in sorted(kept):
-        w = word.findall(low(rows[i]))
-        hit = {k for n in {len(x) for x in windows} for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in windows for k in range(j, j + n)}
-        if hit and 20 * len(hit) >= len(w):
-            kept.discard(i)
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert set(got) == kept
-    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    own = tik()
-    for i in kept:
-        ids = own.encode_ordinary(clean[i])
-        assert got[i].n_tokens == len(ids) and got[i].decoded_sha256 == hashlib.sha256(clean[i].encode()).hexdigest()
-
-
-def test_each_stage_returns_the_columns_of_documents(spark, docs):
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, DATA).columns == docs.columns
