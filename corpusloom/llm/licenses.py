@@ -1,10 +1,10 @@
 """Licences of files: TF-IDF cosine of header lines and licence files to templates, then inheritance by directory.
 
-A line that has one of CUES is a candidate. Comment signs are taken off, and as notices are wrapped, the lines beside
-it are joined to it in several widths (REACHES), and the whole paragraph is a candidate as well; of a file whose name
-says licence, so is the text. A paragraph or text of more than LONGEST characters, several times the longest template,
+A line that has one of CUES is a candidate, without comment signs. Where a file's lines match nothing, or where it has
+words of a licence's body (BODY), a second round takes wider ones: as notices are wrapped, the lines beside it joined
+to it in several widths (REACHES), and paragraphs and, of a file whose name says licence, the text. A paragraph or text of more than LONGEST characters, several times the longest template,
 is none; its lines still are. Equal candidates are scored once: terms are weighted by 1 + ln of their count and their frequency
-over all candidates of all files, and the sparse cosine to each template comes from a join on terms. A template counts only for candidates
+over all candidates of the round, and the sparse cosine to each template comes from a join on terms. A template counts only for candidates
 that hold its decisive terms (DECIDES): the names and the version that tell licences apart. A candidate that names no
 version may match where TEMPLATES has one version of the licence only. A file's licence is its best candidate's, if that
 reaches CLOSE. A file whose candidates match nothing is UNKNOWN and inherits nothing, unless its lines only name an
@@ -86,6 +86,7 @@ POINTS = r"(?i)\b(see|found in|refer to)\b.{0,40}\b(licen[sc]e|copying)\b"
 UNKNOWN = "unknown"
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
 CLOSE, MOST, LONGEST = 0.6, 0.5, 8_000
+BODY = r"(?i)permission is hereby|permission to use, copy|redistribution and use|free software|unencumbered|in compliance with the license|this source code form"
 #: Lines before and after a candidate that are joined to it, and signs that begin a comment or end one.
 REACHES = [(0, 1), (1, 1), (0, 3), (1, 3), (0, 7)]
 SIGNS = r"^\s*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--|\"\"\"|')*\s*|\s*(?:\*+/|-->)?\s*$"
@@ -105,17 +106,19 @@ def _family(license: str) -> str:
     return re.sub(r"-[0-9.]+$", "", license)
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """(key, path, size, kind, line) for each candidate of files(key, path, text): a line, lines joined to it, a paragraph, or the text of a file that is named as a licence; size is that of the text."""
+def candidates(files: DataFrame, wide: bool) -> DataFrame:
+    """(key, path, size, kind, line) for each candidate of files(key, path, text): a line; or (wide) lines joined to it, a paragraph, or the text of a file that is named as a licence. size is that of the text."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, SIGNS, ""))
     own = files.where(F.col("text").rlike(CUES)).select("key", "path", F.length("text").alias("size"), F.col("path").rlike(NAMES).alias("named"), lines.alias("l"))
     unit = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("line"))
     at = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i).rlike(CUES))
     near = lambda i, a, b: F.array_join(F.slice(F.col("l"), F.greatest(i - a, F.lit(0)) + 1, b + 1 + F.least(i, F.lit(a))), " ")
-    wide = F.flatten(F.transform(at, lambda i: F.array(unit("line", F.get("l", i)), *(unit("wide", near(i, a, b)) for a, b in REACHES))))
-    paragraphs = F.transform(F.filter(F.split(F.array_join("l", "\n"), r"\n\n+"), lambda p: p.rlike(CUES) & (F.length(p) <= LONGEST)), lambda p: unit("paragraph", p))
+    single = F.transform(at, lambda i: unit("line", F.get("l", i)))
+    joined = F.flatten(F.transform(at, lambda i: F.array(*(unit("wide", near(i, a, b)) for a, b in REACHES))))
+    paragraphs = F.transform(F.filter(F.split(F.array_join("l", "\n"), r"\n\n+"), lambda p: p.rlike(CUES) & p.rlike(BODY.replace(" ", r"\s+")) & (F.length(p) <= LONGEST)), lambda p: unit("paragraph", p))
     text = F.when(F.col("named") & (F.col("size") <= LONGEST), F.array(unit("text", F.array_join("l", " ")))).otherwise(F.expr("cast(array() as array<struct<kind:string, line:string>>)"))
-    return own.select("key", "path", "size", F.explode(F.array_distinct(F.concat(wide, paragraphs, text))).alias("u")).select("key", "path", "size", "u.*")
+    units = F.concat(joined, paragraphs, text) if wide else single
+    return own.select("key", "path", "size", F.explode(F.array_distinct(units)).alias("u")).select("key", "path", "size", "u.*")
 
 
 def scored_lines(lines: DataFrame) -> DataFrame:
@@ -146,9 +149,19 @@ def scored_lines(lines: DataFrame) -> DataFrame:
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
     """key, path, license (UNKNOWN: a notice that no template matches), score, found (header, file, inherited or none, which an unknown header is too), origin (the path that it comes from)."""
     files = files.select(files[key_col].alias("key"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
-    lines = cut(candidates(files), "candidates")
     close = F.coalesce(F.col("score") >= CLOSE, F.lit(False))
-    hits = lines.join(scored_lines(lines), "line", "left").where(close | (F.col("kind") == "line") & F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
+
+    def scored(rows, name):
+        rows = cut(rows, name)
+        return cut(rows.join(scored_lines(rows), "line", "left").select("key", "path", "size", "kind", "line", "license", "score"), name)
+
+    lines = scored(candidates(files, False), "lines")
+    # Few files are left for the second round: those without a close line, and those with a licence's body.
+    found = lines.where(close).select(F.col("key").alias("k"), F.col("path").alias("p")).distinct()
+    left = files.where(F.col("text").rlike(CUES)).join(found, files["key"].eqNullSafe(found["k"]) & files["path"].eqNullSafe(found["p"]), "left_anti")
+    body = files.where(F.col("text").rlike(CUES) & F.col("text").rlike(BODY.replace(" ", r"\s+")))
+    more = scored(candidates(left.union(body).distinct(), True), "wide")
+    hits = lines.union(more).where(close | (F.col("kind") == "line") & F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
     hits = hits.select("key", "path", "line", "size", (~close).alias("odd"), F.when(close, F.col("license")).otherwise(UNKNOWN).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"))
     own = hits.groupBy("key", "path").agg(F.min(F.struct("odd", (-F.col("score")).alias("s"), "license", "line", "size")).alias("m"))
     whole = F.col("path").rlike(NAMES) | (~F.col("m.odd") & (F.length("m.line") >= MOST * F.col("m.size")))
