@@ -126,8 +126,9 @@ def scored_lines(lines: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     distinct = cut(lines.groupBy("line").agg(F.count("*").alias("n")), "lines")
     counts = distinct.select("line", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
-    idf = df.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    df = counts.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = df.select("term", (F.ln(F.lit(1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     families = Counter(map(_family, TEMPLATES))
     rows = [(f"{k}#{i}", k, families[_family(k)] == 1, t) for k, own in TEMPLATES.items() for i, t in enumerate(own)]
     fixed = spark.createDataFrame(rows, "template string, license string, lone boolean, line string")
