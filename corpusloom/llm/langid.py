@@ -21,20 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import cut, held_out, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES, SPARE = 300, 2000, 16_000, 8
 #: A word goes to the languages that have it in at least this share of the texts that the language with most has.
 OWN_SHARE = 0.5
 BLOCK, SHORT, LEVEL, FINE_LEVEL = 512, 200, 9, 19
 NARROW = 0.02
+#: Languages up to which their counts are broadcast. Each has a dictionary in every worker, so more would be rare.
+FEW = 10_000
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary of each language, from a sample whose size is bounded as the module says."""
     own = docs.where(docs[lang_col].isNotNull() & ~held_out(id_col)).withColumn("__l", F.col(lang_col).cast("string"))
     # The rows of the lowest hashes, SPARE times as many as are used, are told by a share of all hashes; so few rows are ranked, however common the language.
-    counts = own.groupBy("__l").agg(F.count("*").alias("__n"))
+    counts = cut(own.groupBy("__l").agg(F.count("*").alias("__n")), "languages")
+    # Texts stay where they are until the share is taken: a join that moves them would deal them by language.
+    counts = F.broadcast(counts) if counts.limit(FEW + 1).count() <= FEW else counts
     rows = own.select("__l", F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h")).join(counts, "__l").where((F.col("h") / 2.0**64 + 0.5) * F.col("__n") <= SPARE * SAMPLE_ROWS)
     rows = rows.where(F.col("t").rlike(r"\p{L}")).select(F.col("__l").alias("lang"), F.substring("t", 1, SAMPLE_CHARS).alias("t"), "h").distinct()
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= SAMPLE_ROWS)
