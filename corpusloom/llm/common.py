@@ -37,11 +37,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df sorted as a whole and written, with seq: ascending in the order, its high bits (from 33 on) the part of the sort and the low ones the place in it. Equal rows go to any of two parts."""
+    tie = F.monotonically_increasing_id().alias("__tie")
+    rows = df.select("*", tie)
+    rows = rows.repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    return cut(rows.withColumn("seq", F.monotonically_increasing_id()), name)
+
+
 def held_out(doc_id):
     """The fold that contracts keep from learners: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII text: it has no such function, so the bits of the polynomial are folded in byte by byte."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    return f"case when {text} is not null then xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({text}) + 1), lambda i: ascii(({text})[i])::bigint)), lambda c, b: {bits}), 4294967295) end"
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
