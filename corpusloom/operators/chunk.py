@@ -260,17 +260,18 @@ def parent_context(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return kids.join(chunks.select(F.col("chunk_id").alias("parent_id"), "text"), "parent_id").select("chunk_id", "text")
 
 
-def clean(chunks: DataFrame, least: int = 50, most: int = 10_000, preview: int = 500) -> DataFrame:
-    """Chunks of at least so many characters, cut at most, with a preview."""
-    return chunks.where(F.length(strip(F.col("text"))) >= least).withColumn("text", F.substring("text", 1, most)).withColumn("preview", F.substring("text", 1, preview))
+def clean(chunks: DataFrame, least: int = 50, most: int | None = None, preview: int = 500) -> DataFrame:
+    """Chunks of at least so many characters, whole (or cut at most, where a store has such a limit), with a preview."""
+    own = chunks.where(F.length(strip(F.col("text"))) >= least)
+    return (own if most is None else own.withColumn("text", F.substring("text", 1, most))).withColumn("preview", F.substring("text", 1, preview))
 
 
-def section_summaries(df: DataFrame, id_col: str, text_col: str, size: int = 30_000, summarise=None, most: int = 10_000) -> DataFrame:
+def section_summaries(df: DataFrame, id_col: str, text_col: str, size: int = 30_000, summarise=None, most: int | None = None) -> DataFrame:
     """(id, n, summary): a text's sections of a fixed size, each summed up (by default its first three sentences) and joined in order."""
     summarise = summarise or (lambda t: F.array_join(F.slice(sentences(t), 1, 3), ". "))
     parts = exploded(df, id_col, force_split(F.col(text_col), size)).select(id_col, "chunk_index", summarise(F.col("text")).alias("s"))
     out = parts.groupBy(id_col).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "s"))), lambda x: x["s"]), "\n\n").alias("summary"))
-    return out.withColumn("summary", F.substring("summary", 1, most))
+    return out if most is None else out.withColumn("summary", F.substring("summary", 1, most))
 
 
 def statistics(chunks: DataFrame, *by: str) -> DataFrame:

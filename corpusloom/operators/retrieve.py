@@ -2,8 +2,8 @@
 
 Queries have query_id, project_id and question; chunks have chunk_id, project_id, source and text; hits have query_id,
 chunk_id, score, method and rank. Scores are rounded before they are ranked, sums and products of rounded ones to two places more, so that none lies halfway; ties go to the lowest
-chunk_id. Keyword searches join on terms; dense searches join queries with all vectors of their project, which are dealt
-into SALTS parts. Ranks are window limits that Spark applies before its shuffle.
+chunk_id. Keyword searches join on terms; exact dense searches join queries with all vectors of their project, dealt to
+parts by its size (`dense_index` visits near ones only). Ranks are window limits that Spark applies before its shuffle.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from ..sources.tables import cut
 from . import embed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Parts into which the vectors of a project are dealt; each has a copy of the project's queries.
-SALTS = 16
+#: Vectors of a project that exact search deals to one part, about; each part has a copy of the project's queries.
+PART_ROWS = 4096
 #: Letters of a needle that find the texts it may lie within.
 GRAM = 4
 
@@ -33,9 +33,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def paired(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each query (project_id, q) with each vector of its project, and their cosine. Norms are computed once a vector, and a large project is dealt over SALTS tasks."""
-    own = queries.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    all_ = vectors.withColumn("vn", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    """Each query (project_id, q) with each vector of its project, and their cosine: the exact form, which compares all. Norms are computed once a vector, and a project is dealt to parts that follow its size."""
+    sizes = vectors.groupBy("project_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    own = queries.join(sizes, "project_id").withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))).withColumn("salt", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    all_ = vectors.join(sizes, "project_id").withColumn("vn", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")).drop("parts")
     return own.join(all_, ["project_id", "salt"]).withColumn("cosine", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 6)).drop("salt", "qn", "vn", "q", "embedding")
 
 
@@ -63,30 +64,29 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, terms, collections
 
 
-def store_index(index: tuple[DataFrame, DataFrame, DataFrame], folder: str, parts: int = 64) -> None:
-    """Writes an index; postings and terms lie in parts by the hash of their term, so a search reads the parts of its terms only."""
-    for name, df in zip(("postings", "terms", "collections"), index, strict=True):
-        if name == "collections":
-            df.write.parquet(f"{folder}/{name}")
-        else:
-            part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-            df.withColumn("part", part).repartition("part", "project_id").write.partitionBy("part").parquet(f"{folder}/{name}")
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, project_id, term, times) of the questions."""
+    return queries.select("query_id", "project_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "project_id", "term").agg(F.count("*").alias("times"))
 
 
-def load_index(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    postings, terms, collections = (spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "collections"))
-    return postings.drop("part"), terms.drop("part"), collections
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a posting adds for each unit of its term's weight; it grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int) -> DataFrame:
-    """Top k of Okapi BM25 above 0; score is its sigmoid of a tenth, raw the sum itself. Only postings of query terms are read on."""
-    postings, terms, collections = index
-    asked = queries.select("query_id", "project_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "project_id", "term").agg(F.count("*").alias("times"))
+def bm25(queries: DataFrame, index, k: int) -> DataFrame:
+    """Top k of Okapi BM25 above 0; score is its sigmoid of a tenth, raw the sum itself. index: what bm25_index gives, or a stored `text_index.TextIndex`, of which only the parts of the query terms are read."""
+    asked = asked_terms(queries)
+    postings, terms, collections = index if isinstance(index, tuple) else index.of_terms(asked)
     weighted = asked.join(terms, ["project_id", "term"]).join(collections, "project_id")
     found = postings.join(weighted, ["project_id", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("raw")).where("raw > 0")
-    return top(scored, k, by="raw").withColumn("score", F.round(1 / (1 + F.exp(-F.col("raw") / 10)), 6)).withColumn("method", F.lit("bm25"))
+    part = F.col("times") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return as_bm25(found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("raw")), k)
+
+
+def as_bm25(scored: DataFrame, k: int) -> DataFrame:
+    """Top k of raw sums above 0 (query_id, chunk_id, raw), with score, method and rank."""
+    return top(scored.where("raw > 0"), k, by="raw").withColumn("score", F.round(1 / (1 + F.exp(-F.col("raw") / 10)), 6)).withColumn("method", F.lit("bm25"))
 
 
 def min_max(hits: DataFrame) -> DataFrame:
@@ -118,11 +118,11 @@ def embedded(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.join(v, id_col)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weights: tuple[float, float] = (0.4, 0.6), threshold: float = 0.7, floor: float = 0.0) -> DataFrame:
-    """Dense and BM25 top 2k, fused."""
-    q, v = embedded(queries, "query_id", "question", "q"), embedded(chunks, "chunk_id", "text", "embedding")
-    found = dense(q.select("query_id", "project_id", "q"), v.select("chunk_id", "project_id", "embedding"), 2 * k, floor)
-    return fuse(found, bm25(queries, bm25_index(chunks), 2 * k), chunks, weights, threshold, k)
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weights: tuple[float, float] = (0.4, 0.6), threshold: float = 0.7, floor: float = 0.0, index=None, vectors: DataFrame | None = None, search=dense) -> DataFrame:
+    """Dense and BM25 top 2k, fused. A kept index and kept vectors (chunk_id, project_id, embedding) save making them; search(queries, vectors, k, floor) may be that of a dense index."""
+    q = embedded(queries, "query_id", "question", "q").select("query_id", "project_id", "q")
+    vectors = embedded(chunks, "chunk_id", "text", "embedding").select("chunk_id", "project_id", "embedding") if vectors is None else vectors
+    return fuse(search(q, vectors, 2 * k, floor), bm25(queries, bm25_index(chunks) if index is None else index, 2 * k), chunks, weights, threshold, k)
 
 
 def multi_vector(queries: DataFrame, vectors: DataFrame, k: int, weights: dict[str, float] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -143,24 +143,24 @@ def within(needles: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram")).join(own, "gram").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
-def keyword_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def keyword_counts(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, n, of): how many of a query's keywords occur in a chunk of its project, as substrings, for chunks that have any.
 
     A keyword has only characters of words, so it occurs in a text if and only if it lies within one of its tokens:
-    keywords are matched with the distinct terms, and postings lead to the chunks; no text is searched for a question.
+    keywords are matched with the distinct terms, and postings (those of a kept index, if given) lead to the chunks; no text is searched for a question.
     """
     asked = queries.select("query_id", "project_id", keywords(F.col("question")).alias("kw"))
     asked = asked.select("query_id", "project_id", F.size("kw").alias("of"), F.explode("kw").alias("needle"))
-    postings = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    postings = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")) if postings is None else postings.select("project_id", "chunk_id", "term")
     pairs = within(asked.select("needle").distinct(), postings.select(F.col("term").alias("text")).distinct())
     found = postings.join(pairs, postings["term"] == pairs["text"]).select("project_id", "chunk_id", "needle").distinct()
     return found.join(asked, ["project_id", "needle"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.max("of").alias("of"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.3, per: float = 0.6, by_share: bool = True) -> DataFrame:
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.3, per: float = 0.6, by_share: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """Chunks by the query keywords that occur in them, as substrings: base + per x share (or x number) of keywords, .9 at most; all chunks are scored."""
     n = F.col("n") / F.col("of") if by_share else F.col("n")
-    scored = keyword_counts(queries, chunks).select("query_id", "chunk_id", "n", F.round(F.least(F.lit(0.9), base + per * n), 6).alias("score"))
+    scored = keyword_counts(queries, chunks, postings).select("query_id", "chunk_id", "n", F.round(F.least(F.lit(0.9), base + per * n), 6).alias("score"))
     return top(scored, k).withColumn("method", F.lit("keyword"))
 
 
@@ -173,10 +173,10 @@ def fill(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score
     return top(scored.select("query_id", "chunk_id", "score").unionByName(more), k)
 
 
-def stored_fallback(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.5, per: float = 0.1) -> DataFrame:
+def stored_fallback(queries: DataFrame, chunks: DataFrame, k: int, base: float = 0.5, per: float = 0.1, postings: DataFrame | None = None) -> DataFrame:
     """Chunks with text by .5 and .1 more for each keyword in them, .9 at most; those without a keyword stay at .5."""
     own = chunks.where(F.col("text") != "")
-    scored = keyword_counts(queries, own).select("query_id", "chunk_id", F.round(F.least(F.lit(0.9), base + per * F.col("n")), 6).alias("score"))
+    scored = keyword_counts(queries, own, postings).select("query_id", "chunk_id", F.round(F.least(F.lit(0.9), base + per * F.col("n")), 6).alias("score"))
     return fill(scored, queries, own, k, base).withColumn("method", F.lit("stored"))
 
 

@@ -127,7 +127,7 @@ def _(tables):
     return c.parent_context(m, m.where("role = 'user' and parent_id is not null"))
 
 
-@query("c14_clean", f"select doc_id, md5(left(text, 10000)) as digest, left(text, 500) as preview from documents where length({strip('text')}) >= 50")
+@query("c14_clean", f"select doc_id, md5(text) as digest, left(text, 500) as preview from documents where length({strip('text')}) >= 50")
 def _(tables):
     return c.clean(tables("documents").select("doc_id", "text")).select("doc_id", F.md5("text").alias("digest"), "preview")
 
@@ -135,7 +135,7 @@ def _(tables):
 @query("c15_section_summaries", f"""
 with p as (select doc_id, generate_subscripts(p, 1) as i, unnest(p) as text from (select doc_id, {FORCED.format(n=3000)} as p from documents)),
 s as (select doc_id, i, array_to_string(({SENTENCES})[1:3], '. ') as s from p)
-select doc_id, count(*) as n, md5(left(string_agg(s, chr(10) || chr(10) order by i), 10000)) as digest from s group by doc_id""")
+select doc_id, count(*) as n, md5(string_agg(s, chr(10) || chr(10) order by i)) as digest from s group by doc_id""")
 def _(tables):
     return c.section_summaries(tables("documents"), "doc_id", "text", 3000).select("doc_id", "n", F.md5("summary").alias("digest"))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import dense_index, text_index
 from ..operators import embed as e
 from ..operators import retrieve as r
+from ..sources.tables import cut, scratch
 from .registry import query
 from .text_queries import EN_STOP, tok, words_list
 
@@ -74,6 +78,30 @@ def vector_queries(tables):
     return vectors(tables).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "project_id", F.col("embedding").alias("q"))
 
 
+_KEPT: dict = {}
+
+
+def kept(tables, name: str, make):
+    """What make() gives, made once in a session for the same files of documents (by path, size and time)."""
+    d = tables("documents")
+    files = d.sparkSession.read.format("binaryFile").load(d.inputFiles()).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    state = files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    key = (d.sparkSession.sparkContext.applicationId, name, *state)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def index(tables):
+    """The stored BM25 index of the documents."""
+    return kept(tables, "text", lambda: text_index.build(chunks(tables), f"{scratch(tables('documents').sparkSession)}/loom/index-{uuid.uuid4().hex}"))
+
+
+def embeddings(tables):
+    """Stored vectors of the documents."""
+    return kept(tables, "vectors", lambda: cut(r.embedded(chunks(tables), "chunk_id", "text", "embedding").select("chunk_id", "project_id", "embedding"), "vectors"))
+
+
 V = "(select vec_id as chunk_id, label as project_id, embedding::double[] as e from embeddings)"
 VS = f"v as {V}, vp as (select a.chunk_id as query_id, b.chunk_id, b.project_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) as score from v a join v b using (project_id) where a.chunk_id % 20 = 0)"
 RANKED = "select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from "
@@ -126,14 +154,55 @@ def _(tables):
     return postings.groupBy("project_id", "term").agg(F.sum("tf").alias("tf")).join(terms, ["project_id", "term"]).select("project_id", "term", "df", F.round("idf", 4).alias("idf"), "tf")
 
 
+@query("r3_maintained_index", f"with {BM.replace(f'c as {C}', f'c as (select * from {C} where chunk_id % 7 <> 0)')} select project_id, term, df, round(idf, 4) as idf, cast(sum(tf) as bigint) as tf from te join tf using (project_id, term) group by all")
+def _(tables):
+    """An index of half of the documents, a third of them with other texts, that is then brought up to date: upserts, deletions, a merge, and upserts after it."""
+    own, spark = chunks(tables), tables("documents").sparkSession
+    first = own.where("chunk_id % 2 = 0").withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("an earlier "), F.reverse("text"))).otherwise(F.col("text")))
+    ix = text_index.build(first, f"{scratch(spark)}/loom/index-{uuid.uuid4().hex}", 16)
+    ix.add(own.where("chunk_id % 3 = 0")).delete(own.where("chunk_id % 7 = 0").select("chunk_id")).merge().add(own.where("chunk_id % 7 <> 0 and chunk_id % 2 <> 0"))
+    postings, terms, _ = text_index.TextIndex(spark, ix.folder, parts=16).all_()
+    return postings.groupBy("project_id", "term").agg(F.sum("tf").alias("tf")).join(terms, ["project_id", "term"]).select("project_id", "term", "df", F.round("idf", 4).alias("idf"), "tf")
+
+
+@query("r4_block_max", f"with {BM}, {bm(5)} select query_id, chunk_id, raw, score, rank from bm")
+def _(tables):
+    """The rows of r4_bm25_topk, from the zones alone that can hold one."""
+    ix = index(tables)
+    blocks = kept(tables, "blocks", lambda: text_index.store_blocks(ix))
+    return text_index.block_max(questions(tables), ix, blocks, 5)[0].select("query_id", "chunk_id", "raw", "score", "rank")
+
+
+@query("r4_block_max_work")
+def _(tables):
+    """Postings of each question's terms in zones that can score, and how many of them were scored."""
+    ix = index(tables)
+    blocks = kept(tables, "blocks", lambda: text_index.store_blocks(ix))
+    return text_index.block_max(questions(tables), ix, blocks, 5)[1]
+
+
+@query("r1_dense_index")
+def _(tables):
+    """The rows of r1_dense_topk but for a few: an inverted-file index over all vectors, for all queries."""
+    v = vectors(tables)
+    return dense_index.search(vector_queries(tables), v, dense_index.build(v), 10, 0.1).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("r1_index_recall")
+def _(tables):
+    """How many of the exact ten best of each query the index finds."""
+    v, q = vectors(tables), vector_queries(tables)
+    return dense_index.recall(dense_index.search(q, v, dense_index.build(v), 10, 0.1), r.dense(q, v, 10, 0.1))
+
+
 @query("r4_bm25_topk", f"with {BM}, {bm(5)} select query_id, chunk_id, raw, score, rank from bm")
 def _(tables):
-    return r.bm25(questions(tables), r.bm25_index(chunks(tables)), 5).select("query_id", "chunk_id", "raw", "score", "rank")
+    return r.bm25(questions(tables), index(tables), 5).select("query_id", "chunk_id", "raw", "score", "rank")
 
 
 @query("r5_hybrid", f"with {BM}, {DN}, {hy(5, 0.2)} select query_id, chunk_id, round(score, 3) as score from hy")
 def _(tables):
-    return r.hybrid(questions(tables), chunks(tables), 5, threshold=0.2).select("query_id", "chunk_id", F.round("score", 3).alias("score"))
+    return r.hybrid(questions(tables), chunks(tables), 5, threshold=0.2, index=index(tables), vectors=embeddings(tables)).select("query_id", "chunk_id", F.round("score", 3).alias("score"))
 
 
 @query("r6_multi_vector", f"with {VS}, " + ", ".join(f"k{i} as (select query_id, chunk_id, {w} * score as part from ({RANKED} vp where score >= 0.1 and chunk_id % 3 = {i}) where rank <= 10)" for i, w in enumerate((0.6, 0.3, 0.1))) + f", a as (select query_id, chunk_id, round(sum(part), 8) as score, count(*) as kinds from (select * from k0 union all select * from k1 union all select * from k2) group by all) select query_id, chunk_id, score, kinds, rank from ({RANKED} a) where rank <= 5")
@@ -147,7 +216,7 @@ KW = f"list_distinct(list_filter({tok('question')}, lambda x: length(x) > 3))"
 
 @query("r7_keyword_search", f"with q as {Q}, c as {C}, a as (select query_id, chunk_id, len(list_filter({KW}, lambda w: contains(lower(text), w))) as n, len({KW}) as m from q join c using (project_id)), b as (select query_id, chunk_id, n, round(least(0.9, 0.3 + 0.6 * n / m), 6) as score from a where n > 0) select query_id, chunk_id, score, rank from ({RANKED} b) where rank <= 5")
 def _(tables):
-    return r.keyword_search(questions(tables), chunks(tables), 5).select("query_id", "chunk_id", "score", "rank")
+    return r.keyword_search(questions(tables), chunks(tables), 5, postings=index(tables).all_()[0]).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("r8_expansion", f"with q as {Q}, w as (select query_id, question, {tok('question')} as w from q), x as (select *, list_filter(w, lambda x: length(x) > 3) as l, array_to_string(list_filter(w, lambda x: x not in ('the', 'that', 'and') and length(x) > 2), ' ') as p from w) select query_id, array_to_string(list_sort(list_distinct(list_filter([question, case when len(l) > 0 then array_to_string(l[1:5], ' ') end, case when len(l) > 0 and p <> '' then p end, case when len(w) > 3 then array_to_string(w[1:5], ' ') end], lambda x: x is not null))), '|') as variants from x")
@@ -167,7 +236,8 @@ def _(tables):
 def _(tables):
     """Reformulations are a question's words in reverse, follow-ups its last five words: generated text comes as a table."""
     q, c, k = questions(tables), chunks(tables), 5
-    v = r.embedded(c, "chunk_id", "text", "embedding").select("chunk_id", "project_id", "embedding")
+    v, stored = embeddings(tables), index(tables)
+    postings = stored.all_()[0]
     words = F.split(F.col("question"), " ")
     written = {"reformulation": F.array_join(F.reverse(words), " "), "followup": F.array_join(F.slice(words, -5, 5), " ")}
 
@@ -179,18 +249,18 @@ def _(tables):
         return left.where(F.size(words) >= 5).select("query_id", "project_id", F.lit(0).alias("n"), written[kind].alias("variant"))
 
     stages = [
-        lambda left: r.hybrid(left, c, 2 * k, (0.5, 0.5), 0.4),
+        lambda left: r.hybrid(left, c, 2 * k, (0.5, 0.5), 0.4, index=stored, vectors=v),
         lambda left: searched(r.expand(left, EN_STOP), "expansion", 0.9, 0.3, k),
         lambda left: searched(table(left, "reformulation"), "reformulation", 0.85, 0.35, k),
         lambda left: searched(table(left, "followup"), "followup", 0.8, 0.3, k // 2),
-        lambda left: r.keyword_search(left, c, k),
+        lambda left: r.keyword_search(left, c, k, postings=postings),
     ]
     return r.rerank(r.top(r.cascade(q, stages, c, k), 3 * k), q, c, 2 * k, EN_STOP)
 
 
 @query("r11_document_priority", f"with {BM}, {bm(10)}, m as (select b.query_id, b.chunk_id, b.chunk_id % 3 = 0 as priority, round(case when b.chunk_id % 3 = 0 then least(1.0, b.score * 1.2) else b.score end, 8) as score from bm b) select query_id, chunk_id, score, priority, rank from (select *, row_number() over (partition by query_id order by priority desc, score desc, chunk_id) as rank from m) where rank <= 5")
 def _(tables):
-    hits = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)
+    hits = r.bm25(questions(tables), index(tables), 10)
     return r.prefer(hits, hits.where("chunk_id % 3 = 0"), 5)
 
 
@@ -201,12 +271,12 @@ t9 as (select query_id, chunk_id, round(greatest(0.0, least(1.0, 0.4 * score + 0
 select query_id, chunk_id, score, rank from ({RANKED} t9) where rank <= 5""")
 def _(tables):
     q, c = questions(tables), chunks(tables)
-    return r.rerank(r.bm25(q, r.bm25_index(c), 10), q, c, 5, EN_STOP).select("query_id", "chunk_id", "score", "rank")
+    return r.rerank(r.bm25(q, index(tables), 10), q, c, 5, EN_STOP).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("r13_model_rerank", f"with {BM}, {bm(10)}, m as (select query_id, chunk_id, round(0.3 * score + 0.7 * case when s < 0 then (s + 1) / 2 else s end, 8) as score from (select *, (chunk_id % 21) / 10.0 - 1 as s from bm)) select query_id, chunk_id, score, rank from ({RANKED} m) where rank <= 5")
 def _(tables):
-    hits = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)
+    hits = r.bm25(questions(tables), index(tables), 10)
     return r.rerank_by_model(hits, hits.select("query_id", "chunk_id", ((F.col("chunk_id") % 21) / 10.0 - 1).alias("model_score")), 5).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -217,7 +287,7 @@ KIND = "case when n <= 20 and contains(lower(question), 'the') then 'simple' whe
 @query("r14_adaptive", f"with {BM}, {bm(10)}, {QUALITY}, k as (select query_id, case when n <= 5 and contains(lower(question), 'the') then 'simple' when n > 15 or contains(lower(question), 'thing') then 'complex' else 'medium' end as complexity from (select *, len(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) as n from q)) select query_id, complexity, case when quality < 0.5 then b + 3 when quality > 0.8 then greatest(3, b - 2) else b end as k, round(t - case complexity when 'complex' then 0.05 else 0 end, 6) as threshold from (select *, case complexity when 'simple' then 3 when 'complex' then 10 else 5 end as b, case when coalesce(h, 0) < 5 then 0.4 when h > 10 then 0.6 else 0.5 end as t from k left join qu using (query_id) left join (select query_id, count(*) as h from bm group by 1) using (query_id))")
 def _(tables):
     q = questions(tables)
-    hits = r.bm25(q, r.bm25_index(chunks(tables)), 10)
+    hits = r.bm25(q, index(tables), 10)
     k = r.adaptive_k(q, r.quality(hits), 5, interrogatives=["the"], instructions=["thing"])
     n = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
     return k.join(r.adaptive_threshold(k.join(n, "query_id", "left")), "query_id")
@@ -225,7 +295,7 @@ def _(tables):
 
 @query("r15_quality", f"with {BM}, {bm(10)}, {QUALITY} select query_id, round(quality, 4) as quality from qu")
 def _(tables):
-    return r.quality(r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)).select("query_id", F.round("quality", 4).alias("quality"))
+    return r.quality(r.bm25(questions(tables), index(tables), 10)).select("query_id", F.round("quality", 4).alias("quality"))
 
 
 @query("r16_second_pass", f"with {VS}, a as (select query_id, chunk_id, score from ({RANKED} vp where score >= 0.5 and chunk_id <> query_id) where rank <= 3), b as (select query_id, chunk_id, score from ({RANKED} vp where score >= 0.05 and chunk_id <> query_id and query_id not in (select query_id from a)) where rank <= 6) select query_id, chunk_id, score from (select * from a union all select * from b)")
@@ -241,16 +311,16 @@ def _(tables):
     return r.routed(vector_queries(tables), F.col("project_id") % 2 == 0, lambda q: r.dense(q, v, 3, 0.2), lambda q: r.dense(q, v, 10, 0.1)).select("query_id", "chunk_id", "score")
 
 
-@query("r18_whole_document", f"with q as {Q}, c as (select chunk_id, project_id, source, left(text, 8000) as text from {C}), {DN}, {dn(1, 0.3)} select query_id, chunk_id, score from dn")
+@query("r18_whole_document", f"with q as {Q}, c as {C}, {DN}, {dn(1, 0.3)} select query_id, chunk_id, score from dn")
 def _(tables):
-    q, c = r.embedded(questions(tables), "query_id", "question", "q"), chunks(tables).withColumn("text", F.substring("text", 1, 8000))
-    v = r.embedded(c, "chunk_id", "text", "embedding")
-    return r.dense(q.select("query_id", "project_id", "q"), v.select("chunk_id", "project_id", "embedding"), 1, 0.3).select("query_id", "chunk_id", "score")
+    """Vectors of whole texts, however long."""
+    q = r.embedded(questions(tables), "query_id", "question", "q")
+    return r.dense(q.select("query_id", "project_id", "q"), embeddings(tables), 1, 0.3).select("query_id", "chunk_id", "score")
 
 
 @query("r19_stored_fallback", f"with q as {Q}, c as {C}, a as (select query_id, chunk_id, len(list_filter({KW}, lambda w: contains(lower(text), w))) as n from q join c using (project_id) where text <> ''), b as (select query_id, chunk_id, round(least(0.9, 0.5 + 0.1 * n), 6) as score from a) select query_id, chunk_id, score, rank from ({RANKED} b) where rank <= 5")
 def _(tables):
-    return r.stored_fallback(questions(tables), chunks(tables), 5).select("query_id", "chunk_id", "score", "rank")
+    return r.stored_fallback(questions(tables), chunks(tables), 5, postings=index(tables).all_()[0]).select("query_id", "chunk_id", "score", "rank")
 
 
 def naming(tables):
@@ -272,7 +342,7 @@ def _(tables):
     from ..operators.chunk import windows
 
     own = filed(tables).where("length(text) > 50")
-    parts = windows(own, "chunk_id", "text", 1000, 500).where("chunk_index < 5").join(own.drop("text"), "chunk_id")
+    parts = windows(own, "chunk_id", "text", 1000, 500).join(own.drop("text"), "chunk_id")
     parts = parts.select(F.concat_ws("_", "chunk_id", "chunk_index").alias("chunk_id"), "project_id", "source", "text")
     return r.file_fallback(naming(tables), parts, 5).select("query_id", "chunk_id", "score", "rank")
 
@@ -308,5 +378,5 @@ def _(tables):
 
 @query("r25_sources", f"with {BM}, {bm(10)}, s as (select query_id, source, min(rank) as r from bm join c using (chunk_id) group by all) select query_id, string_agg(source, ',' order by r, source) as sources from s group by query_id")
 def _(tables):
-    hits = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10)
+    hits = r.bm25(questions(tables), index(tables), 10)
     return r.sources(hits.join(chunks(tables).select("chunk_id", "source"), "chunk_id"))

@@ -5,7 +5,7 @@ import re
 import pytest
 from conftest import DATA
 from corpusloom.functions import text as t
-from corpusloom.operators import chunk, context, retrieve
+from corpusloom.operators import chunk, context, retrieve, text_index
 from corpusloom.plans import QUERIES
 from pyspark.sql import functions as F
 
@@ -193,7 +193,7 @@ def test_overlap_fallback(spark):
     parts = {}
     for i, d in docs.items():
         if len(d.text or "") > 50:
-            for n, (a, b) in enumerate(windows(d.text, 1000, 500)[:5]):
+            for n, (a, b) in enumerate(windows(d.text, 1000, 500)):
                 parts.setdefault(d.lang, []).append((f"{i}_{n}", f"src{i % 7}", d.text[a:b].lower()))
     for q in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
         text = q.text + (f" in SRC{q.item_id % 2}?" if q.item_id % 3 == 0 else "")
@@ -264,9 +264,9 @@ def test_stored_index_gives_the_same_hits(spark, tmp_path):
     c = spark.createDataFrame([(i, "p", " ".join(f"w{(i * j) % 17}" for j in range(1, 12))) for i in range(40)], "chunk_id long, project_id string, text string")
     q = spark.createDataFrame([(1, "p", "w3 w5 w5"), (2, "p", "w1 unknown")], "query_id long, project_id string, question string")
     index = retrieve.bm25_index(c)
-    retrieve.store_index(index, str(tmp_path / "i"), 4)
+    stored = text_index.build(c, str(tmp_path / "i"), 4)
     rows = lambda ix: sorted(map(tuple, retrieve.bm25(q, ix, 5).collect()))
-    assert rows(retrieve.load_index(spark, str(tmp_path / "i"))) == rows(index)
+    assert rows(stored) == rows(text_index.TextIndex(spark, str(tmp_path / "i"), parts=4)) == rows(index)
 
 
 def test_formats(spark):
