@@ -103,8 +103,8 @@ def run_table(kinds: bytes) -> tuple:
 
 def crossings(tables: list[tuple], first: int, last: int) -> list[int]:
     """States behind each table on the cheapest way, of equals the least, from the first state to the last."""
-    if len(tables) < 2:
-        return [last] * len(tables)
+    if len(tables) == 1:
+        return [last]
     mid = len(tables) // 2
     ahead = tuple((0, 0) if s == first else (FAR, 9) for s in range(4))
     for t in tables[:mid]:
@@ -145,6 +145,12 @@ def block_edits(kinds: bytes, first: int, last: int) -> list[str]:
     return out
 
 
+@lru_cache(10_000)
+def short_table(kinds: bytes) -> list[int]:
+    """The table of a short block, as it is stored."""
+    return flat(block_table(kinds))
+
+
 def flat(t: tuple) -> list[int]:
     return [x for row in t for cell in row for x in cell]
 
@@ -253,7 +259,7 @@ def _nodes(blocks: DataFrame) -> DataFrame:
                 role, blank, open_ = code % 4, code // 4 == 1, code // 4 == 2
                 again, open_ = ~new & ~blank, open_ & new
                 kinds = (role + np.where(blank | again, GONE, np.where(open_, CUT_OFF, FINE))).astype(np.uint8).tobytes()
-                out.append((kinds, flat(block_table(kinds)), facts_of(role.tolist(), turns, int(blank.sum()), int(again.sum()), int(open_.sum()))))
+                out.append((kinds, short_table(kinds) if len(kinds) <= 2 * RUN else flat(block_table(kinds)), facts_of(role.tolist(), turns, int(blank.sum()), int(again.sum()), int(open_.sum()))))
             kinds, tables, facts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.binary()), pa.array(tables, pa.list_(pa.int64())), pa.array(facts, pa.list_(pa.int64()))], ["conv", "blk", "kinds", "tbl", "facts"])
 
@@ -290,7 +296,8 @@ def _solved(parts: DataFrame) -> DataFrame:
             costs, facts, ways = [], [], []
             for nodes in b.column(1).to_pylist():
                 whole, fact = _joined(nodes)
-                cost, _, last = min((whole[NOTHING][s][0] + ENDS[s], whole[NOTHING][s][1], s) for s in range(4) if whole[NOTHING][s][0] < FAR)
+                ends = whole[NOTHING]
+                cost, _, last = min((ends[s][0] + ENDS[s], ends[s][1], s) for s in range(4) if ends[s][0] < FAR)
                 states = [NOTHING, *crossings([deep(x["tbl"]) for x in nodes], NOTHING, last)]
                 alone = len(nodes) == 1 and nodes[0]["n"] == 1
                 costs.append(cost)
@@ -363,37 +370,35 @@ class Repair:
 
         def pieces(batches):
             for b in batches:
-                for k, r in enumerate(b.to_pylist()):
+                audits, texts = [], []
+                for r in b.to_pylist():
                     own = _edited(r)
-                    text = "\n".join(f"{role}:{text}" for x, role, text, _ in own if x != "D")
-                    some = any(x != "D" for x, *_ in own)
-                    text = (hashlib.sha256(text.encode()).hexdigest() if r["alone"] else text) if some or r["alone"] else None
-                    yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("conv")).slice(k, 1), pa.array([r["blk"]]), pa.array([r["alone"]]), pa.array(["".join(x for x, *_ in own)]), pa.array([text], pa.string())], ["conv", "blk", "alone", "audit", "text"])
+                    lines = [f"{role}:{text}" for x, role, text, _ in own if x != "D"]
+                    text = "\n".join(lines)
+                    audits.append("".join(x for x, *_ in own))
+                    texts.append(hashlib.sha256(text.encode()).hexdigest() if r["alone"] else text if lines else None)
+                own = [b.column(b.schema.get_field_index(c)) for c in ("conv", "blk", "alone")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(audits, pa.string()), pa.array(texts, pa.string())], ["conv", "blk", "alone", "audit", "text"])
 
         def whole(batches):
-            """Blocks come by conversation and place; the hash takes in one after the other."""
-            key, audit, h, some, done = None, [], None, False, []
-
-            def row():
-                return pa.RecordBatch.from_arrays([key, pa.array(["".join(audit)]), pa.array([h if isinstance(h, str) else h.hexdigest()])], ["conv", "audit", "repaired_sha256"])
-
+            """Hashes of single blocks are done. The others come by conversation and place; a hash takes in one after the other."""
+            key, audit, h, some = None, [], None, False
+            names = ["conv", "audit", "repaired_sha256"]
+            row = lambda: pa.RecordBatch.from_arrays([key, pa.array(["".join(audit)]), pa.array([h.hexdigest()])], names)
             for b in batches:
-                lead = b.column(0)
-                for k, (alone, part, text) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    own = lead.slice(k, 1)
-                    if key is None or alone or not own.equals(key):
+                done = b.filter(b.column(2))
+                yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 3, 4)], names)
+                b = b.filter(pc.invert(b.column(2)))
+                for k, (part, text) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                    own = b.column(0).slice(k, 1)
+                    if key is None or not own.equals(key):
                         if key is not None:
-                            done.append(row())
+                            yield row()
                         key, audit, h, some = own, [], hashlib.sha256(), False
                     audit.append(part)
-                    if alone:
-                        h = text
-                    elif text is not None:
+                    if text is not None:
                         h.update((("\n" if some else "") + text).encode())
                         some = True
-                if done:
-                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-                    done = []
             if key is not None:
                 yield row()
 
