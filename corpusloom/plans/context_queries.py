@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import context as x
 from ..operators import retrieve as r
 from .registry import query
-from .retrieval_queries import BM, bm, chunks, questions
+from .retrieval_queries import BM, bm, chunks, index, questions
 from .text_queries import strip
 
 HITS = f"with {BM}, {bm(8)}, h as (select b.*, source, text, 0 as chunk_index from bm b join c using (chunk_id))"
 
 
 def hits(tables):
-    found = r.bm25(questions(tables), r.bm25_index(chunks(tables)), 8)
+    found = r.bm25(questions(tables), index(tables), 8)
     return found.join(chunks(tables).select("chunk_id", "source", "text"), "chunk_id").withColumn("chunk_index", F.lit(0))
 
 

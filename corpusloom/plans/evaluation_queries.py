@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as v
 from ..operators import retrieve as r
 from .registry import query
-from .retrieval_queries import BM, bm, chunks, questions
+from .retrieval_queries import BM, bm, chunks, index, questions
 from .text_queries import strip
 
 # Each question expects the sources whose number is its own, modulo 20, and the next; the category follows the id.
@@ -24,7 +24,7 @@ def truth(tables):
 
 
 def hits(tables):
-    return r.bm25(questions(tables), r.bm25_index(chunks(tables)), 10).join(chunks(tables).select("chunk_id", "source", "text"), "chunk_id")
+    return r.bm25(questions(tables), index(tables), 10).join(chunks(tables).select("chunk_id", "source", "text"), "chunk_id")
 
 
 def answers(tables):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.embed import with_cache
+
 LATE = "10 minutes"
 
 #: Rows of a client that one group of the batch rate limit should hold.
@@ -27,11 +30,11 @@ def _bounds(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.col("window.start")).drop("window")
 
 
-def error_rate(events: DataFrame, width: str = "5 minutes", limit: float = 0.1) -> DataFrame:
-    """Events, errors, their rate and whether it is over the limit, by window (status column)."""
+def error_rate(events: DataFrame, width: str = "5 minutes", limit: float = 0.1, *by, bounds: bool = True) -> DataFrame:
+    """Events, errors, their rate and whether it is over the limit, by window and columns (status column); bounds: with the start of the window instead of the window itself."""
     errors = F.count_if(F.col("status") == "error")
     rate = F.round(errors / F.count("*"), 6)
-    return _bounds(windowed(events, width).agg(F.count("*").alias("n"), errors.alias("errors"), rate.alias("rate"), (rate > limit).alias("alert")))
+    return (_bounds if bounds else lambda x: x)(windowed(events, width, *by).agg(F.count("*").alias("n"), errors.alias("errors"), rate.alias("rate"), (rate > limit).alias("alert")))
 
 
 def quantile(events: DataFrame, p: float, limit: float, over: bool = True, width: str = "5 minutes", *by) -> DataFrame:
@@ -136,18 +139,103 @@ def rolling_history(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("history", F.collect_list("content").over(w))
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, key: str = "chunk_id"):
-    """Starts a query that turns each batch of new documents into chunks and adds those whose ids the table lacks; a batch that runs again adds nothing twice."""
+class Store:
+    """What a stream has ingested: chunks, their vectors and the embedding cache, each in a folder for every batch, and a manifest of the batches that count.
 
-    def write(batch: DataFrame, n: int) -> None:
-        new = transform(batch).dropDuplicates([key])
-        path = f"{folder}/batch={n}"
+    A batch writes its folders anew whenever it runs, and counts once its line of the manifest is there; readers see no
+    other batch. So a batch that was stopped midway is repeated without a trace, and one that had counted is skipped.
+    A document that comes again, in a later batch, replaces its chunks.
+    """
+
+    PARTS = ("documents", "chunks", "vectors", "cache")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def batches(self) -> DataFrame:
+        """(batch, documents, chunks, vectors, embedded) of the batches that count."""
+        schema = "documents long, chunks long, vectors long, embedded long, batch long"
         try:
-            known = batch.sparkSession.read.parquet(folder).where(F.col("batch") != n).select(key)
-            new = new.join(known, key, "left_anti")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        new.write.mode("overwrite").parquet(path)
+            return self.spark.createDataFrame([], schema)
+
+    def read(self, part: str, schema: str) -> DataFrame:
+        """Rows of all batches that count, with their batch."""
+        done = [r[0] for r in self.batches().select("batch").collect()]  # a number a batch
+        if not done:
+            return self.spark.createDataFrame([], f"{schema}, batch long")
+        return self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.folder}/{part}").parquet(*(f"{self.folder}/{part}/batch={n}" for n in done))
+
+    def current(self, part: str, schema: str, doc_schema: str = "doc_id long") -> DataFrame:
+        """Rows of the latest batch of each document."""
+        doc = doc_schema.split()[0]
+        latest = self.read("documents", doc_schema).groupBy(doc).agg(F.max("batch").alias("batch"))
+        return self.read(part, schema).join(latest, [doc, "batch"], "left_semi").drop("batch")
+
+    def put(self, part: str, n: int, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{part}/batch={n}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def ingest(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, doc: str = "doc_id"):
+    """Starts a query that turns each batch of documents into chunks (chunk(batch): doc, chunk_id, text and more), embeds texts that no batch has embedded before (embed(id, text): id, embedding), and counts the batch."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        store = Store(batch.sparkSession, folder)
+        if store.batches().where(F.col("batch") == n).count():
+            return
+        docs = store.put("documents", n, batch.select(doc).distinct())
+        chunks = store.put("chunks", n, chunk(batch))
+        known = store.read("cache", "key string, embedding array<float>").drop("batch")
+        found, fresh = with_cache(chunks, known, embed, "chunk_id", "text")
+        fresh = store.put("cache", n, fresh.select("key", "embedding"))
+        # Found again over what was just written, so nothing is embedded twice.
+        found, _ = with_cache(chunks, known.unionByName(fresh), embed, "chunk_id", "text")
+        vectors = store.put("vectors", n, found.where("embedding is not null").select(F.col("id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id", doc), "chunk_id"))
+        counts = [docs.count(), chunks.count(), vectors.count(), fresh.count()]
+        before_commit(n)
+        row = batch.sparkSession.createDataFrame([tuple(counts)], "documents long, chunks long, vectors long, embedded long")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def before_commit(n: int) -> None:
+    """Called when a batch has been written but does not count yet (tests stop it here)."""
+
+
+def merge_updates(totals: DataFrame, folder: str, checkpoint: str):
+    """Starts a query in update mode: each batch writes the totals that it changed. latest() has the current ones."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, schema, *keys: str) -> DataFrame:
+    """The last written row of each key of merge_updates."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(folder)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return best.select(*keys, *(F.col(f"v.{c}").alias(c) for c in values))
+
+
+def sketches(events: DataFrame, width: str = "5 minutes", *by, k: int = 800) -> DataFrame:
+    """A KLL sketch of value by window: bounded state for a stream, and a table that rolled() merges to wider windows."""
+    return _bounds(windowed(events, width, *by).agg(F.kll_sketch_agg_double(F.col("value").cast("double"), k).alias("sketch"), F.count("value").alias("n")))
+
+
+def rolled(rows: DataFrame, width: str, *by, k: int = 800) -> DataFrame:
+    """Sketches of narrow windows merged to wider ones."""
+    return _bounds(rows.groupBy(F.window("start", width), *by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"), F.sum("n").alias("n")))
+
+
+def sketched(rows: DataFrame, p: float, limit: float, over: bool = True) -> DataFrame:
+    """The quantile of each sketch and whether it is over (or under) a limit; its rank is off by less than 1 % for k = 800."""
+    out = rows.withColumn("q", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))).drop("sketch")
+    return out.withColumn("alert", F.col("q") > limit if over else F.col("q") < limit)
