@@ -9,10 +9,12 @@ the same mean over all of the host: what recurs far more often than the host's t
 several take turns. Their mix counts in full on many pages, and less on few: a branch loses (m - 1) / (m + 1) of what
 it lacks. Branches below LOW are removed with all that is below them.
 
-Names are a prior that multiplies importance: what lies in an element whose tag or class token names a role (menu,
-footer, advert, comments ...), or outside the article or main element where that holds most of the page, has ROLE of
-it, which is below LOW, as a page that is alone on its host shows no entropy. A named element that wraps an article, or three paragraphs
-and most of the page, is no such element.
+Names are a prior: elements whose tag or class token names a role (menu, footer, advert, comments ...) and what stands
+beside an article or main element that holds most of the page are marked, and a marked branch counts ROLE of its
+importance. So it goes if anything in it recurs or its form is always the same, and stays if its children are as
+varied and its text as new as those of a main text. A path on fewer than FEW pages of its host shows no entropy, and
+the mark decides. An element that wraps an article, or three paragraphs and most of the page, isn't marked, nor are paragraphs
+and headings of an article; and a page that class names alone would leave without any text keeps what they mark.
 
 Null or empty html, and pages without text, give an empty text. Repeated rows are extracted each for itself, pages
 without a host form a site of their own, extra columns are ignored, and an empty table gives an empty result. Pages of
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-LOW, ROLE, PRESENTATION, EVEN, DEPTH = 0.35, 0.3, 0.1, 0.01, 64
+LOW, ROLE, FEW, PRESENTATION, EVEN, DEPTH = 0.35, 0.36, 10, 0.1, 0.01, 64
 #: Weak branches that are sent to all tasks (8 bytes each, and their host); where there are more, they are joined.
 SENT = 500_000
 #: Elements that flow within a block, and those that have no end tag.
@@ -52,6 +54,7 @@ HEADS = set("site page top global main".split())
 ARIA = set("navigation banner complementary contentinfo search dialog alert menu menubar toolbar".split())
 #: Elements that an opening tag ends if they are open in the same container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PROSE = set("p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("ul ol dl table tbody thead article main section div body td th blockquote nav aside footer header form".split())
 _name = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*+")
 #: The rest of a tag: a value in quotes may hold >, an unclosed quote is a character like others.
@@ -93,7 +96,7 @@ class Page:
         self.blocks: list[tuple[str, int, bool]] = []
         self._known: dict[tuple[int, str], int] = {}
         self._parse(source)
-        self.own = self._judge()
+        self.marks = self._judge()
 
     def _node(self, above: int, depth: int, name: str, role: int, article: bool) -> int:
         kids = self.kids[above]
@@ -107,7 +110,7 @@ class Page:
             self.path.append(_hash(name, self.path[above]))
             self.above.append(above)
             # What heads or ends an article belongs to it.
-            self.role.append(0 if role == 1 and name == "header" and self.article[above] else role)
+            self.role.append(0 if role == 1 and self.article[above] and (name == "header" or name.partition(".")[0] in PROSE) else role)
             self.article.append(article or self.article[above])
             self.kids.append([])
         return at
@@ -198,8 +201,8 @@ class Page:
             text.append(page[at:])
         flush()
 
-    def _judge(self) -> list[float]:
-        """The prior of each block: 1, or ROLE."""
+    def _judge(self) -> list[tuple[list[int], bool]]:
+        """(marked nodes at and above it, whether by more than class names) of each block."""
         n = len(self.path)
         chars, paras, holds = [0] * n, [0] * n, [False] * n
         for t, at, p in self.blocks:
@@ -210,14 +213,25 @@ class Page:
             chars[up] += chars[i]
             paras[up] += paras[i]
             holds[up] = holds[up] or holds[i] or self.article[i] and not self.article[up]
-        out = [False] * n
+        marks: list[list[int]] = [[] for _ in range(n)]
+        sure = [False] * n
         for i in range(1, n):
+            up = self.above[i]
             wraps = holds[i] or paras[i] >= 3 and 2 * chars[i] > chars[0]
-            out[i] = out[self.above[i]] or self.role[i] == 2 or self.role[i] == 1 and not wraps
-        left = sum(len(t) for t, at, _ in self.blocks if not out[at])
-        inside = sum(len(t) for t, at, _ in self.blocks if not out[at] and self.article[at])
-        only = inside and 2 * inside >= left
-        return [ROLE if out[at] or only and not self.article[at] else 1.0 for _, at, _ in self.blocks]
+            own = self.role[i] == 2 or self.role[i] == 1 and not wraps
+            marks[i] = [*marks[up], i] if own else marks[up]
+            sure[i] = sure[up] or own and self.role[i] == 2
+        left = sum(len(t) for t, at, _ in self.blocks if not marks[at])
+        inside = sum(len(t) for t, at, _ in self.blocks if not marks[at] and self.article[at])
+        if not inside or 2 * inside < left:
+            return [(marks[at], sure[at]) for _, at, _ in self.blocks]
+        out = []
+        for _, at, _ in self.blocks:
+            top = at
+            while self.above[top] > 0 and not holds[self.above[top]]:
+                top = self.above[top]
+            out.append((marks[at], sure[at]) if self.article[at] else (marks[at] or [top], True))
+        return out
 
     def line(self, at: int) -> list[int]:
         """Path hashes from a node up."""
@@ -233,7 +247,7 @@ def _close(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}\s*+>", re.I)
 
 
-BLOCK = "array<struct<text:string, paths:array<bigint>>>"
+BLOCK = "array<struct<text:string, paths:array<bigint>, marks:array<bigint>, sure:boolean>>"
 PARSED = f"page_id %s, url string, row_key long, site long, blocks {BLOCK}, facts array<struct<path:bigint, kind:int, value:bigint, n:int>>"
 
 
@@ -241,7 +255,7 @@ def facts_of(page: Page) -> Counter:
     """What a page tells about its paths, as {(path, kind, value): n}.
 
     Kind 0: it has the path (n: 1, or 2 within an article); 1: its children. A text's place is all its own paths on
-    the page, with how often it has each: kind 2 tells the texts of a place (n: characters), 3 the paths above a place and how often the text lies below each.
+    the page, with how often it has each: kind 2 tells the texts of a place (n: characters), 3 the paths above a place and how often the text lies below each. Kind 4: a block is marked by the path.
     """
     facts: Counter = Counter()
     places: dict[int, list[int]] = {}
@@ -262,15 +276,18 @@ def facts_of(page: Page) -> Counter:
             while i not in used:
                 used.add(i)
                 i = page.above[i]
+    for own, _ in page.marks:
+        for i in own:
+            facts[page.path[i], 4, 0] = 1
     for i in used - {0}:
         facts[page.path[i], 0, 0] = 2 if page.article[i] else 1
         facts[page.path[i], 1, _hash(" ".join(page.kids[i]))] = 1
     return facts
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roles: bool = True) -> DataFrame:
-    """Blocks that the prior leaves above LOW (all of them without roles), and the facts of each page's whole tree."""
-    block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))]))
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Blocks of each page with their marks, and the facts of its tree."""
+    block = pa.list_(pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sure", pa.bool_())]))
     fact = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int32())]))
 
     def run(batches):
@@ -278,7 +295,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
                 page = Page(one.column(3)[0].as_py() or "")
-                kept = [{"text": t, "paths": page.line(at)} for (t, at, _), prior in zip(page.blocks, page.own, strict=True) if prior >= LOW or not roles]
+                kept = [{"text": t, "paths": page.line(at), "marks": [page.path[i] for i in marks], "sure": sure} for (t, at, _), (marks, sure) in zip(page.blocks, page.marks, strict=True)]
                 facts = [{"path": p, "kind": k, "value": v, "n": n} for (p, k, v), n in facts_of(page).items()]
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), one.column(4), pa.array([kept], block), pa.array([facts], fact)], ["page_id", "url", "row_key", "site", "blocks", "facts"])
 
@@ -288,11 +305,11 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(site, path, pages, importance) of each branch of each host's tree; pages as parsed() gives them. All steps aggregate before they shuffle, so neither a host nor a text that all its pages share meets in one task as rows."""
+    """(site, path, pages, importance, marked) of each branch of each host's tree; pages as parsed() gives them. All steps aggregate before they shuffle, so neither a host nor a text that all its pages share meets in one task as rows."""
     facts = pages.select("site", F.explode("facts").alias("f")).select("site", "f.*")
     shared = facts.where("kind <> 2").groupBy("site", "path", "kind", "value").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     has, style = F.col("kind") == 0, F.col("kind") == 1
-    sums = shared.where("kind < 2").groupBy("site", "path").agg(F.max(F.when(has, F.col("k"))).alias("pages"), F.max(F.when(has, F.col("n"))).alias("inside"), F.sum(F.when(style, F.col("k") * F.ln("k"))).alias("style"))
+    sums = shared.where("kind < 2 or kind = 4").groupBy("site", "path").agg(F.max(F.col("kind") == 4).alias("marked"), F.max(F.when(has, F.col("k"))).alias("pages"), F.max(F.when(has, F.col("n"))).alias("inside"), F.sum(F.when(style, F.col("k") * F.ln("k"))).alias("style"))
     above = shared.where("kind = 3").select("site", F.col("path").alias("place"), F.col("value").alias("path"), "n")
     texts = cut(facts.where("kind = 2").groupBy("site", F.col("value").alias("t"), F.col("path").alias("place")).agg(F.count("*").alias("k"), F.max("n").alias("chars")), "texts")
     # A page has a text at one place, so pages of places add up to those that have the text at all.
@@ -314,22 +331,27 @@ def importance(pages: DataFrame) -> DataFrame:
     m, s = F.col("pages"), F.col("text") / F.col("length") / F.ln("pages")
     turns = F.when(F.col("inside") < 2, (F.col("even") + EVEN) / (s + EVEN)).otherwise(1.0)
     mixed = PRESENTATION * (1 - F.coalesce("style", F.lit(0.0)) / (m * F.ln(m))) + (1 - PRESENTATION) * F.least(1 - s, turns)
-    return sums.select("site", "path", "pages", F.when(m > 1, 1 - (1 - mixed) * (m - 1) / (m + 1)).otherwise(1.0).alias("importance"))
+    return sums.select("site", "path", "pages", F.when(m > 1, 1 - (1 - mixed) * (m - 1) / (m + 1)).otherwise(1.0).alias("importance"), "marked")
 
 
 def extract(pages: DataFrame, low: float = LOW, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roles: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of each page; without roles by the tree alone."""
-    trees = cut(parsed(pages, id_col, url_col, html_col, roles), "pages")
-    weak = cut(importance(trees).where(F.col("importance") < low).select("site", "path"), "weak")
+    trees = cut(parsed(pages, id_col, url_col, html_col), "pages")
+    weak, marked = F.col("importance") < low, F.col("marked") & ((F.col("importance") * ROLE < low) | (F.col("pages") < FEW))
+    weak = cut(importance(trees).select("site", "path", weak.alias("weak"), marked.alias("marked")).where(F.col("weak") | F.col("marked") & F.lit(roles)), "weak")
+    of = lambda how: (how(F.when(F.col("weak"), F.col("path"))).alias("gone"), how(F.when(F.col("marked"), F.col("path"))).alias("lost"))
     if weak.count() <= SENT:
         # Measured, so all tasks may have it; pages aren't moved.
-        gone = weak.groupBy("site").agg(F.collect_list("path").alias("gone"))
+        gone = weak.groupBy("site").agg(*of(F.collect_list))
         out = trees.select("page_id", "url", "site", "blocks").join(F.broadcast(gone), "site", "left")
     else:
         own = trees.select("page_id", "row_key", "site", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
-        gone = own.join(weak, ["site", "path"]).groupBy("page_id", "row_key").agg(F.collect_set("path").alias("gone")).withColumnsRenamed({"page_id": "d", "row_key": "r"})
+        gone = own.join(weak, ["site", "path"]).groupBy("page_id", "row_key").agg(*of(F.collect_set)).withColumnsRenamed({"page_id": "d", "row_key": "r"})
         out = trees.select("page_id", "url", "row_key", "blocks").join(gone, trees["page_id"].eqNullSafe(gone["d"]) & (trees["row_key"] == gone["r"]), "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["paths"], F.col("gone")), F.lit(False)))
+    hit = lambda a, b: F.coalesce(F.arrays_overlap(a, F.col(b)), F.lit(False))
+    strong = F.filter("blocks", lambda b: ~hit(b["paths"], "gone"))
+    out = out.withColumn("strong", strong).withColumn("kept", F.filter("strong", lambda b: ~hit(b["marks"], "lost") & ~(F.lit(roles) & F.array_contains(b["marks"], F.lit(0).cast("long")))))  # text outside all elements has no branch
+    kept = F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.filter("strong", lambda b: ~b["sure"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

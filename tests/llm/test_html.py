@@ -14,8 +14,10 @@ SF01, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 
 
 def own(page):
+    """What a page that is alone on its host keeps."""
     p = htmlmain.Page(page)
-    return " ".join(t for (t, _, _), prior in zip(p.blocks, p.own, strict=True) if prior == 1)
+    kept = [t for (t, _, _), (marks, _) in zip(p.blocks, p.marks, strict=True) if not marks]
+    return " ".join(kept or [t for (t, _, _), (_, sure) in zip(p.blocks, p.marks, strict=True) if not sure])
 
 
 CASES = {
@@ -31,6 +33,11 @@ CASES = {
     '<p>kept</p><a title="a > b">link</a> <a href="cut': "kept link",
     "<div id=comments>c</div><ul class='main-nav'><li>m</ul><p>body": "body",
     "<script>if(a<b)'</p>'</script><style>p{}</style><noscript>n</noscript>t": "t",
+    '<body><div class="post related"><p>only text</p></div></body>': "only text",
+    '<p class="search">only text</p>': "only text",
+    '<body><div class="side"><p>one</p><p>two</p></div></body>': "one two",
+    "<main><p class='share'>Market share rose</p><p>and fell</p></main>": "Market share rose and fell",
+    "<nav>menu</nav><footer>end</footer>": "",
     "": "",
 }
 
@@ -144,3 +151,15 @@ def test_tree_alone_removes_menus_and_footers(spark):
     both = {r.page_id: r.text for r in htmlmain.extract(pages).collect()}
     alone = {r.page_id: r.text for r in htmlmain.extract(pages, roles=False).collect()}
     assert sum(both[i] == alone[i] for i in both) > 0.9 * len(both)
+    off = {r.page_id: r.text for r in htmlmain.extract(pages, low=-1.0).collect()}
+    assert sum(off[i] != both[i] for i in both) > 0.5 * len(both)
+
+
+def test_a_named_branch_stays_if_its_form_and_text_are_new(spark):
+    """Main text in an element with a role's name, on a host with many pages: the tree tells it from adverts."""
+    tags = ["ul", "div", "h2", "blockquote", "table"]
+    part = lambda i, k: f"<{tags[(i // 5**k) % 5]}><p>page {i} part {k} is new</p></{tags[(i // 5**k) % 5]}>"
+    rows = [(i, f"https://h.example/{i}", f"<body><div class='related'>{''.join(part(i, k) for k in range(3))}</div><div class='intro'>hello {i}</div><div class='advert'><p>buy thing {i}</p></div></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in htmlmain.extract(df).collect():
+        assert f"page {r.page_id} part 0" in r.text and f"hello {r.page_id}" in r.text and "buy" not in r.text
