@@ -2,8 +2,8 @@
 
 A line that has one of CUES is a candidate, without comment signs. Where a file's lines match nothing, or where it has
 words of a licence's body (BODY), a second round takes wider ones: as notices are wrapped, the lines beside it joined
-to it in several widths (REACHES), and paragraphs and, of a file whose name says licence, the text. A paragraph or text of more than LONGEST characters, several times the longest template,
-is none; its lines still are. Equal candidates are scored once: terms are weighted by 1 + ln of their count and their frequency
+to it in several widths (REACHES), and paragraphs and, of a file whose name says licence, the text. Equal candidates are scored once, and
+carried by a number: terms are weighted by 1 + ln of their count and their frequency
 over all candidates of the round, and the sparse cosine to each template comes from a join on terms. A template counts only for candidates
 that hold its decisive terms (DECIDES): the names and the version that tell licences apart. A candidate that names no
 version may match where TEMPLATES has one version of the licence only. A file's licence is its best candidate's, if that
@@ -85,7 +85,7 @@ OWNER = r"(?i)licen[sc]e|permission|redistribution|free software|public domain|c
 POINTS = r"(?i)\b(see|found in|refer to)\b.{0,40}\b(licen[sc]e|copying)\b"
 UNKNOWN = "unknown"
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)([.-][^/]*)?$"
-CLOSE, MOST, LONGEST = 0.6, 0.5, 8_000
+CLOSE, MOST = 0.6, 0.5
 BODY = r"(?i)permission is hereby|permission to use, copy|redistribution and use|free software|unencumbered|in compliance with the license|this source code form"
 #: Lines before and after a candidate that are joined to it, and signs that begin a comment or end one.
 REACHES = [(0, 1), (1, 1), (0, 3), (1, 3), (0, 7)]
@@ -115,17 +115,18 @@ def candidates(files: DataFrame, wide: bool) -> DataFrame:
     near = lambda i, a, b: F.array_join(F.slice(F.col("l"), F.greatest(i - a, F.lit(0)) + 1, b + 1 + F.least(i, F.lit(a))), " ")
     single = F.transform(at, lambda i: unit("line", F.get("l", i)))
     joined = F.flatten(F.transform(at, lambda i: F.array(*(unit("wide", near(i, a, b)) for a, b in REACHES))))
-    paragraphs = F.transform(F.filter(F.split(F.array_join("l", "\n"), r"\n\n+"), lambda p: p.rlike(CUES) & p.rlike(BODY.replace(" ", r"\s+")) & (F.length(p) <= LONGEST)), lambda p: unit("paragraph", p))
-    text = F.when(F.col("named") & (F.col("size") <= LONGEST), F.array(unit("text", F.array_join("l", " ")))).otherwise(F.expr("cast(array() as array<struct<kind:string, line:string>>)"))
+    paragraphs = F.transform(F.filter(F.split(F.array_join("l", "\n"), r"\n\n+"), lambda p: p.rlike(CUES) & p.rlike(BODY.replace(" ", r"\s+"))), lambda p: unit("paragraph", p))
+    text = F.when(F.col("named"), F.array(unit("text", F.array_join("l", " ")))).otherwise(F.expr("cast(array() as array<struct<kind:string, line:string>>)"))
     units = F.concat(joined, paragraphs, text) if wide else single
     return own.select("key", "path", "size", F.explode(F.array_distinct(units)).alias("u")).select("key", "path", "size", "u.*")
 
 
 def scored_lines(lines: DataFrame) -> DataFrame:
-    """(line, license, score): the best template of each distinct line."""
+    """(digest, license, score): the best template of each distinct line, told by the SHA-256 of it. Terms carry a number for their line, so the work grows with the terms of a line and not with their square."""
     spark = lines.sparkSession
-    distinct = cut(lines.groupBy("line").agg(F.count("*").alias("n")), "lines")
-    counts = distinct.select("line", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
+    distinct = lines.groupBy(F.sha2(F.col("line").cast("binary"), 256).alias("digest"), "line").agg(F.count("*").alias("n"))
+    distinct = cut(distinct.withColumn("no", F.monotonically_increasing_id()), "lines")
+    counts = cut(distinct.select("no", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("no", "n", "term").agg(F.count("*").alias("tf")), "terms")
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = counts.groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (F.ln(F.lit(1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -137,14 +138,14 @@ def scored_lines(lines: DataFrame) -> DataFrame:
     ours, theirs = weigh(counts), weigh(own)
     versions = lambda: F.count_if(F.col("term").rlike(VERSION))
     names = lambda: F.count_if(F.col("term").rlike(DECIDES))
-    norm = ours.groupBy("line").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("a"), versions().alias("named"))
+    norm = ours.groupBy("no").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("a"), versions().alias("named"))
     size = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("b"), names().alias("names"), versions().alias("versions"))
     theirs = theirs.join(size, "template").select("template", "license", "lone", "names", "versions", "term", (F.col("w") / F.col("b")).alias("wt"))
     # The templates are fixed, some thousand terms, so they are broadcast.
-    dot = ours.join(F.broadcast(theirs), "term").groupBy("line", "template", "license", "lone", "names", "versions").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"), names().alias("met"), versions().alias("same")).join(norm, "line")
+    dot = ours.join(F.broadcast(theirs), "term").groupBy("no", "template", "license", "lone", "names", "versions").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"), names().alias("met"), versions().alias("same")).join(norm, "no")
     dot = dot.where((F.col("met") == F.col("names")) & ((F.col("same") == F.col("versions")) | F.col("lone") & (F.col("named") == 0)))
-    best = dot.select("line", "license", F.round(F.col("dot") / F.col("a"), 6).alias("score")).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    return best.select("line", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
+    best = dot.select("no", "license", F.round(F.col("dot") / F.col("a"), 6).alias("score")).groupBy("no").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    return best.join(distinct.select("no", "digest"), "no").select("digest", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
 
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
@@ -154,14 +155,14 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFr
 
     def scored(rows, name):
         rows = cut(rows, name)
-        return cut(rows.join(scored_lines(rows), "line", "left").select("key", "path", "size", "kind", "line", "license", "score"), name)
+        own = rows.withColumn("digest", F.sha2(F.col("line").cast("binary"), 256))
+        return cut(own.join(scored_lines(rows), "digest", "left").select("key", "path", "size", "kind", "line", "license", "score"), name)
 
     lines = scored(candidates(files, False), "lines")
     # Few files are left for the second round: those without a close line, and those with a licence's body.
     found = lines.where(close).select(F.col("key").alias("k"), F.col("path").alias("p")).distinct()
-    left = files.where(F.col("text").rlike(CUES)).join(found, files["key"].eqNullSafe(found["k"]) & files["path"].eqNullSafe(found["p"]), "left_anti")
-    body = files.where(F.col("text").rlike(CUES) & F.col("text").rlike(BODY.replace(" ", r"\s+")))
-    more = scored(candidates(left.union(body).distinct(), True), "wide")
+    open_ = files.where(F.col("text").rlike(CUES)).join(found, files["key"].eqNullSafe(found["k"]) & files["path"].eqNullSafe(found["p"]) & ~files["text"].rlike(BODY.replace(" ", r"\s+")), "left_anti")
+    more = scored(candidates(open_, True), "wide")
     hits = lines.union(more).where(close | (F.col("kind") == "line") & F.col("line").rlike(OWNER) & ~F.col("line").rlike(POINTS))
     hits = hits.select("key", "path", "line", "size", (~close).alias("odd"), F.when(close, F.col("license")).otherwise(UNKNOWN).alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"))
     own = hits.groupBy("key", "path").agg(F.min(F.struct("odd", (-F.col("score")).alias("s"), "license", "line", "size")).alias("m"))

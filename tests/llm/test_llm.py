@@ -325,11 +325,27 @@ def test_cosines_match_brute_force(spark):
                     best.append((-round(dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 6), k))
         if best:
             want[x] = min(best)
-    got = {r.line: (-r.score, r.license) for r in licenses.scored_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    named = {hashlib.sha256(x.encode()).hexdigest(): x for x in lines}
+    got = {named[r.digest]: (-r.score, r.license) for r in licenses.scored_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert set(got) == set(want)
     assert all(abs(got[x][0] - s) < 2e-6 and (got[x][1] == k or abs(got[x][0] - s) > 0) for x, (s, k) in want.items())
 
 
+def test_long_lines_and_files_are_scored_whole(spark):
+    """A line of a megabyte costs what its terms do, and a licence text beyond any template's length is still found."""
+    import time
+
+    r = random.Random(6)
+    noise = " ".join(f"x{r.randrange(40_000)}" for _ in range(150_000))
+    mit = licenses.TEMPLATES["MIT"][-1]
+    long = "\n\n".join([f"paragraph {i} of a readme that goes on" for i in range(400)] + [mit, "more words " * 2000])
+    rows = [(1, "a/min.js", f"license {noise}"), (2, "a/LICENSE", long), (3, "b/x.py", f"{noise}\n\n{licenses.TEMPLATES['Apache-2.0'][0]}"), (4, "b/y.py", "no notice")]
+    began = time.time()
+    got = {x.key: (x.license, x.found) for x in licenses.scan(spark.createDataFrame(rows, "k long, p string, t string"), "k", "p", "t").collect()}
+    assert time.time() - began < 90
+    assert got[2][0] == "MIT" and got[3][0] == "Apache-2.0" and got[4] == (None, "none")
+
+
 def test_inheritance_matches_brute_force(spark):
     r = random.Random(12)
     folders = ["", "a/", "a/b/", "a/b/c/", "a/d/", "e/", "e/f/"]
