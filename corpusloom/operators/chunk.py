@@ -18,6 +18,9 @@ SECTIONS = [r"^(?:ГЛАВА|РАЗДЕЛ|ЧАСТЬ)\s+\d+[.\s]*(.+)?$", r"^(?:
 PAGE = r"\[Page (\d+)\]\n"
 INTRODUCTION, WHOLE = "Введение", "Основной текст"
 SPLITS = ["\n\n\n", "\n\n", "\n---\n", "\n# ", "\n## ", "\n### ", "\n", ". "]
+#: As Java's \\s.
+SPACES = " \t\n\x0b\f\r"
+SENTENCE_END = re.compile(f"[.!?]+[{SPACES}]+")
 LEAST, MOST, ACCEPT_BOUNDARIES = 100, 2000, 10_000
 
 
@@ -104,6 +107,23 @@ def recursive(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overl
     return _spread(df, id_col, text_col, lambda t: [(p,) for p in recursive_parts(t, size, overlap)] if t.strip() else [], "chunk_index int, text string")
 
 
+def register_table_functions(spark) -> None:
+    """chunk_windows(text, size, overlap) and chunk_recursive(text, size, overlap) for SQL: `from documents d, lateral chunk_windows(d.text, 1000, 200) w`."""
+
+    class Windows:
+        def eval(self, text: str, size: int, overlap: int):
+            for n, (a, b) in enumerate(window_spans(text or "", size, overlap)):
+                yield n, a, b, text[a:b]
+
+    class Recursive:
+        def eval(self, text: str, size: int, overlap: int):
+            for n, part in enumerate(recursive_parts(text, size, overlap) if text and text.strip() else []):
+                yield n, part
+
+    spark.udtf.register("chunk_windows", F.udtf(Windows, returnType="chunk_index int, start int, end int, text string", useArrow=True))
+    spark.udtf.register("chunk_recursive", F.udtf(Recursive, returnType="chunk_index int, text string", useArrow=True))
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -174,17 +194,33 @@ def _splitter(sep: str, most: int):
     return split
 
 
-def packed_sentences(text: Column, most: int = MOST, least: int = LEAST) -> Column:
+def sentence_parts(text: str, most: int = MOST, least: int = LEAST) -> list[str]:
     """Sentences packed greedily up to most characters (spaces between them don't count); longer ones are split, chunks shorter than least dropped."""
-    none = F.expr("cast(array() as array<string>)")
-    start = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("n"))
-    flush = lambda a: F.when((F.size(a["cur"]) > 0) & (F.length(F.array_join(a["cur"], " ")) >= least), F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"])
+    out, cur, n = [], [], 0
+
+    def close():
+        whole = " ".join(cur)
+        if cur and len(whole) >= least:
+            out.append(whole)
+
+    for s in (x.strip(SPACES) for x in SENTENCE_END.split(text)):
+        if not s:
+            continue
+        if n + len(s) <= most:
+            cur.append(s)
+            n += len(s)
+            continue
+        close()
+        cur, n = ([s], len(s)) if len(s) <= most else ([], 0)
+        if len(s) > most:
+            out += [p for p in (s[i : i + most].strip(SPACES) for i in range(0, len(s), most)) if p]
+    close()
+    return out
 
-    def step(a, s):
-        fits = a["n"] + F.length(s) <= most
-        return F.when(fits, F.struct(a["out"].alias("out"), F.concat(a["cur"], F.array(s)).alias("cur"), (a["n"] + F.length(s)).alias("n"))).when(F.length(s) > most, F.struct(F.concat(flush(a), force_split(s, most)).alias("out"), none.alias("cur"), F.lit(0).alias("n"))).otherwise(F.struct(flush(a).alias("out"), F.array(s).alias("cur"), F.length(s).alias("n")))
 
-    return F.aggregate(sentences(text), start, step, flush)
+def packed_sentences(df: DataFrame, id_col: str, text_col: str, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """(id, chunk_index, text) of sentence_parts. A fold over an array would copy all chunks so far for each sentence, so this is an Arrow function."""
+    return _spread(df, id_col, text_col, lambda t: [(p,) for p in sentence_parts(t, most, least)], "chunk_index int, text string")
 
 
 def at_boundaries(docs: DataFrame, boundaries: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
@@ -205,7 +241,7 @@ def exploded(df: DataFrame, id_col: str, parts: Column, *keep) -> DataFrame:
 def cascade(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, boundaries: DataFrame | None = None) -> DataFrame:
     """(id, chunk_index, text, strategy): the first strategy that gives chunks wins: pages, elements, markdown, sentences, given boundaries for long texts, windows."""
     text = F.col(text_col)
-    tried = [("page", pages(text)), ("element", elements(text)), ("recursive", F.when(F.length(text) > MOST, markdown(text))), ("sentence", packed_sentences(text))]
+    tried = [("page", pages(text)), ("element", elements(text)), ("recursive", F.when(F.length(text) > MOST, markdown(text)))]
     own = df.select(id_col, text_col, F.lit(None).cast("array<string>").alias("parts"), F.lit(None).cast("string").alias("strategy"))
     for name, parts in tried:
         # One projection each, so a strategy is computed once, and only for texts that none before it has cut.
@@ -213,13 +249,18 @@ def cascade(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap
         found = F.size("next") > 0
         own = own.select(id_col, text_col, F.when(found, F.col("next")).otherwise(F.col("parts")).alias("parts"), F.when(found, name).otherwise(F.col("strategy")).alias("strategy"))
     done = own.select(id_col, F.posexplode_outer("parts").alias("chunk_index", "text"), "strategy").where("chunk_index is not null")
-    # A null text gives no windows; a filter on parts would be pushed down and compute them again.
+    # A null text gives no chunks; a filter on parts would be pushed down and compute them again.
     left = own.select(id_col, F.when(F.col("parts").isNull(), F.col(text_col)).alias(text_col))
+    schema = "chunk_index int, text string, strategy string"
+    by_sentence = lambda t: [(p, "sentence") for p in sentence_parts(t)]
+    by_window = lambda t: [(t[a:b], "window") for a, b in window_spans(t, size, overlap)]
     if boundaries is not None:
         long = left.where(F.length(text_col) > ACCEPT_BOUNDARIES).join(boundaries.select(id_col).distinct(), id_col, "left_semi")
-        done = done.unionByName(at_boundaries(long, boundaries.join(long.select(id_col), id_col, "left_semi"), id_col, text_col).withColumn("strategy", F.lit("boundary")))
+        packed = _spread(long, id_col, text_col, by_sentence, schema)
+        bare = long.join(packed.select(id_col).distinct(), id_col, "left_anti")
+        done = done.unionByName(packed).unionByName(at_boundaries(bare, boundaries.join(bare.select(id_col), id_col, "left_semi"), id_col, text_col).withColumn("strategy", F.lit("boundary")))
         left = left.join(long.select(id_col), id_col, "left_anti")
-    return done.unionByName(windows(left, id_col, text_col, size, overlap).select(id_col, "chunk_index", "text", F.lit("window").alias("strategy")))
+    return done.unionByName(_spread(left, id_col, text_col, lambda t: by_sentence(t) or by_window(t), schema))
 
 
 def sections(df: DataFrame, id_col: str, text_col: str, patterns: list[str] | None = None, lead: str = INTRODUCTION, whole: str = WHOLE) -> DataFrame:

@@ -18,7 +18,7 @@ from . import embed
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors of a project that exact search deals to one part, about; each part has a copy of the project's queries.
 PART_ROWS = 4096
-#: Letters of a needle that find the texts it may lie within.
+#: Characters of the grams that find the texts a needle may lie within.
 GRAM = 4
 
 
@@ -136,11 +136,19 @@ def multi_vector(queries: DataFrame, vectors: DataFrame, k: int, weights: dict[s
 
 
 def within(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """(needle, text) for each needle that occurs in a text: joined on the needle's first GRAM characters, then compared. needles: needle; texts: text, both distinct."""
-    own = needles.select("needle", F.substring("needle", 1, GRAM).alias("gram")).where("gram <> ''")
-    size = F.least(F.length("text"), F.lit(1_000_000_000))
+    """(needle, text) for each needle that occurs in a text: joined on the needle's rarest gram of GRAM characters (a shorter needle is one), then compared. needles: needle; texts: text, both distinct.
+
+    A needle with a gram that no text has is dropped at once. Grams carry a hash for their text, which is looked up for candidates only.
+    """
+    size, n = F.least(F.length("text"), F.lit(1_000_000_000)), F.length("needle")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(size - g + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, g))))
-    return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram")).join(own, "gram").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    held = texts.select(F.xxhash64("text").alias("tid"), F.explode(F.array_distinct(grams)).alias("gram"))
+    own = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("needle"), i, GRAM))
+    asked = needles.where("needle <> ''").select("needle", F.explode(F.array_distinct(own)).alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.coalesce("texts", F.lit(0))).alias("gram"), F.min(F.coalesce("texts", F.lit(0))).alias("texts")).where("texts > 0").drop("texts")
+    pairs = held.join(rarest, "gram").select("needle", "tid")
+    return pairs.join(texts.select("text", F.xxhash64("text").alias("tid")), "tid").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 def keyword_counts(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,25 @@ def _(tables):
     return digest(c.recursive(tables("documents"), "doc_id", "text"))
 
 
+def lateral(tables, function: str, columns: str):
+    """A table function over all documents, from SQL."""
+    docs = tables("documents")
+    c.register_table_functions(docs.sparkSession)
+    return docs.sparkSession.sql(f"select d.doc_id, {columns} from {{docs}} d, lateral {function}(d.text, 1000, 200) w", docs=docs)
+
+
+@query("c1_windows_sql")
+def _(tables):
+    """The rows of c1_windows."""
+    return digest(lateral(tables, "chunk_windows", "w.chunk_index, w.start, w.end, w.text"), "start", "end")
+
+
+@query("c2_recursive_sql")
+def _(tables):
+    """The rows of c2_recursive."""
+    return digest(lateral(tables, "chunk_recursive", "w.chunk_index, w.text"))
+
+
 @query("c3_pages", f"""
 with m as (select conv_id as doc_id, turn, {strip(r"regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} as b from conversations),
 f as (select *, case when length(b) >= 100 or row_number() over (partition by doc_id order by turn) = 1 then 1 else 0 end as start from m where b <> ''),
@@ -69,7 +88,7 @@ w as (
 f as (select doc_id, case when len(cur) > 0 and length(array_to_string(cur, ' ')) >= 100 then list_append(o, array_to_string(cur, ' ')) else o end as o from w where i = len(s) + 1)
 select doc_id, cast(generate_subscripts(o, 1) - 1 as int) as chunk_index, md5(unnest(o)) as digest from f""")
 def _(tables):
-    return digest(c.exploded(tables("documents"), "doc_id", c.packed_sentences(F.col("text"))))
+    return digest(c.packed_sentences(tables("documents"), "doc_id", "text"))
 
 
 FORCED = "list_filter(list_transform(range(0, greatest(length(text), 1), {n}), lambda i: regexp_replace(substr(text, i + 1, {n}), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..operators.embed import with_cache
 
 LATE = "10 minutes"
 
-#: Rows of a client that one group of the batch rate limit should hold.
+#: Rows of a client that go together in the batch rate limit, about.
 ISLANDS = 10_000
 
 
@@ -95,15 +97,33 @@ def islands(requests: DataFrame, seconds: float, rows: int = ISLANDS) -> DataFra
 
 
 def rate_limit(requests: DataFrame, limit: int = 30, seconds: float = 60.0) -> DataFrame:
-    """requests(client_id, ts, id) with accepted: a client has at most limit accepted ones in any sliding span; only these count."""
+    """requests(client_id, ts, id) with accepted: a client has at most limit accepted ones in any sliding span; only these count.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        pdf["accepted"] = _accepts((pdf["ts"].astype("int64") / 1e6 if pdf["ts"].dtype == "datetime64[us]" else pdf["ts"].astype("int64") / 1e9).tolist(), limit, seconds)
-        return pdf[["client_id", "id", "accepted"]]
-
-    own = requests.select("client_id", F.col("ts").cast("timestamp").alias("ts"), "id")
-    return islands(own, seconds).groupBy("client_id", "island").applyInPandas(run, "client_id long, id long, accepted boolean")
+    Runs are sorted by Spark, which spills, and read in slices that hand their accepted times (limit at most) to the
+    next, so no run is held as a whole, however long a client goes without a gap. Requests without a time aren't accepted.
+    """
+    kind = {n: requests.schema[n].dataType.simpleString() for n in ("client_id", "id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, deque()
+        for b in batches:
+            ok = []
+            for own, t in zip(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True), b.column(1).to_pylist(), strict=True):
+                if own != key:
+                    key, kept = own, deque()
+                if t is None:
+                    ok.append(False)
+                    continue
+                while kept and kept[0] <= t - seconds:
+                    kept.popleft()
+                ok.append(len(kept) < limit)
+                if ok[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ok, pa.bool_())], ["client_id", "id", "accepted"])
+
+    own = islands(requests.select("client_id", F.col("ts").cast("timestamp").alias("ts"), "id"), seconds)
+    own = own.select("client_id", F.col("ts").cast("double").alias("t"), "id", "island").repartition("client_id", "island")
+    return own.sortWithinPartitions("client_id", "island", F.asc_nulls_last("t"), F.asc_nulls_last("id")).mapInArrow(run, f"client_id {kind['client_id']}, id {kind['id']}, accepted boolean")
 
 
 class RateLimiter(StatefulProcessor):

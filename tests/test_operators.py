@@ -2,13 +2,17 @@
 
 import datetime as dt
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.operators import analytics, chunk, evaluate
+import pytest
+from conftest import DATA
+from corpusloom.operators import analytics, chunk, evaluate, retrieve
+from corpusloom.plans import QUERIES
 from corpusloom.sources import tables
 from corpusloom.streaming import metrics
 
@@ -145,3 +149,76 @@ def test_rate_limit_parts_a_client_at_gaps(spark):
     finally:
         metrics.islands = whole
     assert [got[i] for i in range(600)] == want
+
+
+@pytest.mark.parametrize("name", ["c1_windows", "c2_recursive"])
+def test_table_functions_give_the_rows_of_the_operators(spark, name):
+    rows = lambda n: sorted(map(str, QUERIES[n](spark, DATA).collect()))
+    assert rows(name + "_sql") == rows(name) != []
+
+
+def test_packed_sentences_match_a_plain_loop_and_take_linear_time(spark):
+    r = random.Random(8)
+    texts = [". ".join("w" * r.choice([3, 30, 90, 250]) + str(i) for i in range(n)) + "." for n in (0, 1, 7, 40, 3000)] + ["", "word " * 900, None]
+
+    def plain(sentences):
+        out, cur, n = [], [], 0
+
+        def flush():
+            if cur and len(" ".join(cur)) >= 100:
+                out.append(" ".join(cur))
+
+        for s in sentences:
+            if n + len(s) <= 2000:
+                cur, n = [*cur, s], n + len(s)
+                continue
+            flush()
+            if len(s) > 2000:
+                out.extend(p for p in (s[i : i + 2000].strip() for i in range(0, len(s), 2000)) if p)
+                cur, n = [], 0
+            else:
+                cur, n = [s], len(s)
+        flush()
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for x in chunk.packed_sentences(rows, "id", "text").collect():
+        got.setdefault(x.id, {})[x.chunk_index] = x.text
+    for x in rows.select("id", t.sentences(F.col("text")).alias("s")).collect():
+        assert got.get(x.id, {}) == dict(enumerate(plain(x.s or [])))
+
+    def seconds(n):
+        text = ". ".join(f"sentence number {i} of a long text that goes on {'x' * 90}" for i in range(n))
+        began = time.time()
+        assert len(chunk.sentence_parts(text)) > n / 40
+        return time.time() - began
+
+    once, twice = min(seconds(50_000) for _ in range(3)), min(seconds(100_000) for _ in range(3))
+    assert twice < 2.3 * once + 0.2
+
+
+def test_names_with_one_prefix_dont_meet_every_question(spark):
+    """Files that share a prefix are told apart by their rarest gram; the work doubles with the input."""
+
+    def run(n):
+        needles = spark.range(n).select(F.format_string("report_2024_%05d.pdf", "id").alias("needle"))
+        texts = spark.range(n).select(F.format_string("what does report_2024_%05d.pdf say about it, item %d?", "id", "id").alias("text"))
+        began = time.time()
+        found = retrieve.within(needles, texts).collect()
+        assert len(found) == n and all(x.needle in x.text for x in found)
+        return time.time() - began
+
+    run(500)
+    assert run(16_000) < 60
+    r = random.Random(2)
+    word = lambda k: "".join(r.choice("abc") for _ in range(k))
+    needles, texts = {word(r.randint(1, 7)) for _ in range(80)} | {""}, {word(r.randint(0, 40)) for _ in range(60)}
+    got = {(x.needle, x.text) for x in retrieve.within(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string")).collect()}
+    assert got == {(a, b) for a in needles for b in texts if a and a in b}
+
+
+def test_rate_limit_without_times(spark):
+    rows = [(1, None, 1), (1, dt.datetime(2024, 1, 1), 2), (1, dt.datetime(2024, 1, 1), 3), (None, dt.datetime(2024, 1, 1), 4)]
+    got = {r.id: r.accepted for r in metrics.rate_limit(spark.createDataFrame(rows, "client_id long, ts timestamp, id long"), 1, 60.0).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
