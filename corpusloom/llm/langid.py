@@ -9,7 +9,7 @@ the prediction (confident is false); the best language is reported all the same.
 
 The prediction is "und" with score 0 if a text is null or has no letter, or if nothing could be learned. Ties go to
 the language first in the alphabet; repeated rows are predicted each for itself; extra columns are ignored; an empty
-table gives an empty result; a text of any length is compressed whole, block by block.
+table gives an empty result; rows with a letter count for the sample only; a text of any length is compressed whole, block by block.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ FEW = 10_000
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary of each language, from a sample whose size is bounded as the module says."""
-    own = docs.where(docs[lang_col].isNotNull() & ~held_out(id_col)).withColumn("__l", F.col(lang_col).cast("string"))
+    # Rows without a letter teach nothing, so they don't count towards the share that is looked at either.
+    own = docs.where(docs[lang_col].isNotNull() & ~held_out(id_col) & docs[text_col].cast("string").rlike(r"\p{L}")).withColumn("__l", F.col(lang_col).cast("string"))
     # The rows of the lowest hashes, SPARE times as many as are used, are told by a share of all hashes; so few rows are ranked, however common the language.
     counts = cut(own.groupBy("__l").agg(F.count("*").alias("__n")), "languages")
     # Texts stay where they are until the share is taken: a join that moves them would deal them by language.
     counts = F.broadcast(counts) if counts.limit(FEW + 1).count() <= FEW else counts
     rows = own.select("__l", F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h")).join(counts, "__l").where((F.col("h") / 2.0**64 + 0.5) * F.col("__n") <= SPARE * SAMPLE_ROWS)
-    rows = rows.where(F.col("t").rlike(r"\p{L}")).select(F.col("__l").alias("lang"), F.substring("t", 1, SAMPLE_CHARS).alias("t"), "h").distinct()
+    rows = rows.select(F.col("__l").alias("lang"), F.substring("t", 1, SAMPLE_CHARS).alias("t"), "h").distinct()
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= SAMPLE_ROWS)
     texts: dict[str, set[str]] = {}
     for r in first.select("lang", "t").collect():

@@ -8,7 +8,8 @@ lowest certified cutoff applies. A stratum without enough labels certifies nothi
 
 A null or empty text has no words and fails the base rules; repeated rows are judged each for itself; a null
 language is the stratum "none"; documents labelled more than once are good if any label says so; an empty label
-table certifies nothing; extra columns are ignored.
+table certifies nothing; an empty table gives an empty result; a text of any length is counted whole, in time that
+grows in proportion to its words and lines; extra columns are ignored.
 """
 
 from __future__ import annotations

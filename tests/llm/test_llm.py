@@ -413,17 +413,34 @@ def test_hot_language_is_sampled_evenly(spark):
     assert sorted(learned) == ["en", "fr"] and set(learned["fr"].decode().split()) == set(words["fr"])
 
 
-def test_language_is_the_smallest_compression():
-    """The prediction is that of compressing with each dictionary by hand."""
+def test_language_is_the_smallest_compression(spark, docs):
+    """Prediction, score and certainty are those of compressing each text with each dictionary by hand."""
     import zstandard as z
 
-    books = {"en": b"the and of with from this that have which there would about", "fr": b"le la les avec pour dans sur une que qui nous vous"}
-    texts = ["there would be that which the people have", "vous avec nous dans la rue", "x"]
-    sizes = {}
-    for k, d in books.items():
-        c = z.ZstdCompressor(level=langid.FINE_LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False)
-        sizes[k] = [len(c.compress(b" " + t.encode() + b" ")) for t in texts]
-    assert sizes["en"][0] < sizes["fr"][0] and sizes["fr"][1] < sizes["en"][1]
+    books = langid.learn(docs)
+    assert len(books) == 4
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id % 5 = 0").collect()] + [(-1, "vous avez"), (-2, "the"), (-3, None), (-4, "1234 !"), (-5, "Ä" * 3000)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), books).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score, got[i].confident) == ("und", 0.0, False)
+            continue
+        raw = b" " + t.lower().encode() + b" "
+        level, size = (langid.FINE_LEVEL, len(raw)) if len(raw) <= langid.SHORT else (langid.LEVEL, langid.BLOCK)
+        sizes = {}
+        for k, d in books.items():
+            c = z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False)
+            sizes[k] = sum(len(c.compress(raw[j : j + size])) for j in range(0, len(raw), size))
+        best = min(sorted(sizes), key=sizes.get)
+        margin = 1 - sizes[best] / min(v for k, v in sizes.items() if k != best)
+        assert got[i].lang_pred == best and abs(got[i].score - margin / (margin + langid.NARROW)) < 1e-9 and got[i].confident == (margin >= langid.NARROW)
+
+
+def test_rows_without_letters_dont_crowd_out_a_language(spark):
+    rows = [(i, None if i % 2 else "123", "xx") for i in range(6000)] + [(10_000 + i, f"mots rares de la langue {i}", "xx") for i in range(30)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"mots", "rares", "langue"} <= set(learned["xx"].decode().split())
 
 
 def labels_of(spark):
@@ -443,6 +460,45 @@ RUNS = {
 }
 
 
+def expected(name, r, text):
+    """Whether a row of an operator is what its docstring says of an odd text."""
+    t = text or ""
+    if name == "bpe":
+        return (r.n_tokens, r.decoded_sha256) == (len(tik().encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest())
+    if name == "quality":
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+        twice = {j for i, w in enumerate(seen) if seen.count(w) > 1 for j in range(i, i + 5)} if len(words) < 1000 else set(range(len(words)))
+        failed = len(words) < 10 or 100 * len(twice) > 20 * len(words)
+        return (r.n_words, r.word_chars, r.n_repeat_words, r.base_failed) == (len(words), sum(map(len, words)), len(twice), failed) and not (failed and r.kept)
+    if name == "contamination":
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        hit = {j for i in range(len(words) - 2) if words[i : i + 3] == ["same", "text", "here"] for j in range(i, i + 3)}
+        return (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(words), len(hit), int(bool(hit)), bool(hit) and 20 * len(hit) >= len(words))
+    if name == "html":
+        return (r.text, r.n_chars) == (" ".join(t.split()), len(" ".join(t.split())))
+    if name == "langid":
+        return (r.lang_pred == "und" and r.score == 0) if not any(map(str.isalpha, t)) else 0 <= r.score <= 1
+    if name == "licenses":
+        return (r.license, r.found, r.score) == (None, "none", 0.0)
+    if name == "toxicity":
+        return 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    if name == "pii":
+        return (list(r.spans), list(r.more)) == ([], [])
+    return True
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_odd_inputs_have_their_defined_results(spark, odd, name):
+    texts = {}
+    for x in odd.collect():
+        texts.setdefault(x.doc_id, set()).add(x.text)
+    out = RUNS[name](spark, odd).collect()
+    for r in out:
+        own = texts[next(v for k, v in r.asDict().items() if k in ("doc_id", "page_id", "key"))]
+        assert len(own) == 1 and expected(name, r, *own), (name, r)
+
+
 @pytest.mark.parametrize("name", sorted(RUNS))
 def test_odd_inputs_have_a_row_each(spark, odd, name):
     assert RUNS[name](spark, odd).count() == odd.count()
