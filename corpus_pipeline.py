@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group. A text without words is linked with nothing and stays; rows that share an id and a text are one group, of which one row stays; null ids stand behind all others."""
+    """Keeps the document with the smallest id of each group. A text without words is linked with nothing and stays; rows that share an id and a text are one group, of which one row stays; rows without an id stay."""
     return neardup.keep_one(docs)
 
 
