@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_spaces, mark_headings, sentences, strip
+from ..sources.tables import cut
 
 # Delimiters of windows, heading and section patterns, titles, separators.
 DELIMITERS = (". ", ".\n", "! ", "!\n", "? ", "?\n", "\n\n", "\n")
@@ -103,6 +104,78 @@ def windows(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap
     return _spread(df, id_col, text_col, lambda t: [(a, b, t[a:b]) for a, b in window_spans(t, size, overlap)], "chunk_index int, start int, end int, text string")
 
 
+#: Characters of the pieces that giant texts are cut into, and rounds in which pieces may hand each other another entry.
+PIECE, ROUNDS = 200_000, 50
+
+
+def _walk(text: str, at: int, start: int, until: int, whole: int, size: int, overlap: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of windows from a start up to the first start at or behind until, and that start; text is the part of the document from at on, whole its length."""
+    out = []
+    while start < until:
+        lo = start - at
+        end = lo + size
+        if start + size < whole:
+            for d in DELIMITERS:
+                found = text.rfind(d, lo + overlap, end)
+                if found != -1 and found + len(d) > lo + overlap:
+                    end = found + len(d)
+                    break
+        end = min(end, whole - at)
+        if text[lo:end].strip():
+            out.append((start, at + end))
+        if at + end == whole:
+            return out, whole
+        start = at + end - overlap
+    return out, start
+
+
+def windows_of_giants(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, piece: int = PIECE) -> DataFrame:
+    """The rows of windows(), with texts of more than a piece cut up, so that no task has a whole one.
+
+    Where a window starts depends on the one before it, but windows from different starts soon meet at a delimiter. So
+    every piece goes on from its own beginning first, then from where the piece before it really ends, and pieces whose
+    entry has changed go again until none has. A text that never lets windows meet takes a round for each piece; after
+    ROUNDS it is windowed as a whole. Ids of giant texts are unique.
+    """
+    overlap = min(overlap, size - 1)
+    kind = df.schema[id_col].dataType.simpleString()
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    giant = F.length("text") > piece
+    small = windows(own.where(~F.coalesce(giant, F.lit(False))), "id", "text", size, overlap)
+    n = F.length("text")
+    cuts = own.where(giant).select("id", n.alias("whole"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(piece))).alias("at"), "text")
+    pieces = cut(cuts.select("id", "whole", "at", F.expr(f"substring(text, at + 1, {piece + size})").alias("text")).repartition("id", "at"), "pieces")
+
+    def run(batches):
+        for b in batches:
+            spans, exits = [], []
+            for r in b.select(["whole", "at", "text", "entry"]).to_pylist():
+                found, leaves = _walk(r["text"], r["at"], r["entry"], min(r["at"] + piece, r["whole"]), r["whole"], size, overlap)
+                spans.append([{"start": x, "end": y, "text": r["text"][x - r["at"] : y - r["at"]]} for x, y in found])
+                exits.append(leaves)
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(exits, pa.int32()), pa.array(spans, span), b.column(4)], ["id", "whole", "at", "leaves", "spans", "entry"])
+
+    schema = f"id {kind}, whole int, at int, leaves int, spans array<struct<start: int, end: int, text: string>>, entry int"
+    done = cut(pieces.select("id", "whole", "at", "text", F.col("at").alias("entry")).mapInArrow(run, schema), "walked")
+    for _ in range(ROUNDS):
+        handed = done.select("id", (F.col("at") + piece).alias("at"), F.col("leaves").alias("given"))
+        changed = cut(done.select("id", "at", "entry").join(handed, ["id", "at"]).where("given <> entry").select("id", "at", F.col("given").alias("entry")), "entries")
+        if changed.isEmpty():
+            break
+        again = pieces.join(changed, ["id", "at"]).select("id", "whole", "at", "text", "entry").mapInArrow(run, schema)
+        done = cut(done.join(changed.select("id", "at"), ["id", "at"], "left_anti").unionByName(again), "walked")
+    else:
+        left = changed.select("id").distinct()
+        small = small.unionByName(windows(own.where(giant).join(left, "id", "left_semi"), "id", "text", size, overlap))
+        done = done.join(left, "id", "left_anti")
+    # Numbers within a text: those of its pieces before, then the place in the piece.
+    before = F.sum(F.size("spans")).over(Window.partitionBy("id").orderBy("at")) - F.size("spans")
+    numbered = done.select("id", "at", "spans").withColumn("before", before.cast("int"))
+    large = numbered.select("id", "before", F.posexplode("spans").alias("k", "s")).select("id", (F.col("before") + F.col("k")).alias("chunk_index"), "s.start", "s.end", "s.text")
+    return small.unionByName(large).withColumnRenamed("id", id_col)
+
+
 def recursive(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     return _spread(df, id_col, text_col, lambda t: [(p,) for p in recursive_parts(t, size, overlap)] if t.strip() else [], "chunk_index int, text string")
 

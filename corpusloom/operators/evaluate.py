@@ -11,8 +11,8 @@ from ..functions.text import has_any, normal_url, strip
 BOILERPLATE = ["Источники:", "📚", "Если", "Пожалуйста", "К сожалению", "Однако", "Вопрос", "Ответ"]
 LIST_BOILERPLATE = ["Источники:", "📚"]
 NO_CONTEXT = "no context to check facts"
-#: Gates of a run: metric and least value.
-GATES = {"precision": (0.85, "regulated"), "precision_general": (0.75, "general"), "mrr": (0.9, "all"), "groundedness": (0.9, "all")}
+#: Gates of a run: the least value of each measure.
+GATES = {"precision_strict": 0.85, "precision_loose": 0.75, "mrr": 0.9, "groundedness": 0.9}
 
 
 def relevant(source: Column, expected: Column) -> Column:
@@ -86,9 +86,10 @@ def summary(results: DataFrame, categories: list[str]) -> DataFrame:
     return results.agg(F.count("*").alias("questions"), *(mean(m).alias(m) for m in metrics), *(mean(m, F.col("category") == c).alias(f"{m}_{c}") for m in metrics for c in categories))
 
 
-def gates(summarised: DataFrame, strict: str, loose: str) -> DataFrame:
+def gates(summarised: DataFrame, strict: str, loose: str, least: dict[str, float] | None = None) -> DataFrame:
     """Whether a summary meets the gates; precision of the strict and the loose category have their own."""
-    return summarised.select((F.col(f"precision_{strict}") >= 0.85).alias("precision_strict_ok"), (F.col(f"precision_{loose}") >= 0.75).alias("precision_loose_ok"), (F.col("rr") >= 0.9).alias("mrr_ok"), (F.col("groundedness") >= 0.9).alias("groundedness_ok"))
+    columns = {"precision_strict": f"precision_{strict}", "precision_loose": f"precision_{loose}", "mrr": "rr", "groundedness": "groundedness"}
+    return summarised.select(*((F.col(columns[name]) >= v).alias(f"{name}_ok") for name, v in {**GATES, **(least or {})}.items()))
 
 
 __all__ = ["evaluate", "facts", "gates", "grounded", "groundedness", "has_any", "matched_sources", "precision_at_k", "relevant", "summary"]

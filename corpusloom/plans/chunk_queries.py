@@ -38,6 +38,12 @@ def _(tables):
     return digest(lateral(tables, "chunk_windows", "w.chunk_index, w.start, w.end, w.text"), "start", "end")
 
 
+@query("c1_windows_pieces")
+def _(tables):
+    """The rows of c1_windows, with long documents cut into pieces that are windowed apart."""
+    return digest(c.windows_of_giants(tables("documents"), "doc_id", "text", piece=10_000), "start", "end")
+
+
 @query("c2_recursive_sql")
 def _(tables):
     """The rows of c2_recursive."""

@@ -151,10 +151,10 @@ def test_rate_limit_parts_a_client_at_gaps(spark):
     assert [got[i] for i in range(600)] == want
 
 
-@pytest.mark.parametrize("name", ["c1_windows", "c2_recursive"])
-def test_table_functions_give_the_rows_of_the_operators(spark, name):
-    rows = lambda n: sorted(map(str, QUERIES[n](spark, DATA).collect()))
-    assert rows(name + "_sql") == rows(name) != []
+@pytest.mark.parametrize("name,other", [("c1_windows_sql", "c1_windows"), ("c2_recursive_sql", "c2_recursive"), ("c1_windows_pieces", "c1_windows")])
+def test_other_forms_give_the_rows_of_the_operators(spark, name, other):
+    rows = lambda n: sorted(map(str, QUERIES[n](spark, DATA.replace("0.001", "0.01")).collect()))
+    assert rows(name) == rows(other) != []
 
 
 def test_packed_sentences_match_a_plain_loop_and_take_linear_time(spark):
@@ -222,3 +222,16 @@ def test_rate_limit_without_times(spark):
     rows = [(1, None, 1), (1, dt.datetime(2024, 1, 1), 2), (1, dt.datetime(2024, 1, 1), 3), (None, dt.datetime(2024, 1, 1), 4)]
     got = {r.id: r.accepted for r in metrics.rate_limit(spark.createDataFrame(rows, "client_id long, ts timestamp, id long"), 1, 60.0).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_giant_texts_are_windowed_in_pieces(spark, monkeypatch):
+    """The same rows as windows(), whatever the pieces; texts whose windows never meet end up whole."""
+    r = random.Random(11)
+    prose = lambda n: "".join(r.choice(["word ", "other words. ", "more!\n", "a", "  ", "\n\n"]) for _ in range(n))
+    rows = [(0, prose(6000)), (1, "x" * 30_000), (2, " " * 9000 + prose(2000) + "\n" * 5000), (3, prose(20)), (4, None), (5, ""), (6, "y" * 4999 + ". " + prose(3000))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    shown = lambda d: sorted(map(tuple, d.select("id", "chunk_index", "start", "end", "text").collect()))
+    for size, overlap, piece in ((300, 60, 2000), (100, 99, 5000), (1000, 200, 1500)):
+        assert shown(chunk.windows_of_giants(df, "id", "text", size, overlap, piece)) == shown(chunk.windows(df, "id", "text", size, overlap))
+    monkeypatch.setattr(chunk, "ROUNDS", 1)
+    assert shown(chunk.windows_of_giants(df, "id", "text", 300, 61, 2000)) == shown(chunk.windows(df, "id", "text", 300, 61))
