@@ -10,7 +10,8 @@
 Adding or deleting chunks writes one segment: df, n and the average length are sums over segments, and what replaced or
 deleted chunks had added is taken back from their forward rows, so no text is read again. A version counts once its
 manifest is written; a change that fails before leaves the one before it. merge() joins all segments to one.
-A search reads the parts of its terms only. Ids are unique within one call; chunks without tokens count in n.
+A search reads the parts of its terms only. Postings are dealt by ranges
+of part, project, term and chunk, so neither a large project nor a word that all chunks have meets in one task. Ids are unique within one call; chunks without tokens count in n.
 
 Block-max search cuts the chunks of a project into zones. For each term and zone a block holds the postings and, apart
 from them, the most a posting of it can score. A query's best zones are scored first; the k-th score found is the bar
@@ -91,22 +92,23 @@ class TextIndex:
         own = self.spark.read.schema(self.schemas["collections"]).option("basePath", f"{self.folder}/collections").parquet(f"{self.folder}/collections/version={self.version}")
         return own.where("n > 0").select("project_id", "n", (F.col("total") / F.col("n")).alias("avgdl"), "mean")
 
-    def _commit(self, forward: DataFrame, gone: DataFrame) -> None:
-        """A segment of new forward rows (written, without seg) and of the old ones that they replace or that are deleted."""
+    def _commit(self, forward: DataFrame, gone: DataFrame | None = None) -> None:
+        """A segment of new forward rows (without seg) and of the old ones that they replace or, if given, those of deleted chunks."""
         seg = self.version + 1
-        old = cut(self._live(self._read("forward")).join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi").drop("seg"), "index-gone")
 
         def put(df: DataFrame, what: str, *by: str) -> None:
             df.write.mode("overwrite").parquet(f"{self.folder}/{what}/seg={seg}", partitionBy=list(by) or None)
 
         put(forward, "forward")
         forward = self._read("forward", [seg]).drop("seg")
+        gone = forward if gone is None else gone
+        old = cut(self._live(self._read("forward")).join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi").drop("seg"), "index-gone")
         put(old.select("chunk_id"), "tombs")
         each = forward.select("project_id", "chunk_id", "dl", F.inline("terms")).withColumn("part", term_part(self.parts))
-        put(each.select("project_id", "term", "chunk_id", "tf", "dl", "part").repartition("part", "project_id").sortWithinPartitions("part", "project_id", "term"), "postings", "part")
+        put(each.select("project_id", "term", "chunk_id", "tf", "dl", "part").repartitionByRange("part", "project_id", "term", "chunk_id").sortWithinPartitions("part", "project_id", "term"), "postings", "part")
         sign = each.select("project_id", "term", F.lit(1).cast("long").alias("d")).unionByName(old.select("project_id", F.inline("terms")).select("project_id", "term", F.lit(-1).cast("long").alias("d")))
         df = sign.groupBy("project_id", "term").agg(F.sum("d").alias("df")).where("df <> 0").withColumn("part", term_part(self.parts))
-        put(df.repartition("part").sortWithinPartitions("part", "project_id", "term"), "terms", "part")
+        put(df.repartitionByRange("part", "project_id", "term").sortWithinPartitions("part", "project_id", "term"), "terms", "part")
         segments, tombs = [*self.segments, seg], self.tombs + old.count()
         of = lambda d, s: d.groupBy("project_id").agg((s * F.count("*")).alias("n"), (s * F.sum(F.col("dl").cast("long"))).alias("total"))
         before = [self.spark.read.schema(self.schemas["collections"]).option("basePath", f"{self.folder}/collections").parquet(f"{self.folder}/collections/version={self.version}").select("project_id", "n", "total")] if self.version else []
@@ -129,8 +131,7 @@ class TextIndex:
         """Adds chunks (project_id, chunk_id, text); those whose id is known are replaced."""
         each = chunks.select("project_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
         counted = each.select("project_id", "chunk_id", "dl", F.explode_outer("w").alias("term")).groupBy("project_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        forward = cut(counted.groupBy("project_id", "chunk_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")), "index-forward")
-        self._commit(forward, forward)
+        self._commit(counted.groupBy("project_id", "chunk_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")))
         return self
 
     def delete(self, ids: DataFrame) -> TextIndex:
@@ -142,8 +143,8 @@ class TextIndex:
         """One segment instead of all, without what is gone."""
         seg = self.version + 1
         self._live(self._read("forward")).drop("seg").write.mode("overwrite").parquet(f"{self.folder}/forward/seg={seg}")
-        self._live(self._read("postings")).drop("seg").repartition("part", "project_id").sortWithinPartitions("part", "project_id", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings/seg={seg}")
-        self._read("terms").groupBy("project_id", "term", "part").agg(F.sum("df").alias("df")).where("df <> 0").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/terms/seg={seg}")
+        self._live(self._read("postings")).drop("seg").repartitionByRange("part", "project_id", "term", "chunk_id").sortWithinPartitions("part", "project_id", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/postings/seg={seg}")
+        self._read("terms").groupBy("project_id", "term", "part").agg(F.sum("df").alias("df")).where("df <> 0").repartitionByRange("part", "project_id", "term").sortWithinPartitions("part", "project_id", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/terms/seg={seg}")
         self.spark.createDataFrame([], self.schemas["tombs"]).drop("seg").write.mode("overwrite").parquet(f"{self.folder}/tombs/seg={seg}")
         sums = self.spark.read.schema(self.schemas["collections"]).option("basePath", f"{self.folder}/collections").parquet(f"{self.folder}/collections/version={self.version}").select("project_id", "n", "total") if self.version else self.spark.createDataFrame([], "project_id string, n bigint, total bigint")
         self._publish(seg, [seg], 0, sums)
@@ -178,7 +179,7 @@ def store_blocks(index: TextIndex, folder: str | None = None, zone: int = ZONE)
     blocks = placed.groupBy("project_id", "term", "zone").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("rows"))
     folder = folder or f"{index.folder}/blocks-{uuid.uuid4().hex}"
     blocks = blocks.withColumn("part", term_part(index.parts))
-    blocks.repartition("part", "project_id").sortWithinPartitions("part", "project_id", "term", "zone").write.partitionBy("part").parquet(folder)
+    blocks.repartitionByRange("part", "project_id", "term", "zone").sortWithinPartitions("part", "project_id", "term", "zone").write.partitionBy("part").parquet(folder)
     return index.spark.read.schema(blocks.schema).parquet(folder)
 
 
