@@ -43,6 +43,8 @@ MARGIN = 0.17
 SIZE_STEP = 1.1
 #: Bits of the parity sketch that bounds how many shingles two sets share.
 PARITIES = 1024
+#: Places of a prefix that are looked back at, so that a pair that shares many is told once; it changes how often a pair is told, never whether it is.
+RECENT = 16
 _LOOKUP = byte_table(SPACES, fold=True)
 _U = np.uint64
 
@@ -232,14 +234,18 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, of: DataFrame, id_col: str
     places = f"n - ceil({THRESHOLD} * n / 100) + 1 - (n - size(o))"
     # Of two sets x and y with m elements that any other has, at most m are common, and THRESHOLD per cent of all must be: |y| is at most "reach" of x.
     reach = f"floor(({100 + THRESHOLD} * size(o)) / {THRESHOLD}) - n"
-    prefix = cut(ordered.select("id", "n", "comp", "bits", F.expr(reach).alias("reach"), F.expr(f"explode(slice(o, 1, cast(greatest(0, {places}) as int)))").alias("x")).select("id", "n", "comp", "bits", "reach", F.col("x.s").alias("s")), "prefix")
+    # Each place carries the RECENT ones before it and the number of those from it on.
+    place = f"transform(slice(o, 1, cast(greatest(0, {places}) as int)), (x, i) -> struct(x.s as s, transform(slice(o, greatest(i - {RECENT}, 0) + 1, least(i, {RECENT})), y -> y.s) as before, size(o) - i as rest))"
+    prefix = cut(ordered.select("id", "n", "comp", "bits", F.expr(reach).alias("reach"), F.expr(f"explode({place})").alias("x")).select("id", "n", "comp", "bits", "reach", "x.*"), "prefix")
     step = lambda v: f"cast(floor(ln({v}) / {math.log(SIZE_STEP)!r}) as int)"
     # The larger set of a pair looks into the classes of sizes that it can agree with, the smaller one lies in its own.
-    one = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("reach").alias("ra"), F.col("bits").alias("xa"), "s", F.expr(f"explode(sequence({step(f'{THRESHOLD} * n / 100')}, {step('least(n, reach)')}))").alias("size"))
-    two = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("reach").alias("rb"), F.col("bits").alias("xb"), "s", F.expr(step("n")).alias("size"))
+    one = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("reach").alias("ra"), F.col("bits").alias("xa"), F.col("before").alias("pa"), F.col("rest").alias("ea"), "s", F.expr(f"explode(sequence({step(f'{THRESHOLD} * n / 100')}, {step('least(n, reach)')}))").alias("size"))
+    two = prefix.where(f"100 * reach >= {THRESHOLD} * n").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("reach").alias("rb"), F.col("bits").alias("xb"), F.col("before").alias("pb"), F.col("rest").alias("eb"), "s", F.expr(step("n")).alias("size"))
     # Each shingle that only one of two sets has turns one parity over, so the parities that differ count no more than these shingles.
     apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(PARITIES // 64))
-    pairs = one.join(two, ["s", "size"]).where(f"{100 + THRESHOLD} * ({apart}) <= {100 - THRESHOLD} * (na + nb) and ca <> cb and (na > nb or na = nb and a > b) and 100 * nb >= {THRESHOLD} * na and nb <= ra and na <= rb")
+    # A pair is told at the first place that its sets share: none before it agrees, and no more than what follows can. Later places may repeat the pair, but the places just before them agree as a rule.
+    first = f"{100 + THRESHOLD} * least(ea, eb) >= {THRESHOLD} * (na + nb) and not arrays_overlap(pa, pb)"
+    pairs = one.join(two, ["s", "size"]).where(f"{100 + THRESHOLD} * ({apart}) <= {100 - THRESHOLD} * (na + nb) and ca <> cb and (na > nb or na = nb and a > b) and 100 * nb >= {THRESHOLD} * na and nb <= ra and na <= rb and {first}")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
