@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.text import tokens
 
 DIM = 64
 
 
+def _sums(batches, dim: int):
+    """Batches of kept columns and a list of tokens, with the signed sums of each row's buckets as a matrix; rows without tokens go."""
+    for b in batches:
+        words = b.column(b.num_columns - 1)
+        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        b, n = b.filter(pa.array(n > 0)), n[n > 0]
+        if not b.num_rows:
+            continue
+        coded = b.column(b.num_columns - 1).flatten().dictionary_encode()
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+        bucket = np.array([int(h[:8], 16) % dim for h in digests])
+        sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
+        at = coded.indices.to_numpy()
+        cell = np.repeat(np.arange(len(n)), n) * dim + bucket[at]
+        yield b, np.bincount(cell, sign[at], len(n) * dim).reshape(-1, dim)
+
+
+def hashed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, embedding array<float>) of each text: signed feature hashing of its tokens, scaled to length 1. A text without tokens is absent; one whose tokens cancel out has a vector of zeros. Each row is hashed for itself, so nothing is shuffled."""
+    own = df.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("__w"))
+    names = ["id", *keep]
+
+    def run(batches):
+        for b, sums in _sums(batches, dim):
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            v = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+            offsets = pa.array(np.arange(len(v) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1)))], [*names, "embedding"])
+
+    return own.mapInArrow(run, StructType([*(own.schema[c] for c in names), StructField("embedding", ArrayType(FloatType()))]))
+
+
 def sparse(df: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """(id, bucket, v): signed feature hashing of tokens, scaled to length 1; a bucket that sums to zero is absent."""
-    each = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
-    h = F.md5("t")
-    bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    counted = each.groupBy("id", bucket.alias("bucket")).agg(F.sum(F.col("n") * sign).cast("double").alias("v")).where("v <> 0")
-    norm = counted.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return counted.join(norm, "id").select("id", "bucket", (F.col("v") / F.col("norm")).alias("v"))
-
-
-def hashed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """(id, embedding array<float>) of each text; a text without tokens is absent."""
-    vectors = sparse(df, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))
-    return vectors.select("id", F.expr(f"transform(sequence(0, {dim - 1}), i -> cast(coalesce(m[cast(i as bigint)], 0) as float))").alias("embedding"))
+    """(id, bucket, v) of hashed(); a bucket that sums to zero is absent."""
+    each = hashed(df, id_col, text_col, dim).select("id", F.posexplode("embedding").alias("bucket", "v"))
+    return each.where("v <> 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.col("v").cast("double").alias("v"))
 
 
 def by_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], id_col: str, text_col: str) -> DataFrame:
