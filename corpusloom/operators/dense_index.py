@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 from .retrieve import dense, dot, top
+from .retrieve import directed as usable
 
 #: Centroids at most, and vectors that they are fitted on at most.
 MOST_CELLS, SAMPLE, ROUNDS = 4096, 20_000, 8
@@ -47,11 +48,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return (m / np.sqrt((m * m).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def usable(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose vector has a direction."""
-    return df.where(F.col(column).isNotNull() & (F.coalesce(dot(F.col(column), F.col(column)), F.lit(0.0)) > 0))
-
-
 def fit(vectors: DataFrame, n: int) -> np.ndarray:
     """Centroids of unit length: k-means by angle on at most SAMPLE vectors, those with the least hashes of their ids."""
     some = vectors.select("embedding", F.xxhash64("chunk_id").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
@@ -117,7 +113,7 @@ def calibrate(index: DenseIndex, vectors: DataFrame, k: int, share: float = SHAR
     """Cells a query must visit so that share of the exact best k of some vectors (other than themselves) lie in them."""
     asked = vectors.select("chunk_id", F.xxhash64("chunk_id", F.lit(1)).alias("h"), "project_id", "embedding").orderBy("h").limit(CALIBRATION)
     asked = cut(asked.select(F.col("chunk_id").alias("query_id"), "project_id", F.col("embedding").alias("q")), "calibration")
-    true = dense(asked, vectors, k, -1.0, F.col("chunk_id") != F.col("query_id")).select("query_id", "chunk_id")
+    true = dense(asked, vectors, k, -1.0, others=True).select("query_id", "chunk_id")
     cells = index.blocks.select("cell", F.explode("ids").alias("chunk_id"))
     places = nearest(index, asked, len(index.centroids)).select("query_id", "cell", "place")
     found = true.join(cells, "chunk_id").join(places, ["query_id", "cell"]).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()  # a row a cell at most
