@@ -81,11 +81,29 @@ def recursive_parts(text: str, size: int, overlap: int, separators: tuple[str, .
     return out
 
 
+#: Bytes of the rows that Python holds at once, about; a longer row is held alone.
+HELD = 1 << 21
+
+
+def _slices(batches):
+    """Arrow batches in slices of HELD bytes: texts, their windows and the columns made of them lie in memory side by side, so a whole batch would cost many times its size."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * HELD / max(b.nbytes, 1)))
+        lo, n = 0, min(rows, b.num_rows)
+        while lo < b.num_rows:
+            part = b.slice(lo, n)
+            if part.nbytes > 2 * HELD and n > 1:
+                n = (n + 1) // 2
+                continue
+            yield part
+            lo, n = lo + n, rows
+
+
 def _spread(df: DataFrame, id_col: str, text_col: str, split, schema: str) -> DataFrame:
     """Rows of split(text) for each text."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             ids, columns = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for n, row in enumerate(split(t or "")):
@@ -147,7 +165,7 @@ def windows_of_giants(df: DataFrame, id_col: str, text_col: str, size: int = 100
     pieces = cut(cuts.select("id", "whole", "at", F.expr(f"substring(text, at + 1, {piece + size})").alias("text")).repartition("id", "at"), "pieces")
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             spans, exits = [], []
             for r in b.select(["whole", "at", "text", "entry"]).to_pylist():
                 found, leaves = _walk(r["text"], r["at"], r["entry"], min(r["at"] + piece, r["whole"]), r["whole"], size, overlap)
