@@ -26,9 +26,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..sources.tables import cut
-from .retrieve import EPSILON, as_bm25, asked_terms, impact, top
+from .retrieve import EPSILON, as_bm25, asked_terms, counted, impact, top
 
 PARTS = 64
 #: Chunks of a zone, about.
@@ -129,9 +128,7 @@ class TextIndex:
 
     def add(self, chunks: DataFrame) -> TextIndex:
         """Adds chunks (project_id, chunk_id, text); those whose id is known are replaced."""
-        each = chunks.select("project_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-        counted = each.select("project_id", "chunk_id", "dl", F.explode_outer("w").alias("term")).groupBy("project_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        self._commit(counted.groupBy("project_id", "chunk_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")))
+        self._commit(counted(chunks))
         return self
 
     def delete(self, ids: DataFrame) -> TextIndex:
@@ -175,11 +172,13 @@ def store_blocks(index: TextIndex, folder: str | None = None, zone: int = ZONE)
     """(part, project_id, term, zone, n, most_tf, least_dl, rows) of an index, written by part; bounds are columns apart from the postings."""
     postings, _, collections = index.all_()
     zones = collections.select("project_id", F.ceil(F.col("n") / zone).alias("zones"))
-    placed = postings.join(zones, "project_id").withColumn("zone", F.pmod(F.xxhash64("chunk_id"), F.col("zones")).cast("int"))
-    blocks = placed.groupBy("project_id", "term", "zone").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("rows"))
+    placed = postings.join(cut(zones, "zones"), "project_id").withColumn("zone", F.pmod(F.xxhash64("chunk_id"), F.col("zones")).cast("int")).withColumn("part", term_part(index.parts))
+    # The ranges that blocks are written by are those that they are made in, so postings move once.
+    own = ["part", "project_id", "term", "zone"]
+    blocks = placed.repartitionByRange(*own).sortWithinPartitions(*own).groupBy(*own).agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("rows"))
     folder = folder or f"{index.folder}/blocks-{uuid.uuid4().hex}"
-    blocks = blocks.withColumn("part", term_part(index.parts))
-    blocks.repartitionByRange("part", "project_id", "term", "zone").sortWithinPartitions("part", "project_id", "term", "zone").write.partitionBy("part").parquet(folder)
+    blocks = blocks.select("project_id", "term", "zone", "n", "most_tf", "least_dl", "rows", "part")
+    blocks.sortWithinPartitions(*own).write.partitionBy("part").parquet(folder)
     return index.spark.read.schema(blocks.schema).parquet(folder)
 
 
@@ -199,11 +198,12 @@ def block_max(queries: DataFrame, index: TextIndex, blocks: DataFrame, k: int, f
     zones = cut(metas.groupBy("query_id", "zone").agg(F.sum(bound).alias("bound"), F.sum("n").alias("n")).where("bound > 0"), "block-bounds")
 
     def scored(some: DataFrame) -> DataFrame:
-        keys = some.select("query_id", "zone").join(weighted, "query_id")
-        rows = blocks.select("project_id", "term", "zone", "rows").join(keys, ["project_id", "term", "zone"]).select("query_id", "weight", "avgdl", F.inline("rows"))
-        return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("raw"))
+        # A chunk has one zone, so its sum is made where the zones of a query meet.
+        held = blocks.select("project_id", "term", "zone", "rows").join(weighted, ["project_id", "term"]).select("query_id", "zone", "weight", "avgdl", "rows")
+        rows = held.join(some.select("query_id", "zone"), ["query_id", "zone"], "left_semi").select("query_id", "zone", "weight", "avgdl", F.inline("rows"))
+        return rows.groupBy("query_id", "zone", "chunk_id").agg(F.round(F.sum(F.col("weight") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("raw")).drop("zone")
 
-    lead = top(zones, first * k, by="bound", key="zone").drop("rank")
+    lead = cut(top(zones, first * k, by="bound", key="zone").drop("rank"), "block-lead")
     begun = cut(scored(lead), "block-first")
     bar = top(begun.where("raw > 0"), k, by="raw").groupBy("query_id").agg(F.count("*").alias("c"), F.min("raw").alias("bar")).where(F.col("c") >= k).select("query_id", "bar")
     # Sums are rounded to six places, so a bound may lie that much below a score.
