@@ -7,25 +7,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from ..functions.text import tokens
+from .words import split, text_slices, word_table
 
 DIM = 64
 
 
-def _sums(batches, dim: int):
-    """Batches of kept columns and a list of tokens, with the signed sums of each row's buckets as a matrix; rows without tokens go."""
-    for b in batches:
-        words = b.column(b.num_columns - 1)
-        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+def _sums(batches, dim: int, table: np.ndarray):
+    """Batches of kept columns and a text in lower case, with the signed sums of each row's buckets as a matrix; rows without tokens go."""
+    for b, raw, offsets in text_slices(batches, -1):
+        n, found = split(raw, offsets, table)
         b, n = b.filter(pa.array(n > 0)), n[n > 0]
         if not b.num_rows:
             continue
-        coded = b.column(b.num_columns - 1).flatten().dictionary_encode()
+        coded = found.dictionary_encode()
         digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
         bucket = np.array([int(h[:8], 16) % dim for h in digests])
         sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
@@ -36,11 +34,11 @@ def _sums(batches, dim: int):
 
 def hashed(df: DataFrame, id_col: str, text_col: str, dim: int = DIM, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, embedding array<float>) of each text: signed feature hashing of its tokens, scaled to length 1. A text without tokens is absent; one whose tokens cancel out has a vector of zeros. Each row is hashed for itself, so nothing is shuffled."""
-    own = df.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("__w"))
-    names = ["id", *keep]
+    own = df.select(F.col(id_col).alias("id"), *keep, F.lower(text_col).alias("__t"))
+    names, table = ["id", *keep], word_table(df.sparkSession)
 
     def run(batches):
-        for b, sums in _sums(batches, dim):
+        for b, sums in _sums(batches, dim, table):
             norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
             v = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
             offsets = pa.array(np.arange(len(v) + 1) * dim, pa.int32())
