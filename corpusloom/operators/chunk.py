@@ -99,27 +99,28 @@ def _slices(batches):
             lo, n = lo + n, rows
 
 
-def _spread(df: DataFrame, id_col: str, text_col: str, split, schema: str) -> DataFrame:
-    """Rows of split(text) for each text."""
+def _spread(df: DataFrame, id_col: str, text_col: str, split, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of split(text) for each text, with kept columns."""
 
     def run(batches):
         for b in _slices(batches):
-            ids, columns = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, columns = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 for n, row in enumerate(split(t or "")):
-                    ids.append(i)
+                    rows.append(i)
                     columns.append((n, *row))
+            rows = pa.array(rows, pa.int64())
             names = [c.split()[0] for c in schema.split(", ")]
             kinds = [{"int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *(pa.array([c[k] for c in columns], kinds[k]) for k in range(len(names)))], ["id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *(pa.array([c[k] for c in columns], kinds[k]) for k in range(len(names))), *(b.column(2 + k).take(rows) for k in range(len(keep)))], ["id", *names, *keep])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    kind, kept = df.schema[id_col].dataType.simpleString(), "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep).mapInArrow(run, f"id {kind}, {schema}{kept}").withColumnRenamed("id", id_col)
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(id, chunk_index, start, end, text): boundary windows; each text is its document's characters from start to end."""
-    return _spread(df, id_col, text_col, lambda t: [(a, b, t[a:b]) for a, b in window_spans(t, size, overlap)], "chunk_index int, start int, end int, text string")
+def windows(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, chunk_index, start, end, text, kept columns): boundary windows; each text is its document's characters from start to end."""
+    return _spread(df, id_col, text_col, lambda t: [(a, b, t[a:b]) for a, b in window_spans(t, size, overlap)], "chunk_index int, start int, end int, text string", keep)
 
 
 #: Characters of the pieces that giant texts are cut into, and rounds in which pieces may hand each other another entry.
